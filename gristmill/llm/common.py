@@ -54,7 +54,16 @@ def drop_stored(df: DataFrame) -> None:
 
 def word_count(text: str = "text"):
     """Number of words of a text column; null counts as empty."""
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    return count_runs(text, r"\x20\x09-\x0D")
+
+
+def count_runs(text: str, apart: str):
+    """Number of runs of characters that are not in the class ``apart``; null counts as empty.
+
+    Each run becomes one character, with what stands around it: no array of words is built.
+    """
+    one = F.regexp_replace(F.col(text), F.lit(f"[{apart}]*+[^{apart}]++[{apart}]*+"), F.lit("x"))
+    return F.when(F.col(text).rlike(f"[^{apart}]"), F.length(one)).otherwise(0).cast("long")
 
 
 def width(spark: SparkSession, least: int = 8) -> int:

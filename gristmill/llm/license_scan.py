@@ -17,9 +17,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import count_runs
+
 #: Words of licence texts: ASCII letters and digits, and everything beyond ASCII. A-Z are words here
 #: too, as they are lower-cased after the split.
-LICENSE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+APART = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+LICENSE_WORD = f"[^{APART}]+"
 
 
 @dataclass(frozen=True)
@@ -67,9 +70,21 @@ def _lower(text):
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def _words(docs: DataFrame) -> DataFrame:
-    """doc_id and ``w``, its licence words; only runs are lower-cased that may be template words."""
-    return docs.select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(LICENSE_WORD), F.lit(0)).alias("raw"))
+def _any_of(words: list[str]) -> str:
+    """A pattern of the words, in any ASCII case, as a tree by letter: each letter is looked at once."""
+    tree: dict = {}
+    for w in words:
+        node = tree
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        parts = [c + pattern(n) for c, n in sorted(node.items()) if c]
+        body = parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+        return "" if not parts else f"(?:{body})?+" if "" in node else body
+
+    return f"(?i)(?=[{''.join(sorted(tree))}])(?<![^{APART}]){pattern(tree)}(?![^{APART}])"
 
 
 def word_frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
@@ -77,10 +92,9 @@ def word_frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
 
     The result has a row per template word at most, whatever the corpus.
     """
-    lowered = _lower(F.concat_ws(" ", F.array_distinct("raw")))
-    present = F.array_intersect(F.split(lowered, " "), F.lit(vocabulary))
-    rows = _words(docs).select(F.explode(present).alias("word")).groupBy("word").count().collect()
-    return {w: 0 for w in vocabulary} | {r["word"]: r["count"] for r in rows}
+    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_any_of(vocabulary)), F.lit(0))
+    rows = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.array_join(found, " ")), " "))).alias("word")).groupBy("word").count().collect()
+    return {w: 0 for w in vocabulary} | {r["word"]: r["count"] for r in rows if r["word"] in vocabulary}
 
 
 def _anchors(t: Template, df: dict[str, int], most: int) -> list[tuple[str, int]]:
@@ -114,10 +128,9 @@ def license_scan(docs: DataFrame, base: tuple[Template, ...] = BASE, notices: tu
     df = word_frequencies(docs, sorted({w for t in templates for w in t.words}))
     anchors = {t.label: _anchors(t, df, rare_words if k >= len(base) else 1) for k, t in enumerate(templates)}
     anchor_words = sorted({w for a in anchors.values() for w, _ in a})
-    d = _words(docs).select("doc_id", "raw", F.arrays_overlap(F.split(_lower(F.concat_ws(" ", F.array_distinct("raw"))), " "), F.lit(anchor_words)).alias("any"))
-    lowered = _lower(F.concat_ws(" ", "raw"))
-    # Documents without an anchor word have nothing to align: their word list is not kept.
-    d = d.select("doc_id", F.size("raw").cast("long").alias("n_words"), F.when(F.col("any") & (F.size("raw") > 0), F.split(lowered, " ")).otherwise(F.lit(None).cast("array<string>")).alias("w"))
+    # Documents without an anchor word have nothing to align: their words are counted but not listed.
+    d = docs.select("doc_id", count_runs("text", APART).alias("n_words"), F.when(F.col("text").rlike(_any_of(anchor_words)), F.col("text")).alias("text"))
+    d = d.select("doc_id", "n_words", F.split(_lower(F.array_join(F.regexp_extract_all("text", F.lit(LICENSE_WORD), F.lit(0)), " ")), " ").alias("w"))
     hits = f"CASE WHEN w IS NULL THEN NULL ELSE filter(transform(w, (x, i) -> struct(x AS x, i AS i)), h -> array_contains({_sql(anchor_words)}, h.x)) END"
     d = d.select("doc_id", "n_words", "w", F.expr(hits).alias("hits"))
     columns = []
