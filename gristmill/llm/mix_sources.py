@@ -43,11 +43,13 @@ def source_targets(units: DataFrame, weights: Sequence[float], most: float) -> D
     order = Window.orderBy(F.col("source").isNull(), F.col("source"))
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
     s = s.withColumn("w", w).withColumn("most", F.lit(float(most)) * F.col("source_size"))
-    before = Window.orderBy(F.col("most") / F.col("w"), F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = Window.orderBy(F.col("most") / F.col("w"), F.col("source").isNull(), "source")
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("nth", F.row_number().over(ordered))
     every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     s = s.withColumn("left", F.sum("source_size").over(every) - F.coalesce(F.sum("most").over(before), F.lit(0.0)))
     s = s.withColumn("level", F.col("left") / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
-    free = F.min(F.when(F.col("most") / F.col("w") >= F.col("level"), F.struct(F.col("most") / F.col("w"), "level"))).over(every)
+    free = F.min(F.when(F.col("most") / F.col("w") >= F.col("level"), F.struct("nth", "level"))).over(every)
     return s.withColumn("target", F.least("most", F.coalesce(free["level"] * F.col("w"), F.col("most")))).select("source", "source_size", "units", "target")
 
 

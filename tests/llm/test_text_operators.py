@@ -165,14 +165,18 @@ def test_mix_targets_and_copies(spark):
     assert mix_sources.mix_documents(table(spark, rows)).count() == sum(r["copies"] for r in got)
 
 
-def test_mix_is_unbiased_over_seeds(spark):
-    rows = [(i, "x " * (1 + i), None, "s" if i < 12 else "t", 1, "", 1, 1, 1, 1.0) for i in range(24)]
-    total = defaultdict(float)
-    for seed in range(12):
-        for r in mix_sources.mixed_sizes(table(spark, rows), seed=seed).collect():
-            total[r["source"]] += r["taken"] / 12 - r["target"] / 12
-    # A run is off by about five words here, the mean of twelve by one and a half.
-    assert all(abs(v) < 6.5 for v in total.values())
+def test_mix_is_unbiased(spark):
+    # Many sources alike: with weights 2 and 1 their documents expect 4/3 and 2/3 copies.
+    rows = [(i, "x " * (13 + i % 12), None, f"s{i // 12:04d}", 1, "", 1, 1, 1, 1.0) for i in range(12 * 400)]
+    taken, copies = Counter(), Counter()
+    for r in mix_sources.mixed_sizes(table(spark, rows), weights=(2, 1)).collect():
+        kind = int(r["source"][1:]) % 2
+        taken[kind] += r["taken"] - r["target"]
+        copies[kind, r["size"]] += r["copies"]
+    # A source is off by at most 12 words (standard deviation), the mean of 200 by less than one.
+    assert all(abs(v / 200) < 4 for v in taken.values()), taken
+    for (kind, _), n in copies.items():
+        assert abs(n / 200 - (4 / 3, 2 / 3)[kind]) < 5 * (2 / 9 / 200) ** 0.5
 
 
 def test_packing_places_every_token_once(spark):
