@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store, width
+from .common import bound_batches, store, width
 
 START, END = "<|im_start|>", "<|im_end|>"
 _CONTROL, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
@@ -96,6 +96,7 @@ def format_conversations(rows: DataFrame, tokenizer: str, loss_role: str = "assi
     token_ends (32-bit character offsets in the segment's text), loss (a byte for each token).
     """
     spark = rows.sparkSession
+    bound_batches(spark)
     key = ["conv_id", "turn", "role", "text"]
     turns = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = turns.repartitionByRange(width(spark), *key).sortWithinPartitions(*key)

@@ -52,6 +52,14 @@ def drop_stored(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let few rows at a time go to Python: texts may be long, and a batch is held whole on both sides."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 500), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def word_count(text: str = "text"):
     """Number of words of a text column; null counts as empty."""
     return count_runs(text, r"\x20\x09-\x0D")

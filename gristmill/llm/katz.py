@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store, width
+from .common import bound_batches, store, width
 from .kernels import U, mix, pieces, word_hashes
 from .langid import held_out
 
 #: Tokens of a chunk, and keys of a block that is answered at once.
-CHUNK_TOKENS = 1 << 21
+CHUNK_TOKENS = 1 << 20
 BLOCK_KEYS = 1 << 16
 #: Counts up to this are discounted by Good-Turing; above, by RELIABLE, so every context leaves something.
 GT_MOST = 5
@@ -297,6 +297,7 @@ def katz_scores(docs: DataFrame) -> DataFrame:
     gives an empty result.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     table = store(chunks(docs), "chunks")
     size = table.agg(F.sum("tokens").alias("t")).first()["t"] or 0
     shares = max(8, -(-size // (BLOCK_KEYS * 16)))

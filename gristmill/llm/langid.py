@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
 from .kernels import pieces
 
 BITS = 16
@@ -80,6 +81,7 @@ def train(docs: DataFrame) -> Model:
             k = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k, pa.int32()), pa.array(c[k], pa.int64())], ["lang", "bin", "n"])
 
+    bound_batches(docs.sparkSession)
     rows = docs.where("text is not null and lang is not null").select("text", "lang").mapInArrow(run, "lang string, bin int, n long")
     table = rows.groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(table.column("lang").to_pylist()))
@@ -152,6 +154,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     """
     keep = ["doc_id"] if keep is None else keep
     spark = docs.sparkSession
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     fields = [docs.schema[c] for c in keep]
     source = "text" if "text" in keep else "_text"

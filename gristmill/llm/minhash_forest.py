@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import store, width
+from .common import bound_batches, store, width
 from .components import components
 from .kernels import U, mix, pieces, shingle_set, word_hashes
 
@@ -268,6 +268,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     share a doc_id are one document: they share a component. A row with a null id gets a null
     component and is kept. An empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     marks = store(sketches(docs, shingle), "sketches")
     sets = store(marks.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "sets")
     nodes = sets.select("node", "sig")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store, width
+from .common import bound_batches, store
 from .components import components
 
 #: Reference points: a sample of so many vectors, those with the least hash of their id.
@@ -272,6 +272,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, pivots: int = PIVOTS)
     kept; rows of one id count as vectors of their own that share a component. An empty table gives
     an empty result.
     """
+    bound_batches(vectors.sparkSession)
     member = store(usable(vectors), "vectors")
     nodes = store(member.groupBy("v").agg(F.min("vec_id").alias("node"), F.count("*").alias("mult")), "classes")
     widths = [r[0] for r in nodes.select(F.expr("length(v) div 4")).distinct().collect()]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import new_path, width
+from .common import bound_batches, new_path, width
 from .kernels import pieces
 
 CHUNK_IDS = 1 << 20
@@ -72,6 +72,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     writes an empty folder of files.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     n = width(spark)
     ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
 
