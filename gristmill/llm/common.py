@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -53,7 +54,14 @@ def drop_stored(df: DataFrame) -> None:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Let few rows at a time go to Python: texts may be long, and a batch is held whole on both sides."""
+    """Make ready for Python workers: they find this package, and get few rows at a time.
+
+    Texts may be long, and a batch is held whole on both sides.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, (root, env.get("PYTHONPATH"))))
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 500), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
         now = spark.conf.get(key, None)
         if now is None or not now.isdigit() or not 0 < int(now) <= most:

@@ -215,7 +215,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     read by several tasks. One text is held at a time beside a's set.
     """
     spark = pairs.sparkSession
-    slices = F.pmod(F.xxhash64("b"), F.lit(16)).cast("int")
+    slices = F.pmod(F.xxhash64("b"), F.lit(64)).cast("int")
     p = pairs.select("a", "b", slices.alias("slice"))
     other = p.join(texts.withColumnRenamed("node", "b"), "b").select("a", "slice", "b", "text")
     own = p.select("a", "slice").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "slice", F.lit(None).cast("long").alias("b"), "text")

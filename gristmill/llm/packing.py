@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store, width, word_count
+from .common import bound_batches, store, width, word_count
 
 LENGTHS = (1024, 2048, 4096, 8192)
 SHARD_PIECES = 20_000
@@ -81,6 +81,7 @@ def pack_documents(docs: DataFrame, sizes: Sequence[int] = LENGTHS, shard_pieces
     the rows alone, not on their order, but for which of several equal pieces gets which place.
     An empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     longest = max(sizes)
     sized = store(docs.select("doc_id", ((word_count() if size is None else size) + 1).alias("size")), "sizes")
     pieces = sized.select("doc_id", "size", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(longest).cast("long"))).alias("piece", "start"))

@@ -34,15 +34,24 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _plan(v: np.ndarray) -> list[int]:
-    """For each position the selector that packs most of what follows, 0 where the value is too wide."""
+    """For each position the selector that packs most of what follows, 0 where the value is too wide.
+
+    The largest value of the next c positions comes from that of the next p <= c <= 2 p.
+    """
     n = len(v)
     best = np.zeros(n, np.int64)
     index = np.arange(n)
+    top, have = v, 1
     for s in range(15, 0, -1):
-        limit = U(1) << U(BITS[s - 1])
-        wide = np.where(v >= limit, index, n)
-        reach = np.minimum.accumulate(wide[::-1])[::-1] - index
-        best[reach >= COUNTS[s - 1]] = s
+        c = COUNTS[s - 1]
+        if c > n:
+            break
+        top = np.maximum(top[: n - c + 1], top[c - have : c - have + n - c + 1])
+        have = c
+        fits = top < (U(1) << U(BITS[s - 1]))
+        if not fits.any():  # nor do more values of fewer bits fit
+            break
+        best[: n - c + 1][fits] = s
     # At the end of a block the widest layout that holds what is left, padded with zeros. A value that
     # stands alone before a wide one is escaped with it.
     room = np.minimum.accumulate(np.where(v >= _WIDE, index, n)[::-1])[::-1] - index

@@ -11,9 +11,10 @@ each document), ``n`` (ids in all), ``words`` (64-bit little-endian Simple-8b wo
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,36 +27,161 @@ from .kernels import pieces
 
 CHUNK_IDS = 1 << 20
 #: Distinct words whose ids a worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
+_MARKS = frozenset(".,;:!?")
 FILE_SCHEMA = "part int, chunk int, doc_ids array<long>, lengths array<long>, n long, words binary, blocks binary"
 
 
+def _word_pieces(w: str) -> int:
+    """How many word ends the ids of ``w`` have for sure: 1 for Latin letters, 2 with one mark after them, else 0 (unknown)."""
+    if w.isalpha():
+        n = 1
+    elif w[-1:] in _MARKS and w[:-1].isalpha():
+        n = 2
+    else:
+        return 0
+    return n if w.isascii() or max(w) < "\u0250" and "\u0130" not in w else 0
+
+
+def _byte_letters() -> dict[int, str]:
+    """How byte-level models spell the letters from U+0080 to U+024F: a printable byte is itself, the others follow from U+0100."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in own)}
+    return {c: "".join(chr(b if b in own else other[b]) for b in chr(c).encode()) for c in range(0x80, 0x250)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
+def _bare(tokenizer):
+    """The tokenizer's model behind a plain split at spaces, if its own normaliser and pre-tokeniser are the known ones."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    spec = json.loads(tokenizer.to_str())
+    steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+    cuts = [x["type"] for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    if steps != ["NFC", "Replace", "Lowercase"] or cuts != ["Split", "ByteLevel"]:
+        return None
+    bare = Tokenizer(tokenizer.model)
+    bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    return bare
+
+
 class WordEncoder:
     """Encodes texts with the tokenizers library, each distinct word once.
 
     Only for tokenizers that never join characters across a space or line feed (their pre-tokeniser
-    drops white space), where the ids of a text are the ids of its pieces one after another.
+    drops white space), where the ids of a text are the ids of its pieces one after another. Words
+    of Latin letters are encoded many at a time, and told apart by the tokens that end a word in the
+    vocabulary; all others one by one.
     """
 
-    def __init__(self, file: str) -> None:
+    def __init__(self, file: str, end_id: int) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.known: dict[str, list[int]] = {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        words = text.replace("\n", " ").split(" ")
-        known = self.known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > REMEMBERED and known:
-                known.clear()
-                new = list(set(words))
-            for k in range(0, len(new), 4096):
-                part = new[k : k + 4096]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    known[w] = e.ids
-        return np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.uint32)
+        self.suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.bare = _bare(self.tokenizer) if self.suffix else None
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        if self.suffix:
+            for token, k in self.tokenizer.get_vocab().items():
+                self.ends[k] = token.endswith(self.suffix)
+        self.end_id = end_id
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str | None, int] = {None: 0}  # None: the end of a document
+        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.ids, self.used = np.zeros(1 << 18, np.uint32), 1
+        self.ids[0], self.size[0] = self.end_id, 1
+
+    def _learn(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        first = len(self.known)
+        while len(self.start) < first + len(words):
+            self.start, self.size = np.concatenate((self.start, self.start)), np.concatenate((self.size, self.size))
+        while len(self.ids) < self.used + len(ids):
+            self.ids = np.concatenate((self.ids, self.ids))
+        at = slice(first, first + len(words))
+        self.size[at] = sizes
+        self.start[at] = self.used + np.cumsum(sizes) - sizes
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.known.update(zip(words, range(first, first + len(words)), strict=True))
+
+    def _encode_bare(self, words: list[str], counts: np.ndarray) -> None:
+        """Latin letters, and a mark after them, by the library's model alone: to these the normaliser
+        only does lower case, and the pre-tokeniser only cuts off the mark and spells bytes as letters."""
+        for k in range(0, len(words), 1024):
+            part = words[k : k + 1024]
+            text = " ".join([w if n == 1 else f"{w[:-1]} {w[-1]}" for w, n in zip(part, counts[k : k + 1024].tolist(), strict=True)]).lower()
+            if not text.isascii():
+                text = text.translate(_BYTE_LETTERS)
+            ids = np.asarray(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            last, nth = np.flatnonzero(self.ends[ids]), np.cumsum(counts[k : k + 1024])
+            if len(last) == nth[-1]:
+                self._learn(part, np.diff(last[nth - 1], prepend=-1), ids)
+
+    def _encode(self, words: list[str]) -> None:
+        pieces_of = [_word_pieces(w) if self.suffix else 0 for w in words]
+        if self.bare:
+            for ascii_only in (True, False):  # apart, as only the others need their bytes spelt
+                some = [(w, n) for w, n in zip(words, pieces_of, strict=True) if n and w.isascii() == ascii_only]
+                self._encode_bare([w for w, _ in some], np.asarray([n for _, n in some], np.int64))
+            words = [w for w in words if w not in self.known]
+            pieces_of = [0] * len(words)
+        plain = [w for w, n in zip(words, pieces_of, strict=True) if n]
+        counts = np.asarray([n for n in pieces_of if n], np.int64)
+        other = [w for w, n in zip(words, pieces_of, strict=True) if not n]
+        for k in range(0, len(plain), 256):
+            part = plain[k : k + 256]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            last, nth = np.flatnonzero(self.ends[ids]), np.cumsum(counts[k : k + 256])
+            if len(last) == nth[-1]:
+                self._learn(part, np.diff(last[nth - 1], prepend=-1), ids)
+            else:
+                other = other + part
+        for k in range(0, len(other), 4096):
+            part = other[k : k + 4096]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self._learn(part, sizes, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())))
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, each text's followed by the end id, and how many each text has."""
+        words: list[str | None] = []
+        count = []
+        for t in texts:
+            before = len(words)
+            if t:
+                words += t.replace("\n", " ").split(" ")
+            words.append(None)
+            count.append(len(words) - before)
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            new = list({words[i] for i in missing})
+            if len(self.known) + len(new) > REMEMBERED and len(self.known) > 1:
+                self.forget()
+                new = [w for w in set(words) if w is not None]
+                missing = range(len(words))
+            self._encode(new)
+            at[missing] = np.fromiter((self.known[words[i]] for i in missing), np.int64, len(missing))
+        size = self.size[at].astype(np.int64)
+        ends = np.cumsum(size)
+        ids = self.ids[np.repeat(self.start[at] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        last = np.cumsum(count) - 1
+        return ids, np.diff(ends[last], prepend=0)
+
+
+#: A worker process keeps its encoder, and the words it has learnt, from task to task.
+_encoders: dict[tuple[str, int], WordEncoder] = {}
+
+
+def _encoder(file: str, end_id: int) -> WordEncoder:
+    if (file, end_id) not in _encoders:
+        _encoders.clear()
+        _encoders[file, end_id] = WordEncoder(file, end_id)
+    return _encoders[file, end_id]
 
 
 def _chunk(part: int, k: int, docs: list, lengths: list[int], ids: list[np.ndarray]) -> dict:
@@ -82,22 +208,20 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, part, k = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, k = _encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
         held, lengths, ids, size = [], [], [], 0
         schema = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("n", pa.int64()), ("words", pa.binary()), ("blocks", pa.binary())])
-        end = np.asarray([end_id], np.uint32)
         for batch in batches:
             for piece in pieces(batch):
-                for doc, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
-                    x = np.concatenate((encoder(text), end)) if text else end
-                    held.append(doc)
-                    lengths.append(len(x))
-                    ids.append(x)
-                    size += len(x)
-                    if size >= chunk_ids:
-                        yield pa.RecordBatch.from_pylist([_chunk(part, k, held, lengths, ids)], schema)
-                        k += 1
-                        held, lengths, ids, size = [], [], [], 0
+                x, n = encoder(piece.column(1).to_pylist())
+                held += piece.column(0).to_pylist()
+                lengths += n.tolist()
+                ids.append(x)
+                size += len(x)
+                if size >= chunk_ids:
+                    yield pa.RecordBatch.from_pylist([_chunk(part, k, held, lengths, ids)], schema)
+                    k += 1
+                    held, lengths, ids, size = [], [], [], 0
         if held:
             yield pa.RecordBatch.from_pylist([_chunk(part, k, held, lengths, ids)], schema)
 
