@@ -548,3 +548,44 @@ def g7_quality_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = dashboard.review_counters(tables.findings(spark, sf_dir))
     return dashboard.quality_gates(gates, c).select("review_id", "gate", (~F.col("passed")).alias("failed"))
 
+
+
+#: Sources with something to find in each language; driver texts are prose.
+SNIPPETS = (
+    ("a.go", "go", 'db.Query("SELECT * FROM t WHERE id = " + id)\nh := md5.New()\nif err != nil { }\n'),
+    ("b.java", "java", 'try { run(); } catch (Exception e) { e.printStackTrace(); }\nstmt.executeQuery("SELECT " + name)\n'),
+    ("c.js", "javascript", "var x = eval(input)\nconsole.log(x)\nel.innerHTML = x\n"),
+    ("d.ts", "typescript", "let a: any = 1\nif (a instanceof Array) {}\n"),
+    ("e.rs", "rust", "unsafe fn f() { todo!() }\nif v.len() == 0 {}\n"),
+    ("f.py", "python", "def f(a, b):\n    if a and b:\n        for x in a:\n            if x > b:\n                return x\n    return None\n\n\ndef g():\n    return 1\n"),
+)
+
+
+def _snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each snippet once for every supplier, so that the work grows with the tables."""
+    s = spark.createDataFrame(list(SNIPPETS), "name string, language string, content string")
+    return tables.table(spark, sf_dir, "supplier").select("s_suppkey").join(F.broadcast(s)).select(F.concat(F.col("s_suppkey").cast("string"), F.lit("/"), F.col("name")).alias("file_path"), "language", "content")
+
+
+@query("""SELECT d.language, d.detector, (SELECT count(*) FROM supplier) AS files, CAST((SELECT count(*) FROM supplier) * d.line AS BIGINT) AS lines FROM (VALUES ('go', 'go-sql-concat', 1), ('go', 'go-sql-literal', 1), ('go', 'go-md5', 2), ('go', 'go-empty-error-check', 3),
+('java', 'java-catch-exception', 1), ('java', 'java-stack-trace', 1), ('java', 'java-sql-concat', 2), ('javascript', 'js-var', 1), ('javascript', 'js-eval', 1), ('javascript', 'js-console', 2), ('javascript', 'js-inner-html', 3),
+('typescript', 'ts-any', 1), ('typescript', 'ts-instanceof-array', 2), ('rust', 'rust-unsafe-fn', 1), ('rust', 'rust-todo', 1), ('rust', 'rust-len-zero', 2)) d(language, detector, line)""")
+def t7_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.detectors import detect
+
+    d = detect(_snippets(spark, sf_dir))
+    return d.groupBy("language", "detector").agg(F.count("*").alias("files"), F.sum("line_start").alias("lines"))
+
+
+@query("""SELECT m.name, m.cyclomatic, m.cognitive, m.nesting, m.cyclomatic_analysis, (SELECT count(*) FROM supplier) AS functions FROM (VALUES ('f', CAST(5 AS BIGINT), CAST(7 AS BIGINT), CAST(3 AS BIGINT), CAST(5 AS BIGINT)), ('g', 1, 0, 0, 1)) m(name, cyclomatic, cognitive, nesting, cyclomatic_analysis)""")
+def m1_python_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.metrics import python_metrics
+
+    return python_metrics(_snippets(spark, sf_dir)).groupBy("name", "cyclomatic", "cognitive", "nesting", "cyclomatic_analysis").agg(F.count("*").alias("functions"))
+
+
+@query("SELECT 2 * count(*) AS functions, CAST(3.0 AS DOUBLE) AS avg_cyclomatic, CAST(5 AS BIGINT) AS max_cyclomatic, CAST(0 AS BIGINT) AS complex FROM supplier")
+def a26_complexity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.metrics import complexity_summary, python_metrics
+
+    return complexity_summary(python_metrics(_snippets(spark, sf_dir))).select("functions", "avg_cyclomatic", "max_cyclomatic", "complex")
