@@ -36,7 +36,7 @@ def apply_fixes(files: DataFrame, fixes: DataFrame) -> DataFrame:
     todo = fixes.groupBy("file_path").agg(F.sort_array(F.collect_list(F.struct("line_start", "line_end", "new_code")), asc=False).alias("fixes"))
     put = """array_join(aggregate(coalesce(fixes, array()), split(content, '\\n', -1), (l, x) ->
       concat(slice(l, 1, cast(x.line_start - 1 AS int)), split(x.new_code, '\\n', -1), slice(l, cast(x.line_end + 1 AS int), greatest(size(l) - cast(x.line_end AS int), 0)))), '\\n')"""
-    return files.join(todo, "file_path", "left").withColumn("content", F.expr(put.replace("\\n", "\\\\n"))).drop("fixes")
+    return files.join(todo, "file_path", "left").withColumn("content", F.expr(put)).drop("fixes")
 
 
 def in_changed_lines(findings: DataFrame, hunks: DataFrame, context: int = 0) -> DataFrame:

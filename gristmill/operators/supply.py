@@ -68,7 +68,7 @@ def dependencies(manifests: DataFrame) -> DataFrame:
     """
     name = F.element_at(F.split("file_path", "/"), -1)
     m = manifests.withColumn("_name", name)
-    lines = m.where(F.col("_name").isin("requirements.txt", "go.mod", "Cargo.toml")).select("file_path", "_name", F.posexplode(F.split("content", "\n")).alias("pos", "line")).withColumn("line", F.trim("line"))
+    lines = m.where(F.col("_name").isin("requirements.txt", "go.mod", "Cargo.toml")).select("file_path", "_name", F.posexplode(F.split("content", "\n")).alias("pos", "line")).withColumn("line", F.btrim("line", F.lit(" \t\r")))
     pip = lines.where("_name = 'requirements.txt' AND line <> '' AND NOT startswith(line, '#') AND NOT startswith(line, '-')")
     req = r"^([A-Za-z0-9][A-Za-z0-9._-]*)(?:\[[^\]]*\])?\s*(?:[=<>!~]=?=?\s*([0-9A-Za-z.*+!-]+))?"
     pip = pip.select("file_path", F.regexp_extract("line", req, 1).alias("name"), F.nullif(F.regexp_extract("line", req, 2), F.lit("")).alias("version"), F.lit("PyPI").alias("ecosystem")).where("name <> ''")
