@@ -18,7 +18,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     planted = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     segments = chat_format.format_conversations(rows.unionByName(planted), token_files.tokenizer_file("byte_bpe_50k.json"))
-    return chat_format.conversation_digests(segments)
+    return chat_format.conversation_digests(segments).drop("n_tokens", "loss_tokens")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,4 +66,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_language_mixture, op7_line_quality, op8_license_scan, op9_pivot_index, op10_token_files,
     )
 }
-ORACLES: dict[str, str] = {}
+_SAID = "<|im_end|><|im_start|>assistant ok"
+_ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\1\\|', 'g')"
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+
+ORACLES: dict[str, str] = {
+    "op1_chat_format": rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (CAST(-1 AS BIGINT), CAST(0 AS BIGINT), 'user', '{_SAID}'), (-1, 1, 'assistant', '{_SAID}')) v)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(24 + length({_ESCAPED.format(r"replace(replace(role, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n')")}) + length({_ESCAPED.format("text")})) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id""",
+    "op7_line_quality": rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+b AS (SELECT rid, doc_id, source, t, regexp_extract_all(t, {_WORDS}) AS ws FROM d),
+g AS (SELECT rid, i, w, lead(w, 1) OVER p AS w1, lead(w, 2) OVER p AS w2 FROM (SELECT rid, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM b) WINDOW p AS (PARTITION BY rid ORDER BY i)),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, w, w1, w2) AS c FROM g WHERE w2 IS NOT NULL) WHERE c > 1),
+c AS (SELECT rid, count(DISTINCT i + k) AS n FROM r, (VALUES (0), (1), (2)) v(k) GROUP BY rid),
+l AS (SELECT rid, source, t, x, lower(trim(regexp_replace(x, '[ 	-]+', ' ', 'g'), ' ')) AS n, len(regexp_extract_all(x, {_WORDS})) AS words FROM (SELECT rid, source, t, unnest(string_split(t, chr(10))) AS x FROM b) WHERE regexp_matches(x, {_WORDS})),
+h AS (SELECT source, count(DISTINCT t) AS docs FROM d GROUP BY source),
+f AS (SELECT l.source, l.n FROM l JOIN h ON l.source IS NOT DISTINCT FROM h.source GROUP BY l.source, l.n, h.docs HAVING count(DISTINCT l.t) > 20 AND count(DISTINCT l.t) > 0.05 * h.docs),
+m AS (SELECT rid, sum(words) AS gone FROM l JOIN f ON l.n = f.n AND l.source IS NOT DISTINCT FROM f.source GROUP BY rid),
+u AS (SELECT rid, count(*) - count(DISTINCT x) AS n FROM l GROUP BY rid),
+s AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(u.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone, 0) AS BIGINT) AS removed_words
+  FROM b LEFT JOIN u USING (rid) LEFT JOIN c USING (rid) LEFT JOIN m USING (rid)),
+v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
+SELECT *, NOT base_failed AND NOT (removed_words > 0 AND (100 * removed_words > 80 * n_words OR n_words - removed_words < 50)) AS kept FROM v""",
+}
