@@ -589,3 +589,10 @@ def a26_complexity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.metrics import complexity_summary, python_metrics
 
     return complexity_summary(python_metrics(_snippets(spark, sf_dir))).select("functions", "avg_cyclomatic", "max_cyclomatic", "complex")
+
+
+@query("SELECT 'return-annotation' AS check, 2 * count(*) AS findings FROM supplier UNION ALL SELECT 'unused-function', 2 * count(*) FROM supplier")
+def t8_python_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.python_checks import check_files
+
+    return check_files(_snippets(spark, sf_dir)).groupBy("check").agg(F.count("*").alias("findings"))

@@ -289,3 +289,43 @@ def test_running_counters(spark, tmp_path):
     q = counters.start(counters.running_counters(stream), "live_counters", str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert {(r["review_id"], r["total_findings"], r["critical"]) for r in spark.table("live_counters").collect()} == {(1, 2, 0), (2, 1, 1)}
+
+
+BAD = '''
+import os, json
+from x import *
+
+def run(request, a=[], b: int = 1):
+    q = request.args.get("q")
+    cursor.execute("select " + q)
+    try:
+        eval(q)
+    except:
+        pass
+    if a == None or a is 3 or b == True:
+        return 1
+        print("never")
+    for i in a:
+        for j in a:
+            for k in a:
+                out += requests.get(f"http://{k}")
+    # TODO later
+    password = "abcdefghijk"
+    return os.path
+
+def twin():
+    return 1
+
+def twin():
+    return 1
+'''
+
+
+def test_python_checks(spark):
+    from gristmill.operators import python_checks
+
+    df = spark.createDataFrame([("a.py", "python", BAD), ("b.py", "python", "def ("), ("c.go", "go", BAD), ("ok.py", "python", "x = 1\n")], "file_path string, language string, content string")
+    got = [(r["file_path"], r["check"], r["line_start"]) for r in python_checks.check_files(df).collect()]
+    want = {("a.py", c, n) for c, n in (("unused-import", 2), ("wildcard-import", 3), ("mutable-default", 5), ("partial-annotations", 5), ("return-annotation", 5), ("sql", 7), ("taint", 7), ("eval", 9), ("taint", 9), ("bare-except", 10), ("swallowed", 10), ("none-equality", 12), ("is-literal", 12), ("bool-equality", 12), ("unreachable", 14), ("nested-loops", 15), ("network-loop", 17), ("concat-loop", 16), ("ssrf", 18), ("todo", 19), ("secret", 20), ("duplicate", 26), ("unused-function", 23))}
+    assert want <= set(got), want - set(got)
+    assert ("b.py", "syntax", 1) in got and not any(f in ("c.go", "ok.py") for f, _, _ in got)
