@@ -16,6 +16,7 @@ PIECE = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240517))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+_CASED = _BYTE.copy()
 _BYTE[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -40,11 +41,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _hash_piece(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and starts of the words of ``data``."""
+def hash_piece(data: bytes, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of the words of ``data``; without ``fold`` letter case counts."""
     b = np.frombuffer(data, np.uint8)
     if not len(b):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     word = ~_SPACE[b]
     edge = np.flatnonzero(word[1:] != word[:-1]) + 1
     if word[0]:
@@ -54,9 +55,19 @@ def _hash_piece(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     start, end = edge[0::2], edge[1::2]
     p, inv = _power(len(b) + 1)
     total = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_BYTE[b] * p[: len(b)], out=total[1:])
+    np.cumsum((_BYTE if fold else _CASED)[b] * p[: len(b)], out=total[1:])
     h = (total[end] - total[start]) * inv[start]
-    return mix(h + (end - start).astype(np.uint64)), start
+    return mix(h + (end - start).astype(np.uint64)), start, end
+
+
+def cut_long(data: bytes) -> list[bytes]:
+    """``data`` in parts of about PIECE bytes, cut at white space."""
+    parts, at = [], 0
+    while len(data) - at > PIECE:
+        cut = next((i for i in range(at + PIECE, len(data)) if _SPACE[data[i]]), len(data))
+        parts.append(data[at:cut])
+        at = cut
+    return [*parts, data[at:]]
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +78,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         nonlocal group, size
         if group:
             starts = np.cumsum([0] + [len(x) + 1 for _, x in group])
-            h, at = _hash_piece(b"\n".join(x for _, x in group))
+            h, at, _ = hash_piece(b"\n".join(x for _, x in group))
             cut = np.searchsorted(at, starts)
             cut[-1] = len(at)
             np.add.at(counts, [k for k, _ in group], np.diff(cut))
@@ -76,15 +87,11 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
     for k, text in enumerate(texts):
         data = text.encode("utf-8", "surrogatepass") if text else b""
-        while len(data) > PIECE:
-            cut = next((i for i in range(PIECE, len(data)) if _SPACE[data[i]]), len(data))
-            group.append((k, data[:cut]))
-            flush()
-            data = data[cut:]
-        group.append((k, data))
-        size += len(data)
-        if size > PIECE:
-            flush()
+        for part in cut_long(data):
+            group.append((k, part))
+            size += len(part)
+            if size > PIECE:
+                flush()
     flush()
     return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), np.concatenate(([0], np.cumsum(counts)))
 

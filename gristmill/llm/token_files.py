@@ -14,7 +14,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import simple8b
 from .common import bound_batches, new_path, width
-from .kernels import pieces
+from .kernels import cut_long, hash_piece, pieces
 
 CHUNK_IDS = 1 << 20
 #: Distinct words whose ids a worker remembers before it starts anew.
@@ -68,7 +68,7 @@ def _bare(tokenizer):
 
 
 class WordEncoder:
-    """Encodes texts with the tokenizers library, each distinct word once.
+    """Encodes texts with the tokenizers library, each distinct word once, known by its 64-bit hash.
 
     Only for tokenizers that never join characters across a space or line feed (their pre-tokeniser
     drops white space), where the ids of a text are the ids of its pieces one after another. Words
@@ -87,90 +87,98 @@ class WordEncoder:
             for token, k in self.tokenizer.get_vocab().items():
                 self.ends[k] = token.endswith(self.suffix)
         self.end_id = end_id
+        self.fold = self.bare is not None  # its normaliser makes lower case
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str | None, int] = {None: 0}  # None: the end of a document
+        self.keys, self.number = np.empty(0, np.uint64), np.empty(0, np.int64)  # hashes of words, sorted, and their numbers
         self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
-        self.ids, self.used = np.zeros(1 << 18, np.uint32), 1
-        self.ids[0], self.size[0] = self.end_id, 1
+        self.ids, self.used, self.words = np.zeros(1 << 18, np.uint32), 0, 0
+        self.new: list[int] = []
 
-    def _learn(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
-        first = len(self.known)
-        while len(self.start) < first + len(words):
+    def _learn(self, keys: list[int], sizes: np.ndarray, ids: np.ndarray) -> None:
+        first = self.words
+        self.words += len(keys)
+        while len(self.start) < self.words:
             self.start, self.size = np.concatenate((self.start, self.start)), np.concatenate((self.size, self.size))
         while len(self.ids) < self.used + len(ids):
             self.ids = np.concatenate((self.ids, self.ids))
-        at = slice(first, first + len(words))
-        self.size[at] = sizes
-        self.start[at] = self.used + np.cumsum(sizes) - sizes
+        self.size[first : self.words] = sizes
+        self.start[first : self.words] = self.used + np.cumsum(sizes) - sizes
         self.ids[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
-        self.known.update(zip(words, range(first, first + len(words)), strict=True))
+        self.new += keys
 
-    def _encode_bare(self, words: list[str], counts: np.ndarray) -> None:
+    def _encode_bare(self, words: list[tuple[str, int, int]], spell: bool) -> None:
         """Latin letters, and a mark after them, by the library's model alone: to these the normaliser
         only does lower case, and the pre-tokeniser only cuts off the mark and spells bytes as letters."""
         for k in range(0, len(words), 1024):
             part = words[k : k + 1024]
-            text = " ".join([w if n == 1 else f"{w[:-1]} {w[-1]}" for w, n in zip(part, counts[k : k + 1024].tolist(), strict=True)]).lower()
-            if not text.isascii():
-                text = text.translate(_BYTE_LETTERS)
-            ids = np.asarray(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            last, nth = np.flatnonzero(self.ends[ids]), np.cumsum(counts[k : k + 1024])
+            text = " ".join([w if n == 1 else f"{w[:-1]} {w[-1]}" for w, n, _ in part]).lower()
+            ids = np.asarray(self.bare.encode_batch_fast([text.translate(_BYTE_LETTERS) if spell else text], add_special_tokens=False)[0].ids, np.uint32)
+            last, nth = np.flatnonzero(self.ends[ids]), np.cumsum([n for _, n, _ in part])
             if len(last) == nth[-1]:
-                self._learn(part, np.diff(last[nth - 1], prepend=-1), ids)
-
-    def _encode(self, words: list[str]) -> None:
-        pieces_of = [_word_pieces(w) if self.suffix else 0 for w in words]
-        if self.bare:
-            for ascii_only in (True, False):  # apart, as only the others need their bytes spelt
-                some = [(w, n) for w, n in zip(words, pieces_of, strict=True) if n and w.isascii() == ascii_only]
-                self._encode_bare([w for w, _ in some], np.asarray([n for _, n in some], np.int64))
-            words = [w for w in words if w not in self.known]
-            pieces_of = [0] * len(words)
-        plain = [w for w, n in zip(words, pieces_of, strict=True) if n]
-        counts = np.asarray([n for n in pieces_of if n], np.int64)
-        other = [w for w, n in zip(words, pieces_of, strict=True) if not n]
-        for k in range(0, len(plain), 256):
-            part = plain[k : k + 256]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            last, nth = np.flatnonzero(self.ends[ids]), np.cumsum(counts[k : k + 256])
-            if len(last) == nth[-1]:
-                self._learn(part, np.diff(last[nth - 1], prepend=-1), ids)
+                self._learn([h for _, _, h in part], np.diff(last[nth - 1], prepend=-1), ids)
             else:
-                other = other + part
-        for k in range(0, len(other), 4096):
-            part = other[k : k + 4096]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                self._encode_each([(w, h) for w, _, h in part])
+
+    def _encode_each(self, words: list[tuple[str, int]]) -> None:
+        for k in range(0, len(words), 4096):
+            part = words[k : k + 4096]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([w for w, _ in part], add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self._learn(part, sizes, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())))
+            self._learn([h for _, h in part], sizes, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())))
+
+    def _encode(self, words: list[tuple[str, int]]) -> None:
+        plain: dict[bool, list[tuple[str, int, int]]] = {True: [], False: []}
+        other = []
+        for w, h in words:
+            n = _word_pieces(w) if self.bare else 0
+            if n:
+                plain[w.isascii()].append((w, n, h))
+            else:
+                other.append((w, h))
+        self._encode_bare(plain[True], False)
+        self._encode_bare(plain[False], True)
+        self._encode_each(other)
+
+    def _look_up(self, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where sorted hashes stand among the known ones, and which are known."""
+        at = np.searchsorted(self.keys, distinct)
+        there = np.minimum(at, max(len(self.keys) - 1, 0))
+        return at, self.keys[there] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and how many each text has."""
-        words: list[str | None] = []
-        count = []
-        for t in texts:
-            before = len(words)
-            if t:
-                words += t.replace("\n", " ").split(" ")
-            words.append(None)
-            count.append(len(words) - before)
-        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(at < 0).tolist()
-        if missing:
-            new = list({words[i] for i in missing})
-            if len(self.known) + len(new) > REMEMBERED and len(self.known) > 1:
+        blob = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        bounds = np.cumsum([0] + [len(x) + 1 for x in blob])
+        data, found, at = b"\n".join(blob), [], 0
+        for part in cut_long(data):
+            h, start, end = hash_piece(part, self.fold)
+            found.append((h, start + at, end + at))
+            at += len(part)
+        h, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
+        distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
+        at, known = self._look_up(distinct)
+        if not known.all():
+            if len(self.keys) and len(self.keys) + np.count_nonzero(~known) > REMEMBERED:
                 self.forget()
-                new = [w for w in set(words) if w is not None]
-                missing = range(len(words))
-            self._encode(new)
-            at[missing] = np.fromiter((self.known[words[i]] for i in missing), np.int64, len(missing))
-        size = self.size[at].astype(np.int64)
-        ends = np.cumsum(size)
-        ids = self.ids[np.repeat(self.start[at] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        last = np.cumsum(count) - 1
-        return ids, np.diff(ends[last], prepend=0)
+                known[:] = False
+            i = np.flatnonzero(~known)
+            begin = self.words
+            self._encode([(data[a:b].decode("utf-8", "surrogatepass"), k) for a, b, k in zip(start[first[i]].tolist(), end[first[i]].tolist(), distinct[i].tolist(), strict=True)])
+            fresh = np.asarray(self.new, np.uint64)
+            self.new = []
+            order = np.argsort(fresh)
+            place = np.searchsorted(self.keys, fresh[order])
+            self.keys, self.number = np.insert(self.keys, place, fresh[order]), np.insert(self.number, place, begin + order)
+            at, known = self._look_up(distinct)
+        n = self.number[at][back]
+        size = self.size[n].astype(np.int64)
+        total = np.cumsum(size)
+        ids = self.ids[np.repeat(self.start[n] - (total - size), size) + np.arange(int(total[-1]) if len(total) else 0)]
+        cut = np.concatenate(([0], total))[np.searchsorted(start, bounds[1:])]  # ids before the end of each text
+        return np.insert(ids, cut, np.uint32(self.end_id)), np.diff(cut, prepend=0) + 1
 
 
 #: A worker process keeps its encoder, and the words it has learnt, from task to task.
@@ -184,6 +192,21 @@ def _encoder(file: str, end_id: int) -> WordEncoder:
     return _encoders[file, end_id]
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], most: int = 1 << 22) -> Iterator[tuple[list, list]]:
+    """Ids and texts of about ``most`` bytes at a time."""
+    ids, texts, size = [], [], 0
+    for batch in batches:
+        for piece in pieces(batch):
+            ids += piece.column(0).to_pylist()
+            texts += piece.column(1).to_pylist()
+            size += piece.nbytes
+            if size >= most:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def _chunk(part: int, k: int, docs: list, lengths: list[int], ids: list[np.ndarray]) -> dict:
     values = np.concatenate(ids) if ids else np.empty(0, np.uint32)
     words, starts = simple8b.encode(values)
@@ -211,17 +234,16 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         encoder, part, k = _encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
         held, lengths, ids, size = [], [], [], 0
         schema = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("n", pa.int64()), ("words", pa.binary()), ("blocks", pa.binary())])
-        for batch in batches:
-            for piece in pieces(batch):
-                x, n = encoder(piece.column(1).to_pylist())
-                held += piece.column(0).to_pylist()
-                lengths += n.tolist()
-                ids.append(x)
-                size += len(x)
-                if size >= chunk_ids:
-                    yield pa.RecordBatch.from_pylist([_chunk(part, k, held, lengths, ids)], schema)
-                    k += 1
-                    held, lengths, ids, size = [], [], [], 0
+        for docs_now, texts in _gathered(batches):
+            x, n = encoder(texts)
+            held += docs_now
+            lengths += n.tolist()
+            ids.append(x)
+            size += len(x)
+            if size >= chunk_ids:
+                yield pa.RecordBatch.from_pylist([_chunk(part, k, held, lengths, ids)], schema)
+                k += 1
+                held, lengths, ids, size = [], [], [], 0
         if held:
             yield pa.RecordBatch.from_pylist([_chunk(part, k, held, lengths, ids)], schema)
 
