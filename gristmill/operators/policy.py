@@ -53,3 +53,47 @@ def verdicts(violations: DataFrame, policies: DataFrame) -> DataFrame:
     out = policies.join(v, policies["id"] == v["policy_id"], "left").withColumn("violations", F.coalesce("violations", F.lit(0)))
     flexible = F.col("enforcement") == "flexible"
     return out.select("id", "action", "enforcement", "violations", (F.col("violations") == 0).alias("passed"), ((F.col("violations") > 0) & (F.col("action") == "block") & (F.col("enforcement") == "strict")).alias("blocks"), ((F.col("violations") > 0) & flexible).alias("can_override"))
+
+
+def any_file(files: str, include: list[str], exclude: list[str] | None = None):
+    """Whether some file of an array column fits an included pattern and no excluded one."""
+    return F.exists(files, lambda f: _fits(f, include) & ~_fits(f, exclude or []))
+
+
+def _fits(f, patterns: list[str]):
+    found = F.lit(False)
+    for p in patterns:
+        found = found | regex.glob(f, p)
+    return found
+
+
+def compliance(results: DataFrame, scope) -> DataFrame:
+    """Evaluations, passes and their share in per cent by scope; ``results`` has ``passed``."""
+    return results.groupBy(scope).agg(F.count("*").alias("evaluations"), F.count_if("passed").alias("passed"), F.round(100.0 * F.count_if("passed") / F.count("*"), 4).alias("compliance"))
+
+
+# Ready-made policies by name.
+TEMPLATES = {
+    "strict-security": {"action": "block", "enforcement": "strict", "max_critical": 0, "max_high": 0},
+    "balanced": {"action": "block", "enforcement": "flexible", "max_critical": 0, "max_high": 5},
+    "advisory": {"action": "warn", "enforcement": "advisory", "max_critical": 5, "max_high": 20},
+}
+
+
+def load_policies(text: str, form: str = "yaml") -> list[dict]:
+    """Policies of a YAML or JSON text with a list ``policies``; id, name and action must be there."""
+    import json
+
+    if form == "json":
+        data = json.loads(text)
+    else:
+        import yaml
+
+        data = yaml.safe_load(text)
+    out = []
+    for p in (data or {}).get("policies", []):
+        missing = [k for k in ("id", "name", "action") if not p.get(k)]
+        if missing:
+            raise ValueError(f"policy without {', '.join(missing)}")
+        out.append({"enabled": True, "priority": 0, "scope": [], "branches": [], "exclude_branches": [], "enforcement": "strict", **p})
+    return sorted(out, key=lambda p: (-p["priority"], p["id"]))

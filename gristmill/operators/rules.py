@@ -62,6 +62,11 @@ SAST_RULES = (
 )
 
 
+def fits_language(r: Rule, column: str):
+    """Whether a rule is for a language, whatever the letters' case; without languages it is for all."""
+    return F.lower(column).isin(*[x.lower() for x in r.languages]) if r.languages else F.lit(True)
+
+
 def _finding(r: Rule):
     """A match as a finding of the rule."""
     fixed = [F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.message).alias("message"), F.lit(r.suggestion).cast("string").alias("suggestion")]
@@ -103,7 +108,7 @@ class RulesEngine:
             found = regex.matches(text, r.java_pattern())
             made = F.transform(found, _finding(r))
             if r.languages:
-                made = F.when(F.lower("language").isin(*[x.lower() for x in r.languages]), made)
+                made = F.when(fits_language(r, "language"), made)
             parts.append(F.coalesce(made, F.expr("cast(array() AS array<struct<rule_id:string,severity:string,message:string,suggestion:string,line_start:bigint,col:bigint,matched:string>>)")))
         return files.select(*keep, F.explode(F.concat(*parts)).alias("m")).select(*keep, "m.*")
 
