@@ -329,3 +329,36 @@ def test_python_checks(spark):
     want = {("a.py", c, n) for c, n in (("unused-import", 2), ("wildcard-import", 3), ("mutable-default", 5), ("partial-annotations", 5), ("return-annotation", 5), ("sql", 7), ("taint", 7), ("eval", 9), ("taint", 9), ("bare-except", 10), ("swallowed", 10), ("none-equality", 12), ("is-literal", 12), ("bool-equality", 12), ("unreachable", 14), ("nested-loops", 15), ("network-loop", 17), ("concat-loop", 16), ("ssrf", 18), ("todo", 19), ("secret", 20), ("duplicate", 26), ("unused-function", 23))}
     assert want <= set(got), want - set(got)
     assert ("b.py", "syntax", 1) in got and not any(f in ("c.go", "ok.py") for f, _, _ in got)
+
+
+def test_fixes(spark):
+    from gristmill.operators import fixes
+
+    f = spark.createDataFrame([("a.py", "python", "import os\nif x == None:\n    pass\nexcept:\ns = \"a {} b\".format(v)\n"), ("b.js", "javascript", "var x = a == b\ny = x && x.z\n")], "file_path string, language string, content string")
+    said = [("a.py", 1, 1, "Unused import: 'os'"), ("a.py", 2, 2, "Use 'is None' for None checks"), ("a.py", 4, 4, "Bare except clause"), ("a.py", 5, 5, "Use an f-string"), ("a.py", 3, 3, "Bare except"), ("b.js", 1, 1, "Use 'let' or 'const' instead of 'var'"), ("b.js", 2, 2, "Use optional chaining")]
+    x = spark.createDataFrame(said, "file_path string, line_start long, line_end long, message string")
+    got = {(r["file_path"], r["line_start"]): (r["fix"], r["new_code"]) for r in fixes.propose_fixes(x, f).collect()}
+    assert got == {("a.py", 1): ("unused-import", ""), ("a.py", 2): ("none-comparison", "if x is None:"), ("a.py", 4): ("bare-except", "except Exception:"), ("a.py", 5): ("f-string", 's = f"a {v} b"'), ("b.js", 1): ("var", "const x = a == b"), ("b.js", 2): ("optional-chaining", "y = x?.z")}
+    out = {r["file_path"]: r["content"] for r in intervals.apply_fixes(f, fixes.propose_fixes(x, f)).collect()}
+    assert out["b.js"] == "const x = a == b\ny = x?.z\n"
+
+
+def test_store(spark, tmp_path):
+    from gristmill.sources.store import Store
+
+    s = Store(spark, str(tmp_path))
+    assert s.project("a") == s.project("a") != s.project("b") and s.read("projects").count() == 2
+    s.append("reviews", spark.createDataFrame([(1, 5), (2, 5)], "review_id long, project_id long"))
+    s.append("findings", spark.createDataFrame([(1, "low", "b"), (1, "high", "a"), (2, "low", "c")], "review_id long, severity string, file_path string"))
+    assert [r["severity"] for r in s.review_findings(1).collect()] == ["high", "low"] and s.recent_reviews(1).first()["review_id"] == 2
+
+
+def test_presets_and_policy_files():
+    from gristmill.plans import presets
+
+    assert presets.compare("security", "quick")["min_severity"] == ("medium", "high")
+    assert presets.merged({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}}
+    p = policy.load_policies("policies:\n- {id: a, name: A, action: warn}\n- {id: b, name: B, action: block, priority: 2}\n")
+    assert [x["id"] for x in p] == ["b", "a"]
+    with pytest.raises(ValueError):
+        policy.load_policies('{"policies": [{"id": "a"}]}', "json")
