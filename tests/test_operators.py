@@ -362,3 +362,13 @@ def test_presets_and_policy_files():
     assert [x["id"] for x in p] == ["b", "a"]
     with pytest.raises(ValueError):
         policy.load_policies('{"policies": [{"id": "a"}]}', "json")
+
+
+def test_blocks(spark):
+    from gristmill.operators import braces
+
+    go = 'go func() {\n\tfor i := range x {\n\t\ts += "a"\n\t}\n}()\ngo func() {\n\tselect {}\n}()\nfor {\n\tdefer f()\n\tdb.Query(q)\n}\n'
+    js = "function f() {\n" + "  if (a && b) {}\n" * 6 + "}\nfunction g() { return 1 }\n"
+    df = spark.createDataFrame([("a.go", "go", go), ("b.js", "javascript", js), ("c.py", "python", go)], "file_path string, language string, content string")
+    got = {(r["file_path"], r["check"], r["line_start"], r["severity"]) for r in braces.check_blocks(df).collect()}
+    assert got == {("a.go", "go-goroutine-leak", 1, "high"), ("a.go", "go-concat-loop", 2, "medium"), ("a.go", "go-defer-loop", 9, "medium"), ("a.go", "go-query-loop", 9, "high"), ("b.js", "js-complexity", 1, "low")}
