@@ -729,3 +729,81 @@ def m14_debt_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     m = debt_minutes(python_metrics(_snippets(spark, sf_dir)))
     return m.groupBy("name").agg(F.count("*").alias("functions"), F.sum("minutes").cast("long").alias("minutes"))
+
+
+@query("SELECT * FROM (VALUES ('critical', CAST(6 AS BIGINT)), ('high', 5), ('medium', 4)) v(severity, weaknesses)")
+def t6_weakness_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .weaknesses import weaknesses
+
+    return weaknesses(spark).groupBy("severity").agg(F.count("*").alias("weaknesses"))
+
+
+@query("SELECT severity, count(*) AS findings, count(DISTINCT file_path || ':' || CAST(line_start AS VARCHAR) || message) AS lines FROM findings GROUP BY severity")
+def k3_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.sinks import markdown
+
+    m = markdown(tables.findings(spark, sf_dir))
+    return m.select("severity", "findings", (F.size(F.split("section", "\n")) - 1).cast("long").alias("lines"))
+
+
+@query("SELECT review_id, CASE WHEN m = 4 THEN 'blocked' WHEN m = 3 THEN 'needs work' WHEN m >= 1 THEN 'comments' ELSE 'clean' END AS badge, n AS findings, least(n, 3) AS shown FROM (SELECT review_id, max(coalesce(rnk, -1)) AS m, count(*) AS n FROM ranked GROUP BY review_id)")
+def k4_pr_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.sinks import pr_comment
+
+    return pr_comment(tables.findings(spark, sf_dir), ["review_id"], list(ORDER), 3).withColumn("shown", F.col("shown").cast("long"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS results FROM findings")
+def k1_sarif_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.sinks import sarif_results
+
+    s = sarif_results(tables.findings(spark, sf_dir)).where(F.get_json_object("result", "$.locations[0].physicalLocation.region.startLine").isNotNull())
+    return s.agg(F.count("*").alias("results"))
+
+
+@query("SELECT fix, (SELECT count(*) FROM supplier) AS fixes FROM (VALUES ('var'), ('none-comparison')) v(fix)")
+def e2_fix_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.fixes import propose_fixes
+
+    s = spark.createDataFrame([("a.js", "javascript", "var x = 1\n", 1, "Use 'let' or 'const' instead of 'var'"), ("b.py", "python", "\nif x == None: pass\n", 2, "Use 'is None' for None checks")], "name string, language string, content string, line_start long, message string")
+    f = tables.table(spark, sf_dir, "supplier").select("s_suppkey").join(F.broadcast(s)).withColumn("file_path", F.concat(F.col("s_suppkey").cast("string"), F.lit("/"), F.col("name"))).withColumn("line_end", F.col("line_start"))
+    return propose_fixes(f.select("file_path", "line_start", "line_end", "message"), f.select("file_path", "language", "content")).groupBy("fix").agg(F.count("*").alias("fixes"))
+
+
+@query("SELECT file_path, md5(content || chr(10) || '# checked') AS digest FROM files WHERE content NOT LIKE '%' || chr(10) || '%'")
+def d5_apply_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of one line get a second one."""
+    f = tables.files(spark, sf_dir).where(~F.contains("content", F.lit("\n"))).select("file_path", "content")
+    fixes = f.select("file_path", F.lit(1).cast("long").alias("line_start"), F.lit(1).cast("long").alias("line_end"), F.concat("content", F.lit("\n# checked")).alias("new_code"))
+    return intervals.apply_fixes(f, fixes).select("file_path", F.md5("content").alias("digest"))
+
+
+@query("SELECT 'go-concat-loop' AS check, count(*) AS findings FROM supplier UNION ALL SELECT 'go-goroutine-leak', count(*) FROM supplier")
+def t9_block_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.braces import check_blocks
+
+    s = tables.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("file_path"), F.lit("go").alias("language"), F.lit('go func() {\n\tfor i := range x {\n\t\ts += "a"\n\t}\n}()\n').alias("content"))
+    return check_blocks(s).groupBy("check").agg(F.count("*").alias("findings"))
+
+
+@query("SELECT 'cursor.execute (sql)' AS sink, count(*) AS findings FROM supplier")
+def m15_taint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.python_checks import check_files
+
+    code = "def f(request):\n    q = request.args.get('q')\n    s = 'select ' + q\n    cursor.execute(s)\n"
+    s = tables.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("file_path"), F.lit("python").alias("language"), F.lit(code).alias("content"))
+    t = check_files(s).where("check = 'taint'").select(F.regexp_extract("message", "flows to (.*)$", 1).alias("sink"))
+    return t.groupBy("sink").agg(F.count("*").alias("findings"))
+
+
+@query("""SELECT CAST(count(*) AS BIGINT) AS files, CAST(sum(len(string_split(content, chr(10)))) AS BIGINT) AS lines FROM files""")
+def a27_duplication_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = tables.files(spark, sf_dir)
+    r = clones.report(f, clones.clone_blocks(clones.code_lines(f), 6))
+    return r.select("files", F.col("lines").cast("long").alias("lines"))
+
+
+@query("SELECT o_orderpriority AS scope, round(avg(o_totalprice) / 1000, 4) AS coverage, avg(o_totalprice) / 1000 >= 140 AS passed FROM orders GROUP BY o_orderpriority")
+def g4_coverage_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = tables.table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("scope")).agg((F.avg("o_totalprice") / 1000).alias("coverage"))
+    return c.select("scope", F.round("coverage", 4).alias("coverage"), (F.col("coverage") >= 140).alias("passed"))
