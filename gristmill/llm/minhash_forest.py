@@ -9,8 +9,9 @@ adapts to each region and the candidates stay in proportion to the nodes. Neighb
 boundaries are joined through the ends of each task's run.
 
 Candidates are confirmed in two rounds: each node's best two first; then, of the rest, those that join
-what is still apart. In a group of thousands of copies nearly all candidates fall away before they
-cost anything, and none is dropped that could still join two components.
+what is still apart, and for nodes of dense regions neighbours of other components in further orders
+of the same min-hash values. In a group of thousands of copies nearly all candidates fall away
+before they cost anything, and none is dropped that could still join two components.
 """
 
 from __future__ import annotations
@@ -24,13 +25,15 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, store, width
 from .components import components
-from .kernels import U, mix, pieces, shingle_set, word_hashes
+from .kernels import U, pieces, shingle_set, word_hashes
 
-TREES, DEPTH = 16, 8
+TREES, DEPTH = 20, 8
 HASHES = TREES * DEPTH
 #: Neighbours on each side in an order, and the share of the 64 sketch bytes that must agree.
 WINDOW = 8
 SKETCH = 64
+#: Nodes with so many candidates lie in a dense region and are put into so many further trees.
+DENSE, DEEP = 16, 8
 #: Below the wanted similarity by about four standard deviations of the estimate.
 MARGIN = 0.19
 #: Words of the filter that keeps texts of candidates only: 4 MB, whatever the corpus.
@@ -39,6 +42,7 @@ FILTER_WORDS = 1 << 19
 _rng = np.random.Generator(np.random.PCG64(715517))
 _XOR = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _MUL = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_ORDERS = np.stack([_rng.permutation(HASHES)[:DEPTH] for _ in range(DEEP)])
 _LANE = 1 << 15
 
 
@@ -86,20 +90,37 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def forest_rows(nodes: DataFrame) -> DataFrame:
-    """A row for each node and tree: ``tree, label, node, sketch``; ``nodes`` has node, sig."""
+    """A row for each node and tree: ``tree, label, node, root, sketch``; ``nodes`` has node, sig."""
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     step = HASHES // SKETCH
     # A byte of every second value, from all trees alike.
     sketch = F.unhex(F.concat(*[F.substring(F.hex("sig"), 4 * step * k + 3, 2) for k in range(SKETCH)]))
     rows = nodes.select("node", "sig", sketch.alias("sketch")).select(trees, "node", "sig", "sketch")
-    return rows.select("tree", F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * DEPTH})").alias("label"), "node", "sketch")
+    return rows.select("tree", F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * DEPTH})").alias("label"), "node", F.col("node").alias("root"), "sketch")
 
 
-def _near(trees: np.ndarray, labels: np.ndarray, nodes: np.ndarray, sk: np.ndarray, least: float, fresh: int | None = None) -> list[np.ndarray]:
-    """Pairs of rows up to WINDOW apart in the same tree with a common prefix and agreeing sketches."""
+def deep_rows(nodes: DataFrame) -> DataFrame:
+    """As ``forest_rows``, for DEEP further trees over shuffled values; ``nodes`` has node, sig, root."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), ">u2").reshape(n, HASHES)
+            sketch = pa.array([r.tobytes() for r in sig[:, :: HASHES // SKETCH][:, :SKETCH].astype(np.uint8)], pa.binary())
+            for t in range(DEEP):
+                label = pa.array([r.tobytes() for r in np.ascontiguousarray(sig[:, _ORDERS[t]])], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, TREES + t), pa.int32()), label, batch.column("node"), batch.column("root"), sketch], ["tree", "label", "node", "root", "sketch"])
+
+    return nodes.select("node", "sig", "root").mapInArrow(run, "tree int, label binary, node long, root long, sketch binary")
+
+
+def _near(trees: np.ndarray, labels: np.ndarray, nodes: np.ndarray, roots: np.ndarray, sk: np.ndarray, least: float, fresh: int | None = None) -> list[np.ndarray]:
+    """Pairs of rows up to WINDOW apart in the same tree with a common prefix, different roots and agreeing sketches."""
     found = []
     for w in range(1, min(WINDOW, len(nodes) - 1) + 1):
-        ok = (trees[w:] == trees[:-w]) & (labels[w:] == labels[:-w]) & (nodes[w:] != nodes[:-w])
+        ok = (trees[w:] == trees[:-w]) & (labels[w:] == labels[:-w]) & (roots[w:] != roots[:-w])
         i = np.flatnonzero(ok)
         if fresh is not None:  # only pairs across the boundary
             i = i[(i < fresh) & (i + w >= fresh)]
@@ -116,36 +137,35 @@ def _columns(batch: pa.RecordBatch) -> tuple:
     n = batch.num_rows
     label = np.frombuffer(b"".join(batch.column("label").to_pylist()), ">u2").reshape(n, DEPTH)
     sk = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(n, SKETCH)
-    return batch.column("tree").to_numpy(), label[:, 0].astype(np.int64), batch.column("node").to_numpy(), sk, batch
+    return batch.column("tree").to_numpy(), label[:, 0].astype(np.int64), batch.column("node").to_numpy(), batch.column("root").to_numpy(), sk
 
 
 def candidates(rows: DataFrame, least: float) -> DataFrame:
     """``a, b, agree``: neighbours in any order whose sketches agree well enough, each pair once."""
     spark = rows.sparkSession
     ordered = rows.repartitionByRange(width(spark), "tree", "label", "node").sortWithinPartitions("tree", "label", "node")
-    out = "a long, b long, agree int, part int, side int, pos int, tree int, label binary, sketch binary"
+    out = "a long, b long, agree int, part int, side int, pos int, tree int, label binary, root long, sketch binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, tail, head_left, last = TaskContext.get().partitionId(), None, WINDOW, []
         names = [c.split()[0] for c in out.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary()]
 
         def ends(side: int, items: list) -> pa.RecordBatch:
             n = len(items)
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([x[1] for x in items], [None] * n, [None] * n, [part] * n, [side] * n, list(range(n)), [x[0] for x in items], [x[2] for x in items], [x[3] for x in items]), kinds, strict=True)], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([x[1] for x in items], [None] * n, [None] * n, [part] * n, [side] * n, list(range(n)), [x[0] for x in items], [x[2] for x in items], [x[3] for x in items], [x[4] for x in items]), kinds, strict=True)], names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             if head_left:
                 first = batch.slice(0, head_left)
-                yield ends(0, list(zip(*(first.column(c).to_pylist() for c in ("tree", "node", "label", "sketch")), strict=True)))
+                yield ends(0, list(zip(*(first.column(c).to_pylist() for c in ("tree", "node", "label", "root", "sketch")), strict=True)))
                 head_left = 0
             now = batch if tail is None else pa.Table.from_batches([tail, batch]).combine_chunks().to_batches()[0]
-            t, l, n, s, _ = _columns(now)
-            found = _near(t, l, n, s, least)
+            found = _near(*_columns(now), least)
             if found:
                 p = np.concatenate(found)
                 m = len(p)
@@ -153,12 +173,12 @@ def candidates(rows: DataFrame, least: float) -> DataFrame:
             tail = now.slice(max(0, now.num_rows - WINDOW))
             last = tail
         if tail is not None:
-            yield ends(1, list(zip(*(last.column(c).to_pylist() for c in ("tree", "node", "label", "sketch")), strict=True)))
+            yield ends(1, list(zip(*(last.column(c).to_pylist() for c in ("tree", "node", "label", "root", "sketch")), strict=True)))
 
     made = store(ordered.mapInArrow(run, out), "neighbours")
     pairs = made.where("b is not null").select("a", "b", "agree")
     # The ends of each task's run: a few rows a task. Tasks with fewer rows than the window are bridged by their neighbours' ends.
-    edges = made.where("b is null").select(F.col("a").alias("node"), "part", "side", "pos", "tree", "label", "sketch").collect()
+    edges = made.where("b is null").select(F.col("a").alias("node"), "part", "side", "pos", "tree", "label", "root", "sketch").collect()
     seam = _seams(edges, least)
     if seam:
         pairs = pairs.unionByName(spark.createDataFrame(seam, "a long, b long, agree int"))
@@ -177,7 +197,7 @@ def _seams(edges: list, least: float) -> list[tuple[int, int, int]]:
             t = np.asarray([e["tree"] for e in run])
             lab = np.frombuffer(b"".join(bytes(e["label"]) for e in run), ">u2").reshape(-1, DEPTH)[:, 0].astype(np.int64)
             sk = np.frombuffer(b"".join(bytes(e["sketch"]) for e in run), np.uint8).reshape(-1, SKETCH)
-            for x in _near(t, lab, np.asarray([e["node"] for e in run]), sk, least, fresh=len(before)):
+            for x in _near(t, lab, np.asarray([e["node"] for e in run]), np.asarray([e["root"] for e in run]), sk, least, fresh=len(before)):
                 found += [tuple(map(int, r)) for r in x]
         before = [*before, *tails[p]][-WINDOW:] if len(heads[p]) < WINDOW else tails[p]
     return found
@@ -217,9 +237,10 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     spark = pairs.sparkSession
     slices = F.pmod(F.xxhash64("b"), F.lit(64)).cast("int")
     p = pairs.select("a", "b", slices.alias("slice"))
-    other = p.join(texts.withColumnRenamed("node", "b"), "b").select("a", "slice", "b", "text")
-    own = p.select("a", "slice").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "slice", F.lit(None).cast("long").alias("b"), "text")
-    both = other.unionByName(own).repartition(2 * width(spark), "a", "slice").sortWithinPartitions("a", "slice", F.col("b").asc_nulls_first())
+    # One join brings every text that a task needs: a's own, once a slice, and its partners'.
+    asked = p.select(F.col("b").alias("node"), "a", "slice", "b").unionByName(p.select(F.col("a").alias("node"), "a", "slice").distinct().withColumn("b", F.lit(None).cast("long")))
+    both = asked.join(texts, "node").select("a", "slice", "b", "text")
+    both = both.repartition(2 * width(spark), "a", "slice").sortWithinPartitions("a", "slice", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, mine = None, []
@@ -281,8 +302,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     best = store(best, "best")
     links = store(confirm(best, texts, shingle, percent), "links")
     roots = components(links)
-    rest = store(_apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), roots), "rest")
-    links = links.unionByName(confirm(rest, texts, shingle, percent))
+    rest = _apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), roots)
+    # In dense regions the neighbours of one order leave most of the region out: further orders, for nodes that are still apart.
+    dense = both.groupBy("n").count().where(F.col("count") >= DENSE).select(F.col("n").alias("node"))
+    crowd = sets.select("node", "sig").join(dense, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = candidates(deep_rows(crowd), least + MARGIN / 2).select("a", "b").join(best, ["a", "b"], "left_anti")
+    rest = store(rest.unionByName(more).distinct(), "rest")
+    left = rest.select(F.col("a").alias("node")).union(rest.select(F.col("b").alias("node")))
+    links = links.unionByName(confirm(rest, store(texts_of(texts.withColumnRenamed("node", "doc_id"), left), "texts"), shingle, percent))
     # Rows of one id with different texts, and equal sets, are linked as they stand.
     same = marks.where("digest is not null and doc_id is not null").join(sets.select("digest", "node"), "digest").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     roots = components(links.unionByName(same))
