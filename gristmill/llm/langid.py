@@ -203,10 +203,12 @@ def language_filter(docs: DataFrame, least_score: float = 0.05) -> DataFrame:
     """The rows of ``docs`` with a language: those without a letter, or with a score under ``least_score``, go.
 
     The model is trained on all rows with text and lang; lang becomes the language found where the
-    row has none.
+    row has none. Without any such row only documents without a letter go.
     """
     model = train(docs)
     names = docs.columns
+    if not model.langs:  # nothing to learn from
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     d = identify(docs, model, names)
     d = d.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score))
     return d.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*names)

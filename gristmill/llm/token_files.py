@@ -4,7 +4,8 @@ Documents are range-partitioned by id and sorted, so partition k holds smaller i
 k + 1. Each task encodes its documents, packs their ids in chunks and hands the chunks to Spark's
 Parquet writer, which commits whole tasks only: a lost executor leaves no half-written file.
 
-A chunk is a row: ``part`` and ``chunk`` (its place in the order), ``doc_ids``, ``lengths`` (ids of
+A chunk is a row: ``part`` and ``chunk`` (its place in the order), ``before`` (ids of the part before
+it), ``doc_ids``, ``lengths`` (ids of
 each document), ``n`` (ids in all), ``words`` (64-bit little-endian Simple-8b words) and ``blocks``
 (32-bit little-endian offsets: the word at which each block of 4096 ids begins).
 """
@@ -29,7 +30,7 @@ CHUNK_IDS = 1 << 20
 #: Distinct words whose ids a worker remembers before it starts anew.
 REMEMBERED = 1_000_000
 _MARKS = frozenset(".,;:!?")
-FILE_SCHEMA = "part int, chunk int, doc_ids array<long>, lengths array<long>, n long, words binary, blocks binary"
+FILE_SCHEMA = "part int, chunk int, before long, doc_ids array<long>, lengths array<long>, n long, words binary, blocks binary"
 
 
 def _word_pieces(w: str) -> int:
@@ -207,10 +208,10 @@ def _gathered(batches: Iterator[pa.RecordBatch], most: int = 1 << 22) -> Iterato
         yield ids, texts
 
 
-def _chunk(part: int, k: int, docs: list, lengths: list[int], ids: list[np.ndarray]) -> dict:
+def _chunk(part: int, k: int, before: int, docs: list, lengths: list[int], ids: list[np.ndarray]) -> dict:
     values = np.concatenate(ids) if ids else np.empty(0, np.uint32)
     words, starts = simple8b.encode(values)
-    return {"part": part, "chunk": k, "doc_ids": docs, "lengths": lengths, "n": len(values), "words": words.astype("<u8").tobytes(), "blocks": starts.astype("<u4").tobytes()}
+    return {"part": part, "chunk": k, "before": before, "doc_ids": docs, "lengths": lengths, "n": len(values), "words": words.astype("<u8").tobytes(), "blocks": starts.astype("<u4").tobytes()}
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, chunk_ids: int = CHUNK_IDS) -> None:
@@ -232,8 +233,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder, part, k = _encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
-        held, lengths, ids, size = [], [], [], 0
-        schema = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("n", pa.int64()), ("words", pa.binary()), ("blocks", pa.binary())])
+        held, lengths, ids, size, before = [], [], [], 0, 0
+        schema = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("n", pa.int64()), ("words", pa.binary()), ("blocks", pa.binary())])
         for docs_now, texts in _gathered(batches):
             x, n = encoder(texts)
             held += docs_now
@@ -241,11 +242,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             ids.append(x)
             size += len(x)
             if size >= chunk_ids:
-                yield pa.RecordBatch.from_pylist([_chunk(part, k, held, lengths, ids)], schema)
+                yield pa.RecordBatch.from_pylist([_chunk(part, k, before, held, lengths, ids)], schema)
+                before += size
                 k += 1
                 held, lengths, ids, size = [], [], [], 0
         if held:
-            yield pa.RecordBatch.from_pylist([_chunk(part, k, held, lengths, ids)], schema)
+            yield pa.RecordBatch.from_pylist([_chunk(part, k, before, held, lengths, ids)], schema)
 
     ordered.mapInArrow(encode, FILE_SCHEMA).write.parquet(path)
 
@@ -262,12 +264,11 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
 
 def _per_document(spark: SparkSession, path: str, column: str, make, kind: pa.DataType) -> DataFrame:
     files = spark.read.schema(FILE_SCHEMA).parquet(path)
-    # One small row for each chunk, ids left out: where each chunk starts among all ids.
-    sizes = sorted((r["part"], r["chunk"], r["n"]) for r in files.groupBy("part", "chunk").agg(F.sum("n").alias("n")).collect())
+    # One number for each partition: the ids before it.
     first, total = {}, 0
-    for part, chunk, n in sizes:
-        first[part, chunk] = total
-        total += n
+    for r in sorted(files.groupBy("part").agg(F.sum("n").alias("n")).collect()):
+        first[r["part"]] = total
+        total += r["n"]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = column.split()[0]
@@ -278,7 +279,7 @@ def _per_document(spark: SparkSession, path: str, column: str, make, kind: pa.Da
                 values = simple8b.decode(np.frombuffer(row["words"], "<u8"), np.frombuffer(row["blocks"], "<u4"), row["n"])
                 lengths = np.asarray(row["lengths"], np.int64)
                 ends = np.cumsum(lengths)
-                at = first[row["part"], row["chunk"]]
+                at = first[row["part"]] + row["before"]
                 for k in range(0, len(lengths), 1000):
                     cut = [(int(e - m), int(m)) for e, m in zip(ends[k : k + 1000], lengths[k : k + 1000], strict=True)]
                     yield pa.RecordBatch.from_arrays([

@@ -60,6 +60,26 @@ def test_the_pipeline_stage_by_stage(spark):
     assert pipeline.run(spark, SF).count() == seen[5].count()
 
 
+@pytest.mark.parametrize("kind", ["awkward", "no languages", "empty"])
+def test_stages_take_awkward_rows(spark, kind):
+    from cases import awkward, table
+
+    rows = [] if kind == "empty" else awkward()
+    if kind == "no languages":
+        rows = [(*r[:2], None, *r[3:]) for r in rows]
+    docs = table(spark, rows)
+    pipeline = importlib.import_module("corpus_pipeline")
+    for k, (_, stage) in enumerate(pipeline.STAGES):
+        out = stage(spark, docs, SF)
+        if k < len(pipeline.STAGES) - 1:
+            assert out.columns == docs.columns
+        docs = spark.createDataFrame(out.collect(), out.schema)
+        if kind != "empty" and k == 2:
+            ids = [r["doc_id"] for r in docs.collect()]
+            assert None in ids and 0 in ids and 1 not in ids and 8 not in ids
+    assert (docs.count() == 0) == (kind == "empty")
+
+
 def test_the_rest_does_not_need_this_package():
     import subprocess
     import sys
