@@ -414,14 +414,14 @@ def d4_fix_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CLONES = """, l AS (SELECT file_path, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS n, unnest(string_split(content, chr(10))) AS s FROM files),
 h AS (SELECT file_path, n, md5(regexp_replace(regexp_replace(regexp_replace(trim(s, ' '), '[ ]+', ' ', 'g'), '"[^"]*"', '""', 'g'), '''[^'']*''', '''''', 'g')) AS h FROM l WHERE trim(s, ' ') <> '' AND NOT starts_with(trim(s, ' '), '#')),
-w AS (SELECT file_path, n, md5(string_agg(h, '' ORDER BY n) OVER v) AS h, count(*) OVER v AS c, max(n) OVER v AS m FROM h WINDOW v AS (PARTITION BY file_path ORDER BY n ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
+w AS (SELECT file_path, n, md5(string_agg(h, '') OVER v) AS h, count(*) OVER v AS c, max(n) OVER v AS m FROM h WINDOW v AS (PARTITION BY file_path ORDER BY n ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
 k AS (SELECT file_path, n, h FROM w WHERE c = 4 AND m - n = 3),
 p AS (SELECT a.file_path AS file1, b.file_path AS file2, a.n AS l1, b.n - a.n AS d FROM k a JOIN k b ON a.h = b.h AND (a.file_path < b.file_path OR (a.file_path = b.file_path AND b.n > a.n))),
 i AS (SELECT *, l1 - row_number() OVER (PARTITION BY file1, file2, d ORDER BY l1) AS g FROM p),
 runs AS (SELECT file1, file2, min(l1) AS start1, min(l1) + d AS start2, max(l1) - min(l1) + 4 AS length FROM i GROUP BY file1, file2, d, g HAVING file1 <> file2 OR abs(d) >= 4)"""
 
 
-@query()
+@query(CLONES + " SELECT file1, file2, start1, start2, length FROM runs")
 def d1_clone_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of every size takes part; runs of four lines or more."""
     f = tables.files(spark, sf_dir)
