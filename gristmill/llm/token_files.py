@@ -5,9 +5,9 @@ k + 1. Each task encodes its documents, packs their ids in chunks and hands the
 Parquet writer, which commits whole tasks only: a lost executor leaves no half-written file.
 
 A chunk is a row: ``part`` and ``chunk`` (its place in the order), ``before`` (ids of the part before
-it), ``doc_ids``, ``lengths`` (ids of
-each document), ``n`` (ids in all), ``words`` (64-bit little-endian Simple-8b words) and ``blocks``
-(32-bit little-endian offsets: the word at which each block of 4096 ids begins).
+it), ``doc_ids``, ``lengths`` (ids of each document), ``n`` (ids in all), ``words`` (64-bit
+little-endian Simple-8b words) and ``blocks`` (32-bit little-endian offsets: the word at which each
+block of 4096 ids begins).
 """
 
 from __future__ import annotations
