@@ -9,6 +9,10 @@ from gristmill.llm import langid, line_quality, minhash_forest, mix_sources, pac
 from gristmill.llm.common import store
 
 
+#: Ids that are sent to every task, at most; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, without lines that their host repeats."""
     return line_quality.quality_filter(docs)
@@ -21,10 +25,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: shingles of five words, similarity 0.8 or more."""
-    groups = minhash_forest.near_duplicates(docs, shingle=5, percent=80)
-    kept = groups.where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))  # documents without an id cannot be told apart
+    groups = store(minhash_forest.near_duplicates(docs, shingle=5, percent=80).where("doc_id is not null"), "groups")
+    ids = groups.groupBy("doc_id").agg(F.first("kept").alias("kept"), F.count("*").alias("rows"))
+    # Most documents stay as they are: only those that go, and ids with several rows, are looked up.
+    special = store(ids.where("not kept or rows > 1").select(F.col("doc_id").alias("_id"), "kept"), "special")
+    looked_up = F.broadcast(special) if special.count() <= BROADCAST_IDS else special
+    single = docs.join(looked_up, docs["doc_id"] == looked_up["_id"], "left_anti")
+    again = looked_up.where("kept")
+    repeated = docs.join(again, docs["doc_id"] == again["_id"], "left_semi").dropDuplicates(["doc_id"])
+    return single.unionByName(repeated)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
