@@ -69,27 +69,35 @@ def dedup_similar(findings: DataFrame, order: Sequence[str], lines: int = 5, rat
 
     Alike: same file and severity, at most ``lines`` apart, and messages whose matching blocks make
     ``ratio`` of their length. If the later one is surer, it takes the earlier one's place, at the end
-    of the order. Only findings of one file and severity can be alike, so each such group is folded on
-    its own.
+    of the order. Only findings of one file can be alike, so each file is folded on its own.
     """
     from difflib import SequenceMatcher
 
     once = dedup_exact(findings, order)
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
+        kept: dict[str, list[int]] = {}  # by severity
+        known: dict[tuple[str, str], bool] = {}  # findings of a file repeat few messages
+
+        def alike(a: str, b: str) -> bool:
+            if (a, b) not in known:
+                m = SequenceMatcher(None, a, b)
+                known[a, b] = a == b or m.real_quick_ratio() >= ratio and m.quick_ratio() >= ratio and m.ratio() >= ratio
+            return known[a, b]
+
         group = group.sort_values(list(order), kind="stable").reset_index(drop=True)
-        at, said, sure = group["line_start"].tolist(), group["message"].fillna("").tolist(), group["confidence"].tolist()
-        for i in range(len(group)):
-            twin = next((k for k in kept if abs(at[k] - at[i]) <= lines and SequenceMatcher(None, said[k].lower(), said[i].lower()).ratio() >= ratio), None)
+        at, said, sure = group["line_start"].tolist(), group["message"].fillna("").str.lower().tolist(), group["confidence"].tolist()
+        for i, grave in enumerate(group["severity"].tolist()):
+            own = kept.setdefault(grave, [])
+            twin = next((k for k in own if abs(at[k] - at[i]) <= lines and alike(said[k], said[i])), None)
             if twin is None:
-                kept.append(i)
+                own.append(i)
             elif sure[i] > sure[twin]:
-                kept.remove(twin)
-                kept.append(i)
-        return group.iloc[kept]
+                own.remove(twin)
+                own.append(i)
+        return group.iloc[[i for own in kept.values() for i in own]]
 
-    return once.groupBy("file_path", "severity").applyInPandas(fold, once.schema)
+    return once.groupBy("file_path").applyInPandas(fold, once.schema)
 
 
 def priority(findings: DataFrame) -> DataFrame:
