@@ -9,9 +9,12 @@ adapts to each region and the candidates stay in proportion to the nodes. Neighb
 boundaries are joined through the ends of each task's run.
 
 Candidates are confirmed in two rounds: each node's best two first; then, of the rest, those that join
-what is still apart, and for nodes of dense regions neighbours of other components in further orders
-of the same min-hash values. In a group of thousands of copies nearly all candidates fall away
-before they cost anything, and none is dropped that could still join two components.
+what is still apart. In a group of thousands of copies nearly all candidates fall away before they cost
+anything, and none is dropped that could still join two components.
+
+Where more rows share a prefix of CROWD values than the window reaches, the order alone could leave a
+pair out. Nodes of such runs form regions, and each region is finished on the full sets: every node
+outside the region's largest component is compared with every node of another component.
 """
 
 from __future__ import annotations
@@ -32,8 +35,11 @@ HASHES = TREES * DEPTH
 #: Neighbours on each side in an order, and the share of the 64 sketch bytes that must agree.
 WINDOW = 8
 SKETCH = 64
-#: Nodes with so many candidates lie in a dense region and are put into so many further trees.
-DENSE, DEEP = 16, 8
+#: Rows that share so many values of a label, WINDOW of them or more, are a crowded run. A pair at
+#: similarity 0.8 shares as many in one of the trees but for 3 in 100,000.
+CROWD = 4
+#: Nodes of a region that a task holds while the region's other components pass by.
+BLOCK = 256
 #: Below the wanted similarity by about four standard deviations of the estimate.
 MARGIN = 0.19
 #: Words of the filter that keeps texts of candidates only: 4 MB, whatever the corpus.
@@ -42,7 +48,6 @@ FILTER_WORDS = 1 << 19
 _rng = np.random.Generator(np.random.PCG64(715517))
 _XOR = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _MUL = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_ORDERS = np.stack([_rng.permutation(HASHES)[:DEPTH] for _ in range(DEEP)])
 _LANE = 1 << 15
 
 
@@ -99,23 +104,6 @@ def forest_rows(nodes: DataFrame) -> DataFrame:
     return rows.select("tree", F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * DEPTH})").alias("label"), "node", F.col("node").alias("root"), "sketch")
 
 
-def deep_rows(nodes: DataFrame) -> DataFrame:
-    """As ``forest_rows``, for DEEP further trees over shuffled values; ``nodes`` has node, sig, root."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), ">u2").reshape(n, HASHES)
-            sketch = pa.array([r.tobytes() for r in sig[:, :: HASHES // SKETCH][:, :SKETCH].astype(np.uint8)], pa.binary())
-            for t in range(DEEP):
-                label = pa.array([r.tobytes() for r in np.ascontiguousarray(sig[:, _ORDERS[t]])], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, TREES + t), pa.int32()), label, batch.column("node"), batch.column("root"), sketch], ["tree", "label", "node", "root", "sketch"])
-
-    return nodes.select("node", "sig", "root").mapInArrow(run, "tree int, label binary, node long, root long, sketch binary")
-
-
 def _near(trees: np.ndarray, labels: np.ndarray, nodes: np.ndarray, roots: np.ndarray, sk: np.ndarray, least: float, fresh: int | None = None) -> list[np.ndarray]:
     """Pairs of rows up to WINDOW apart in the same tree with a common prefix, different roots and agreeing sketches."""
     found = []
@@ -133,15 +121,30 @@ def _near(trees: np.ndarray, labels: np.ndarray, nodes: np.ndarray, roots: np.nd
     return found
 
 
+def _crowded(trees: np.ndarray, prefixes: np.ndarray, nodes: np.ndarray, least: int) -> np.ndarray:
+    """Pairs of each row of a run of ``least`` rows or more, equal in tree and prefix, with the run's first row."""
+    new = np.concatenate(([True], (trees[1:] != trees[:-1]) | (prefixes[1:] != prefixes[:-1])))
+    first = np.flatnonzero(new)
+    run = np.cumsum(new) - 1
+    size = np.bincount(run)
+    i = np.flatnonzero((size[run] >= least) & ~new)
+    return np.stack([nodes[first[run[i]]], nodes[i]], 1)
+
+
+def _prefixes(label: np.ndarray) -> np.ndarray:
+    """The first CROWD values of each label as one number."""
+    return np.ascontiguousarray(label[:, :CROWD]).view(np.uint64)[:, 0]
+
+
 def _columns(batch: pa.RecordBatch) -> tuple:
     n = batch.num_rows
     label = np.frombuffer(b"".join(batch.column("label").to_pylist()), ">u2").reshape(n, DEPTH)
     sk = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(n, SKETCH)
-    return batch.column("tree").to_numpy(), label[:, 0].astype(np.int64), batch.column("node").to_numpy(), batch.column("root").to_numpy(), sk
+    return batch.column("tree").to_numpy(), label[:, 0].astype(np.int64), batch.column("node").to_numpy(), batch.column("root").to_numpy(), sk, _prefixes(label)
 
 
-def candidates(rows: DataFrame, least: float) -> DataFrame:
-    """``a, b, agree``: neighbours in any order whose sketches agree well enough, each pair once."""
+def candidates(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """``a, b, agree``: neighbours in any order whose sketches agree well enough, each pair once; and ``a, b`` that ties the nodes of crowded runs."""
     spark = rows.sparkSession
     ordered = rows.repartitionByRange(width(spark), "tree", "label", "node").sortWithinPartitions("tree", "label", "node")
     out = "a long, b long, agree int, part int, side int, pos int, tree int, label binary, root long, sketch binary"
@@ -165,10 +168,13 @@ def candidates(rows: DataFrame, least: float) -> DataFrame:
                 yield ends(0, list(zip(*(first.column(c).to_pylist() for c in ("tree", "node", "label", "root", "sketch")), strict=True)))
                 head_left = 0
             now = batch if tail is None else pa.Table.from_batches([tail, batch]).combine_chunks().to_batches()[0]
-            found = _near(*_columns(now), least)
-            if found:
-                p = np.concatenate(found)
-                m = len(p)
+            *cols, prefixes = _columns(now)
+            tied = _crowded(cols[0], prefixes, cols[2], WINDOW)
+            # A tie has -1 for the agreement.
+            found = [*_near(*cols, least), np.column_stack([tied, np.full(len(tied), -1)])]
+            p = np.concatenate(found)
+            m = len(p)
+            if m:
                 yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p[:, 2], pa.int32()), *(pa.nulls(m, k) for k in kinds[3:])], names)
             tail = now.slice(max(0, now.num_rows - WINDOW))
             last = tail
@@ -176,31 +182,37 @@ def candidates(rows: DataFrame, least: float) -> DataFrame:
             yield ends(1, list(zip(*(last.column(c).to_pylist() for c in ("tree", "node", "label", "root", "sketch")), strict=True)))
 
     made = store(ordered.mapInArrow(run, out), "neighbours")
-    pairs = made.where("b is not null").select("a", "b", "agree")
+    pairs = made.where("b is not null AND agree >= 0").select("a", "b", "agree")
+    ties = made.where("agree < 0").select("a", "b")
     # The ends of each task's run: a few rows a task. Tasks with fewer rows than the window are bridged by their neighbours' ends.
     edges = made.where("b is null").select(F.col("a").alias("node"), "part", "side", "pos", "tree", "label", "root", "sketch").collect()
-    seam = _seams(edges, least)
+    seam, tied = _seams(edges, least)
     if seam:
         pairs = pairs.unionByName(spark.createDataFrame(seam, "a long, b long, agree int"))
-    return pairs.groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    if tied:
+        ties = ties.unionByName(spark.createDataFrame(tied, "a long, b long"))
+    return pairs.groupBy("a", "b").agg(F.max("agree").alias("agree")), ties
 
 
-def _seams(edges: list, least: float) -> list[tuple[int, int, int]]:
-    """Pairs of neighbours on two sides of a boundary between tasks."""
+def _seams(edges: list, least: float) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
+    """Pairs of neighbours on two sides of a boundary between tasks, and ties of rows there that share a prefix."""
     parts = sorted({e["part"] for e in edges})
     tails = {p: sorted((e for e in edges if e["part"] == p and e["side"] == 1), key=lambda e: e["pos"]) for p in parts}
     heads = {p: sorted((e for e in edges if e["part"] == p and e["side"] == 0), key=lambda e: e["pos"]) for p in parts}
-    found, before = [], []
+    found, tied, before = [], [], []
     for p in parts:
         run = [*before, *heads[p]]
         if before:
             t = np.asarray([e["tree"] for e in run])
-            lab = np.frombuffer(b"".join(bytes(e["label"]) for e in run), ">u2").reshape(-1, DEPTH)[:, 0].astype(np.int64)
+            full = np.frombuffer(b"".join(bytes(e["label"]) for e in run), ">u2").reshape(-1, DEPTH)
+            lab, nodes = full[:, 0].astype(np.int64), np.asarray([e["node"] for e in run])
+            # How far a run goes on in the tasks is not known here: two rows are enough.
+            tied += [tuple(map(int, r)) for r in _crowded(t, _prefixes(full), nodes, 2)]
             sk = np.frombuffer(b"".join(bytes(e["sketch"]) for e in run), np.uint8).reshape(-1, SKETCH)
-            for x in _near(t, lab, np.asarray([e["node"] for e in run]), np.asarray([e["root"] for e in run]), sk, least, fresh=len(before)):
+            for x in _near(t, lab, nodes, np.asarray([e["root"] for e in run]), sk, least, fresh=len(before)):
                 found += [tuple(map(int, r)) for r in x]
         before = [*before, *tails[p]][-WINDOW:] if len(heads[p]) < WINDOW else tails[p]
-    return found
+    return found, tied
 
 
 def _kept_bits(ids: DataFrame) -> np.ndarray:
@@ -279,6 +291,65 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).drop("ra", "rb")
 
 
+def regions(ties: DataFrame, roots: DataFrame) -> DataFrame:
+    """``node, root, region, blocks, apart`` for crowded regions of several components; ``apart``: not of the largest."""
+    r = components(ties).withColumnRenamed("root", "region").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = r.groupBy("region", "root").agg(F.count("*").alias("n"))
+    whole = sizes.groupBy("region").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("roots"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")).where("roots > 1")
+    return r.join(whole, "region").select("node", "root", "region", "blocks", (F.col("root") != F.col("main")).alias("apart"))
+
+
+def finish(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``a, b``: links between components inside each region, from the full sets of all pairs that are apart.
+
+    A region is dealt into blocks. A task holds the sets of one block, and the nodes that are apart pass
+    by one at a time; each gives one link with each component that it is linked with in the block.
+    """
+    spark = members.sparkSession
+    m = members.join(texts, "node")
+    held = m.select("region", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("passing"), "node", "root", "text")
+    passing = m.where("apart").select("region", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("passing"), "node", "root", "text")
+    both = held.unionByName(passing).repartition(2 * width(spark), "region", "block").sortWithinPartitions("region", "block", "passing")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sets, nodes, roots, block = None, [], [], [], None
+        for batch in batches:
+            for piece in pieces(batch):
+                region, part, passes, node, root = (piece.column(c).to_pylist() for c in ("region", "block", "passing", "node", "root"))
+                h, at = word_hashes(piece.column("text").to_pylist())
+                ok_a, ok_b = [], []
+                for i in range(piece.num_rows):
+                    x = shingle_set(h[at[i] : at[i + 1]], shingle)
+                    if key != (region[i], part[i]):
+                        key, sets, nodes, roots, block = (region[i], part[i]), [], [], [], None
+                    if not len(x):
+                        continue
+                    if not passes[i]:
+                        sets.append(x)
+                        nodes.append(node[i])
+                        roots.append(root[i])
+                        continue
+                    if not sets:
+                        continue
+                    if block is None:
+                        known, place = np.unique(np.concatenate(sets), return_inverse=True)
+                        size = np.array([len(s) for s in sets])
+                        block = known, place.astype(np.int32), np.cumsum(size) - size, size, np.array(nodes), np.array(roots)
+                        sets = [None]
+                    known, place, start, size, who, whose = block
+                    k = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                    mark = np.zeros(len(known), np.int32)
+                    mark[k[known[k] == x]] = 1
+                    same = np.add.reduceat(mark[place], start).astype(np.int64)
+                    good = np.flatnonzero((whose != root[i]) & (100 * same >= percent * (size + len(x) - same)))
+                    _, one = np.unique(whose[good], return_index=True)
+                    ok_a += [node[i]] * len(one)
+                    ok_b += who[good[one]].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(ok_a, pa.int64()), pa.array(ok_b, pa.int64())], ["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Groups of near-duplicates among all ``docs`` (doc_id, text), which may have further columns.
 
@@ -294,8 +365,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     sets = store(marks.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "sets")
     nodes = sets.select("node", "sig")
     least = max(0.0, percent / 100 - MARGIN)
-    pairs = store(candidates(forest_rows(nodes), least), "pairs")
+    pairs, ties = candidates(forest_rows(nodes), least)
+    pairs, ties = store(pairs, "pairs"), store(ties.distinct(), "ties")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+    ends = ends.union(ties.select("a")).union(ties.select("b"))
     texts = store(texts_of(docs, ends), "texts")
     both = pairs.select("a", "b", "agree", F.col("a").alias("n")).union(pairs.select("a", "b", "agree", F.col("b").alias("n")))
     best = both.withColumn("r", F.row_number().over(Window.partitionBy("n").orderBy(F.desc("agree"), "a", "b"))).where("r <= 2").select("a", "b").distinct()
@@ -303,13 +376,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     links = store(confirm(best, texts, shingle, percent), "links")
     roots = components(links)
     rest = _apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), roots)
-    # In dense regions the neighbours of one order leave most of the region out: further orders, for nodes that are still apart.
-    dense = both.groupBy("n").count().where(F.col("count") >= DENSE).select(F.col("n").alias("node"))
-    crowd = sets.select("node", "sig").join(dense, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = candidates(deep_rows(crowd), least + MARGIN / 2).select("a", "b").join(best, ["a", "b"], "left_anti")
-    rest = store(rest.unionByName(more).distinct(), "rest")
+    rest = store(rest.distinct(), "rest")
     left = rest.select(F.col("a").alias("node")).union(rest.select(F.col("b").alias("node")))
-    links = links.unionByName(confirm(rest, store(texts_of(texts.withColumnRenamed("node", "doc_id"), left), "texts"), shingle, percent))
+    links = store(links.unionByName(confirm(rest, store(texts_of(texts.withColumnRenamed("node", "doc_id"), left), "texts"), shingle, percent)), "links")
+    # What crowded runs may have left out, on the full sets.
+    crowd = store(regions(ties, components(links)), "crowd")
+    links = links.unionByName(finish(crowd, texts_of(texts.withColumnRenamed("node", "doc_id"), crowd), shingle, percent))
     # Rows of one id with different texts, and equal sets, are linked as they stand.
     same = marks.where("digest is not null and doc_id is not null").join(sets.select("digest", "node"), "digest").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     roots = components(links.unionByName(same))

@@ -89,6 +89,31 @@ def test_near_duplicates_against_all_pairs(spark, sf, shingle, percent):
         assert r["n_shingles"] in {len(s) for s in sets[r["doc_id"]]}
 
 
+def crowd_rows(n, seed=11):
+    """Texts of one template, 82 % alike; every tenth shares two changes with the one before: 86 %."""
+    r, base, rows, last = np.random.default_rng(seed), words(480, 5, 5000).split(), [], None
+    for k in range(n):
+        at = r.permutation(158)[:8]
+        new = [f"n{k}x{j}" for j in range(8)]
+        if k % 10 == 9:
+            at = np.concatenate((last[0][:2], [p for p in at if p not in last[0][:2]][:6]))
+            new[:2] = last[1][:2]
+        t = list(base)
+        for p, w in zip(at, new, strict=True):
+            t[3 * int(p) + 1] = w
+        rows.append((k, " ".join(t), None, None, 1, "", 1, 1, 1, 1.0))
+        last = at, new
+    return rows
+
+
+def test_near_duplicates_in_a_crowded_region(spark):
+    rows = crowd_rows(400)
+    want, _ = brute_groups(rows, 3, 85)
+    assert 40 <= len(rows) - len(set(want.values())) < 150
+    got = {r["doc_id"]: r["component_id"] for r in minhash_forest.near_duplicates(table(spark, rows), 3, 85).collect()}
+    assert got == want
+
+
 def test_empty_tables(spark):
     empty = table(spark, [])
     assert minhash_forest.near_duplicates(empty).count() == 0
