@@ -301,6 +301,22 @@ def test_language_awkward_and_mixture(spark):
     assert got[2]["n_langs"] == 1 and got[2]["lang_pred"] == "en"
 
 
+def test_language_filter_rejects_what_no_language_explains(spark):
+    import random
+
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").where("n_chars > 400")
+    r = random.Random(4)
+    junk = [(-1 - k, " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 10))) for _ in range(90)), None) for k in range(20)]
+    other = [(-100 - k, x["text"], None) for k, x in enumerate(d.where("lang = 'es'").limit(20).collect())]
+    clean = [(-200 - k, x["text"], None) for k, x in enumerate(d.where("lang = 'fr'").limit(20).collect())]
+    halves = {x: d.where(d.lang == x).orderBy(d.text.desc()).first()["text"] for x in ("en", "de", "fr")}
+    size = min(map(len, halves.values()))
+    soup = [(-300, "\n".join(t[:size] for t in halves.values()), None)]
+    rows = d.where("lang <> 'es'").unionByName(spark.createDataFrame(junk + other + clean + soup, d.schema))
+    left = {x["doc_id"]: x["lang"] for x in langid.language_filter(rows).collect() if x["doc_id"] < 0}
+    assert left == {i: "fr" for i, _, _ in clean}
+
+
 def plain_katz(rows):
     """The model from its definition, token by token."""
     import math
