@@ -84,7 +84,16 @@ def s6_upload_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT name, version, count(*) AS files FROM (SELECT 'lib-' || CAST(l_partkey % 50 AS VARCHAR) AS name, CAST(l_suppkey % 9 AS VARCHAR) || '.1' AS version FROM lineitem WHERE l_linenumber = 1) GROUP BY name, version")
 def s8_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = tables.table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    return _manifest_files(tables.table(spark, sf_dir, "lineitem").where("l_linenumber = 1"))
+
+
+@query("SELECT 'lib-' || CAST(l_partkey % 50 AS VARCHAR) AS name, CAST(l_suppkey % 9 AS VARCHAR) || '.1' AS version, count(*) AS files FROM lineitem GROUP BY 1, 2")
+def s8_all_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``s8_manifests``, over all rows."""
+    return _manifest_files(tables.table(spark, sf_dir, "lineitem"))
+
+
+def _manifest_files(li: DataFrame) -> DataFrame:
     content = F.concat(F.lit("# pinned\n"), F.lit("lib-"), (F.col("l_partkey") % 50).cast("string"), F.lit("=="), (F.col("l_suppkey") % 9).cast("string"), F.lit(".1\n-r other.txt\n"))
     m = li.select(F.concat(F.lit("app/"), F.monotonically_increasing_id().cast("string"), F.lit("/requirements.txt")).alias("file_path"), content.alias("content"))
     return supply.dependencies(m).groupBy("name", "version").agg(F.count("*").alias("files"))
@@ -122,11 +131,23 @@ def s14_response_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_name AS name, s_name AS supplier, count(*) AS uses FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE p_size % 7 = 0 GROUP BY p_name, s_name")
 def s15_advisory_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _enriched(spark, sf_dir, "p_size % 7 = 0")
+
+
+@query("SELECT p_name AS name, s_name AS supplier, count(*) AS uses FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY p_name, s_name")
+def s15_all_advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``s15_advisory_enrichment``, with advisories on all parts."""
+    return _enriched(spark, sf_dir, "true")
+
+
+def _enriched(spark: SparkSession, sf_dir: str, parts: str) -> DataFrame:
+    """Uses of each part and supplier, with an advisory on each version of the ``parts`` that are supplied."""
     li, p, s = (tables.table(spark, sf_dir, t) for t in ("lineitem", "part", "supplier"))
-    deps = li.select(F.col("l_partkey").cast("string").alias("name"), F.lit("parts").alias("ecosystem"), F.col("l_suppkey").cast("string").alias("version"))
-    deps = deps.groupBy("name", "ecosystem", "version").agg(F.count("*").alias("uses"))
-    names = p.where("p_size % 7 = 0").select(F.col("p_partkey").cast("string").alias("name"), "p_name")
-    found = deps.join(names, "name").join(s.select(F.col("s_suppkey").cast("string").alias("version"), "s_name"), "version")
+    ids = [F.col("l_partkey").cast("string").alias("name"), F.lit("parts").alias("ecosystem"), F.col("l_suppkey").cast("string").alias("version")]
+    deps = li.select(*ids).groupBy("name", "ecosystem", "version").agg(F.count("*").alias("uses"))
+    names = p.where(parts).select(F.col("p_partkey").cast("string").alias("name"), "p_name")
+    supplied = li.select(*ids).distinct().join(names, "name").join(s.select(F.col("s_suppkey").cast("string").alias("version"), "s_name"), "version")
+    found = supply.with_advisories(deps, supplied)
     return found.groupBy(F.col("p_name").alias("name"), F.col("s_name").alias("supplier")).agg(F.sum("uses").alias("uses"))
 
 
