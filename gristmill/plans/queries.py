@@ -824,6 +824,20 @@ def a27_duplication_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("files", F.col("lines").cast("long").alias("lines"))
 
 
+# Runs of six lines. A run of n gives a block at each start with six lines before it ends: n to 6 lines long.
+CLONES6 = CLONES.replace("3 FOLLOWING", "5 FOLLOWING").replace("c = 4 AND m - n = 3", "c = 6 AND m - n = 5").replace("+ 4 AS length", "+ 6 AS length").replace("abs(d) >= 4", "abs(d) >= 6")
+
+
+@query(CLONES6 + """, t AS (SELECT count(*) AS files, CAST(sum(len(string_split(content, chr(10)))) AS BIGINT) AS lines FROM files),
+u AS (SELECT CAST(coalesce(sum(length * (length + 1) // 2 - 15), 0) AS BIGINT) AS duplicated_lines, CAST(coalesce(sum(length - 5), 0) AS BIGINT) AS blocks FROM runs)
+SELECT files, lines, duplicated_lines, blocks, CASE WHEN lines > 0 THEN round(duplicated_lines / lines * 100, 2) ELSE 0.0 END AS percentage FROM t, u""")
+def a27_duplication_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole report, of which ``a27_duplication_totals`` has files and lines."""
+    f = tables.files(spark, sf_dir)
+    r = clones.report(f, clones.clone_blocks(clones.code_lines(f), 6))
+    return r.select("files", F.col("lines").cast("long").alias("lines"), F.col("duplicated_lines").cast("long").alias("duplicated_lines"), "blocks", "percentage")
+
+
 @query("SELECT o_orderpriority AS scope, round(avg(o_totalprice) / 1000, 4) AS coverage, avg(o_totalprice) / 1000 >= 140 AS passed FROM orders GROUP BY o_orderpriority")
 def g4_coverage_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = tables.table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("scope")).agg((F.avg("o_totalprice") / 1000).alias("coverage"))
