@@ -114,6 +114,15 @@ def test_near_duplicates_in_a_crowded_region(spark):
     assert got == want
 
 
+def test_crowded_pairs_do_not_depend_on_the_sketch(spark, monkeypatch):
+    monkeypatch.setattr(minhash_forest, "MARGIN", -0.2)  # no sketch agrees so well
+    rows = crowd_rows(100)
+    want, _ = brute_groups(rows, 3, 85)
+    assert len(rows) - len(set(want.values())) >= 10
+    got = {r["doc_id"]: r["component_id"] for r in minhash_forest.near_duplicates(table(spark, rows), 3, 85).collect()}
+    assert got == want
+
+
 def test_empty_tables(spark):
     empty = table(spark, [])
     assert minhash_forest.near_duplicates(empty).count() == 0
