@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -14,17 +15,24 @@ from pyspark.sql import functions as F
 #: A word: a run of anything but space, tab, line feed, VT, FF, CR (Java and RE2 syntax).
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of ids and flags that are broadcast at most (about 100 MB in an executor), and bytes that a task of a shuffle gets.
+SMALL_ROWS = 2_000_000
+TASK_BYTES = 64 << 20
+
 _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests, a laptop) a temporary folder is made and removed at exit.
+    Where that is unset and everything runs on this machine (tests, a laptop) a temporary folder is
+    made and removed at exit; on a cluster it must be set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if app not in _own_dirs:
             _own_dirs[app] = tempfile.mkdtemp(prefix="gristmill-")
             atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
@@ -41,16 +49,35 @@ def store(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Delete a table made by ``store`` that nothing will read any more."""
-    spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/gristmill-" in name:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def _file_system(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete tables made by ``store`` that nothing will read any more."""
+    for df in tables:
+        fs, path = _file_system(df.sparkSession, df.stored_at)
+        fs.delete(path, True)
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Size of a table made by ``store``."""
+    fs, path = _file_system(df.sparkSession, df.stored_at)
+    return int(fs.getContentSummary(path).getLength())
+
+
+def small_side(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """``df``, a stored table of a few short columns, for the smaller side of a join.
+
+    Up to ``most`` rows it is broadcast; beyond, both sides are shuffled and merged.
+    """
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -82,6 +109,6 @@ def count_runs(text: str, apart: str):
     return F.when(F.col(text).rlike(f"[^{apart}]"), F.length(one)).otherwise(0).cast("long")
 
 
-def width(spark: SparkSession, least: int = 8) -> int:
-    """How many partitions a shuffle of this session has."""
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+def width(spark: SparkSession, size: int = 0, least: int = 8) -> int:
+    """How many partitions a shuffle of about ``size`` bytes has: the session's, or more where a task would get over TASK_BYTES."""
+    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-size // TASK_BYTES))

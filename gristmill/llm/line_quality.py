@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, store
+from .common import SMALL_ROWS, WORD, small_side, store
 
 _LINE = r"lower(trim(regexp_replace(l, '[\\x20\\x09-\\x0D]+', ' ')))"
 _WORD_SQL = WORD.replace("\\", "\\\\")
@@ -27,16 +27,19 @@ _REPEAT = """CASE WHEN size(h) = size(array_distinct(h)) THEN 0L ELSE
       aggregate(transform(q, (x, i) -> least(3L, coalesce(get(q, i + 1) - x, 3L))), 0L, (a, x) -> a + x))[0])[0] END"""
 
 
-def document_stats(docs: DataFrame, host: str = "source") -> DataFrame:
+def document_stats(docs: DataFrame, host: str = "source", whole: bool = False) -> DataFrame:
     """One row per row of ``docs``: base figures and ``lines``, an array of (hash, words, index, first).
 
     Words are runs of anything but ASCII white space; a null text has none. ``first`` marks a line's
-    first occurrence in its document; only lines with a word count.
+    first occurrence in its document; only lines with a word count. With ``whole`` there is a column
+    ``row``, too: all columns of ``docs``.
     """
-    d = docs.select("doc_id", F.col(host).alias("host"), F.coalesce("text", F.lit("")).alias("text"))
-    d = d.select("doc_id", "host", F.xxhash64("text").alias("text_hash"), "text", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("w"))
+    row = [F.struct(*docs.columns).alias("row")] if whole else []
+    keep = ["row"] if whole else []
+    d = docs.select("doc_id", F.col(host).alias("host"), F.coalesce("text", F.lit("")).alias("text"), *row)
+    d = d.select("doc_id", "host", F.xxhash64("text").alias("text_hash"), "text", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("w"), *keep)
     d = d.select(
-        "doc_id", "host", "text_hash",
+        "doc_id", "host", "text_hash", *keep,
         F.size("w").cast("long").alias("n_words"),
         F.expr("length(array_join(w, ''))").cast("long").alias("word_chars"),
         F.expr(r"length(regexp_replace(text, '[^#*$%&|<>]+', ''))").cast("long").alias("n_symbols"),
@@ -46,7 +49,7 @@ def document_stats(docs: DataFrame, host: str = "source") -> DataFrame:
     lines = rf"""transform(array(transform(ls, (l, i) -> struct(xxhash64({_LINE}) AS h, i AS i, cast(regexp_count(l, '{_WORD_SQL}') AS long) AS words))), a ->
         transform(array(sort_array(a)), s -> transform(s, (x, i) -> struct(x.h AS h, x.words AS words, x.i AS i, NOT coalesce(get(s, i - 1).h = x.h, false) AS first)))[0])[0]"""
     return d.select(
-        "doc_id", "host", "text_hash", "n_words", "word_chars", "n_symbols",
+        "doc_id", "host", "text_hash", *keep, "n_words", "word_chars", "n_symbols",
         F.expr("cast(size(ls) - size(array_distinct(ls)) as long)").alias("n_dup_lines"),
         F.expr(_REPEAT).alias("n_repeat_words"),
         F.expr(lines).alias("lines"),
@@ -54,37 +57,41 @@ def document_stats(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def frequent_lines(stats: DataFrame, least_docs: int, host_share: float) -> DataFrame:
-    """``host, h``: lines that occur in more than ``least_docs`` and ``host_share`` of a host's documents."""
-    hosts = stats.groupBy("host", "text_hash").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("docs"))
+    """``host, frequent``: hashes of the lines that occur in more than ``least_docs`` and ``host_share`` of a host's documents.
+
+    A host's documents hold at most (lines of a document on average) / ``host_share`` such lines, so
+    a host's array is short whatever its size.
+    """
+    hosts = store(stats.groupBy("host", "text_hash").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("docs")), "hosts")
     lines = stats.select("host", "text_hash", F.explode("lines").alias("l")).where("l.first").select("host", "text_hash", F.col("l.h").alias("h"))
     # Copies of a text fall together first, then each line's texts are counted; both steps combine before they shuffle.
     counts = lines.groupBy("host", "h", "text_hash").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > least_docs)
-    counts = counts.join(hosts.select(F.col("host").alias("host2"), "docs"), F.col("host").eqNullSafe(F.col("host2"))).drop("host2")
-    return counts.where(F.col("n") > host_share * F.col("docs")).select("host", "h")
+    counts = counts.join(small_side(hosts.toDF("host2", "docs")), F.col("host").eqNullSafe(F.col("host2")))
+    return counts.where(F.col("n") > host_share * F.col("docs")).groupBy("host").agg(F.collect_list("h").alias("frequent"))
 
 
-def quality_verdicts(docs: DataFrame, host: str = "source", least_docs: int = 20, host_share: float = 0.05, least_words: int = 50, most_repeat_pct: int = 50, most_removed_pct: int = 80) -> DataFrame:
+def quality_verdicts(docs: DataFrame, host: str = "source", least_docs: int = 20, host_share: float = 0.05, least_words: int = 50, most_repeat_pct: int = 50, most_removed_pct: int = 80, whole: bool = False) -> DataFrame:
     """Verdict on each row of ``docs`` (doc_id, text, ``host``), which may have further columns.
 
     Returns doc_id, host, text_hash, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, removed_words, removed_lines (hashes), kept. ``base_failed``: under ``least_words``
-    words or more than ``most_repeat_pct`` per cent of words in repeated 3-word windows. A document is
-    depleted if frequent lines hold more than ``most_removed_pct`` per cent of its words or leave it
-    under ``least_words`` words. Null or empty texts have no words and fail; a null host is a host of
-    its own; equal rows get equal verdicts; an empty table gives an empty result.
+    base_failed, removed_words, removed_lines (hashes), kept, and with ``whole`` the columns of
+    ``docs`` as ``row``. ``base_failed``: under ``least_words`` words or more than ``most_repeat_pct``
+    per cent of words in repeated 3-word windows. A document is depleted if frequent lines hold more
+    than ``most_removed_pct`` per cent of its words or leave it under ``least_words`` words. Null or
+    empty texts have no words and fail; a null host is a host of its own; equal rows get equal
+    verdicts; an empty table gives an empty result.
+
+    Texts are read once and never shuffled: only line hashes are, and a host's few frequent lines
+    come back to its documents.
     """
-    stats = store(document_stats(docs, host), "stats")
-    often = frequent_lines(stats, least_docs, host_share)
-    lines = stats.select("doc_id", "host", "text_hash", F.explode("lines").alias("l")).select("doc_id", "host", "text_hash", "l.h", "l.words", "l.i")
-    o = often.select(F.col("host").alias("host2"), F.col("h").alias("h2"))
-    hit = lines.join(o, lines["host"].eqNullSafe(o["host2"]) & (lines["h"] == o["h2"])).select("doc_id", "host", "text_hash", "h", "words", "i")
-    # Equal rows give equal hits: one of each is counted.
-    hit = hit.groupBy("doc_id", "host", "text_hash", "i").agg(F.first("words").alias("words"), F.first("h").alias("h"))
-    hit = hit.groupBy("doc_id", "host", "text_hash").agg(F.sum("words").alias("removed_words"), F.collect_set("h").alias("removed_lines"))
-    hit = hit.toDF("d2", "h2", "t2", "removed_words", "removed_lines")
-    base = stats.drop("lines")
-    out = base.join(hit, base["doc_id"].eqNullSafe(hit["d2"]) & base["host"].eqNullSafe(hit["h2"]) & (base["text_hash"] == hit["t2"]), "left").drop("d2", "h2", "t2")
-    out = out.withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
+    stats = store(document_stats(docs, host, whole), "stats")
+    often = store(frequent_lines(stats, least_docs, host_share), "frequent")
+    # A host's array counts as a hundred rows of the limit.
+    often = small_side(often.toDF("host2", "frequent"), SMALL_ROWS // 100)
+    out = stats.join(often, stats["host"].eqNullSafe(F.col("host2")), "left").drop("host2")
+    gone = F.expr("coalesce(array_intersect(transform(lines, l -> l.h), frequent), cast(array() AS array<bigint>))")
+    out = out.withColumn("removed_lines", gone).drop("frequent")
+    out = out.withColumn("removed_words", F.expr("aggregate(filter(lines, l -> array_contains(removed_lines, l.h)), 0L, (a, l) -> a + l.words)")).drop("lines")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat_pct * F.col("n_words"))
     depleted = (F.col("removed_words") > 0) & ((100 * F.col("removed_words") > most_removed_pct * F.col("n_words")) | (F.col("n_words") - F.col("removed_words") < least_words))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
@@ -92,12 +99,11 @@ def quality_verdicts(docs: DataFrame, host: str = "source", least_docs: int = 20
 
 def quality_filter(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are kept, all columns, without their frequent lines."""
-    host = options.get("host", "source")
-    v = quality_verdicts(docs, **options).where("kept").select("doc_id", "host", "text_hash", "removed_lines").distinct().toDF("_d", "_h", "_t", "_gone")
-    d = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    d = d.join(v, d["doc_id"].eqNullSafe(v["_d"]) & d[host].eqNullSafe(v["_h"]) & (d["_text_hash"] == v["_t"]))
-    clean = F.expr(rf"array_join(filter(split(text, '\n', -1), l -> NOT (l rlike '{_WORD_SQL}' AND array_contains(_gone, xxhash64({_LINE})))), '\n')")
-    d = d.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(clean))
+    v = quality_verdicts(docs, whole=True, **options).where("kept").select("row", "removed_lines")
+    clean = F.expr(rf"array_join(filter(split(row.text, '\n', -1), l -> NOT (l rlike '{_WORD_SQL}' AND array_contains(removed_lines, xxhash64({_LINE})))), '\n')")
+    changed = F.size("removed_lines") > 0
+    v = v.withColumn("clean", F.when(changed, clean).otherwise(F.col("row.text")))
+    new = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return d.select(*docs.columns)
+        new["n_chars"] = F.when(changed, F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return v.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -1,32 +1,35 @@
 """Near-duplicates by an LSH forest, confirmed on full shingle sets.
 
 Documents with equal shingle sets are one node. Each node has TREES labels of DEPTH min-hash values.
-A tree is the sorted order of its labels, spread over tasks by range partitioning with the node as the
-last key, so equal labels can be cut anywhere. A node's candidates are its nearest neighbours in every
-order: those with the longest common prefix. Where few labels share a prefix the neighbours reach up
-to a short prefix; where thousands do, the same number of neighbours share a long one, so the depth
-adapts to each region and the candidates stay in proportion to the nodes. Neighbours across task
-boundaries are joined through the ends of each task's run.
-
-Candidates are confirmed in two rounds: each node's best two first; then, of the rest, those that join
-what is still apart. In a group of thousands of copies nearly all candidates fall away before they cost
-anything, and none is dropped that could still join two components.
+A tree is the sorted order of its labels, spread over tasks by range partitioning with the node as
+last key, so equal labels can be cut anywhere. The length of the prefix that neighbouring labels share
+is computed for every step of an order; a node's candidates are the rows on both sides with the
+longest. Where few labels share a prefix these reach up to a short one; where thousands do, they share
+a long one, so the depth adapts to each region and the candidates stay in proportion to the nodes.
+Neighbours across task boundaries are joined through the ends of each task's run.
+
+A candidate whose sketch agrees too little is not confirmed; the limit is four standard deviations
+below the wanted similarity. The others are confirmed on full sets in two rounds: each node's best two
+first; then, of the rest, all that join what is still apart. In a group of thousands of copies nearly
+all candidates fall away before they cost anything.
 
 Where more rows share a prefix of CROWD values than the window reaches, the order alone could leave a
-pair out. Nodes of such runs form regions, and each region is finished on the full sets: every node
-outside the region's largest component is compared with every node of another component.
+pair out. Nodes of such runs form regions, and each region is finished on the full sets, whatever the
+sketches say: every node outside the region's largest component is compared with every node of
+another component.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, store, width
+from .common import bound_batches, drop_stored, small_side, store, stored_bytes, width
 from .components import components
 from .kernels import U, pieces, shingle_set, word_hashes
 
@@ -42,8 +45,6 @@ CROWD = 4
 BLOCK = 256
 #: Below the wanted similarity by about four standard deviations of the estimate.
 MARGIN = 0.19
-#: Words of the filter that keeps texts of candidates only: 4 MB, whatever the corpus.
-FILTER_WORDS = 1 << 19
 
 _rng = np.random.Generator(np.random.PCG64(715517))
 _XOR = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -95,21 +96,36 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def forest_rows(nodes: DataFrame) -> DataFrame:
-    """A row for each node and tree: ``tree, label, node, root, sketch``; ``nodes`` has node, sig."""
+    """A row for each node and tree: ``tree, label, node, sketch``; ``nodes`` has node, sig."""
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     step = HASHES // SKETCH
     # A byte of every second value, from all trees alike.
     sketch = F.unhex(F.concat(*[F.substring(F.hex("sig"), 4 * step * k + 3, 2) for k in range(SKETCH)]))
     rows = nodes.select("node", "sig", sketch.alias("sketch")).select(trees, "node", "sig", "sketch")
-    return rows.select("tree", F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * DEPTH})").alias("label"), "node", F.col("node").alias("root"), "sketch")
+    return rows.select("tree", F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * DEPTH})").alias("label"), "node", "sketch")
+
+
+def common_prefix(trees: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """How many leading values each row's label shares with that of the row before; 0 for the first and in a new tree."""
+    if not len(trees):
+        return np.empty(0, np.int64)
+    differ = labels[1:] != labels[:-1]
+    shared = np.where(differ.any(1), differ.argmax(1), labels.shape[1])
+    return np.concatenate(([0], np.where(trees[1:] == trees[:-1], shared, 0)))
 
 
-def _near(trees: np.ndarray, labels: np.ndarray, nodes: np.ndarray, roots: np.ndarray, sk: np.ndarray, least: float, fresh: int | None = None) -> list[np.ndarray]:
-    """Pairs of rows up to WINDOW apart in the same tree with a common prefix, different roots and agreeing sketches."""
-    found = []
+def _near(lcp: np.ndarray, nodes: np.ndarray, sk: np.ndarray, least: float, fresh: int | None = None) -> list[np.ndarray]:
+    """Pairs of the WINDOW rows on each side that share the longest prefixes, if their sketches agree.
+
+    Rows are in order, so the longest prefix that two rows share is the least of the steps between
+    them, and falls with the distance: the nearest rows are those with the longest. A row of
+    the result is (node, node, bytes that agree, length of the prefix).
+    """
+    found, shared = [], lcp[1:]
     for w in range(1, min(WINDOW, len(nodes) - 1) + 1):
-        ok = (trees[w:] == trees[:-w]) & (labels[w:] == labels[:-w]) & (roots[w:] != roots[:-w])
-        i = np.flatnonzero(ok)
+        if w > 1:
+            shared = np.minimum(shared[:-1], lcp[w:])
+        i = np.flatnonzero((shared > 0) & (nodes[w:] != nodes[:-w]))
         if fresh is not None:  # only pairs across the boundary
             i = i[(i < fresh) & (i + w >= fresh)]
         for k in range(0, len(i), 1 << 16):
@@ -117,13 +133,13 @@ def _near(trees: np.ndarray, labels: np.ndarray, nodes: np.ndarray, roots: np.nd
             agree = (sk[j] == sk[j + w]).sum(1, dtype=np.int64)
             good = agree >= least * SKETCH
             j, agree = j[good], agree[good]
-            found.append(np.stack([np.minimum(nodes[j], nodes[j + w]), np.maximum(nodes[j], nodes[j + w]), agree], 1))
+            found.append(np.stack([np.minimum(nodes[j], nodes[j + w]), np.maximum(nodes[j], nodes[j + w]), agree, shared[j]], 1))
     return found
 
 
-def _crowded(trees: np.ndarray, prefixes: np.ndarray, nodes: np.ndarray, least: int) -> np.ndarray:
-    """Pairs of each row of a run of ``least`` rows or more, equal in tree and prefix, with the run's first row."""
-    new = np.concatenate(([True], (trees[1:] != trees[:-1]) | (prefixes[1:] != prefixes[:-1])))
+def _crowded(lcp: np.ndarray, nodes: np.ndarray, least: int) -> np.ndarray:
+    """Pairs of each row of a run of ``least`` rows or more that share CROWD values, with the run's first row."""
+    new = lcp < CROWD
     first = np.flatnonzero(new)
     run = np.cumsum(new) - 1
     size = np.bincount(run)
@@ -131,70 +147,63 @@ def _crowded(trees: np.ndarray, prefixes: np.ndarray, nodes: np.ndarray, least:
     return np.stack([nodes[first[run[i]]], nodes[i]], 1)
 
 
-def _prefixes(label: np.ndarray) -> np.ndarray:
-    """The first CROWD values of each label as one number."""
-    return np.ascontiguousarray(label[:, :CROWD]).view(np.uint64)[:, 0]
-
-
 def _columns(batch: pa.RecordBatch) -> tuple:
     n = batch.num_rows
     label = np.frombuffer(b"".join(batch.column("label").to_pylist()), ">u2").reshape(n, DEPTH)
     sk = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(n, SKETCH)
-    return batch.column("tree").to_numpy(), label[:, 0].astype(np.int64), batch.column("node").to_numpy(), batch.column("root").to_numpy(), sk, _prefixes(label)
+    return common_prefix(batch.column("tree").to_numpy(), label), batch.column("node").to_numpy(), sk
 
 
-def candidates(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """``a, b, agree``: neighbours in any order whose sketches agree well enough, each pair once; and ``a, b`` that ties the nodes of crowded runs."""
+def candidates(rows: DataFrame, least: float, parts: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``a, b, agree, prefix``: neighbours in any order whose sketches agree well enough, each pair once; ``a, b`` that ties the nodes of crowded runs; and the stored table behind both."""
     spark = rows.sparkSession
-    ordered = rows.repartitionByRange(width(spark), "tree", "label", "node").sortWithinPartitions("tree", "label", "node")
-    out = "a long, b long, agree int, part int, side int, pos int, tree int, label binary, root long, sketch binary"
+    ordered = rows.repartitionByRange(parts, "tree", "label", "node").sortWithinPartitions("tree", "label", "node")
+    out = "a long, b long, agree int, prefix int, part int, side int, pos int, tree int, label binary, sketch binary"
+    names = [c.split()[0] for c in out.split(", ")]
+    kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 6, pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, tail, head_left, last = TaskContext.get().partitionId(), None, WINDOW, []
-        names = [c.split()[0] for c in out.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary()]
+        part, tail, head_left = TaskContext.get().partitionId(), None, WINDOW
 
-        def ends(side: int, items: list) -> pa.RecordBatch:
-            n = len(items)
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([x[1] for x in items], [None] * n, [None] * n, [part] * n, [side] * n, list(range(n)), [x[0] for x in items], [x[2] for x in items], [x[3] for x in items], [x[4] for x in items]), kinds, strict=True)], names)
+        def ends(side: int, rows: pa.RecordBatch) -> pa.RecordBatch:
+            n = rows.num_rows
+            own = {"a": rows.column("node"), "part": pa.array([part] * n, pa.int32()), "side": pa.array([side] * n, pa.int32()), "pos": pa.array(range(n), pa.int32()), "tree": rows.column("tree"), "label": rows.column("label"), "sketch": rows.column("sketch")}
+            return pa.RecordBatch.from_arrays([own[c].cast(k) if c in own else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)], names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             if head_left:
-                first = batch.slice(0, head_left)
-                yield ends(0, list(zip(*(first.column(c).to_pylist() for c in ("tree", "node", "label", "root", "sketch")), strict=True)))
+                yield ends(0, batch.slice(0, head_left))
                 head_left = 0
             now = batch if tail is None else pa.Table.from_batches([tail, batch]).combine_chunks().to_batches()[0]
-            *cols, prefixes = _columns(now)
-            tied = _crowded(cols[0], prefixes, cols[2], WINDOW)
+            lcp, nodes, sk = _columns(now)
+            tied = _crowded(lcp, nodes, WINDOW)
             # A tie has -1 for the agreement.
-            found = [*_near(*cols, least), np.column_stack([tied, np.full(len(tied), -1)])]
-            p = np.concatenate(found)
+            p = np.concatenate([*_near(lcp, nodes, sk, least), np.column_stack([tied, np.full((len(tied), 2), -1)])])
             m = len(p)
             if m:
-                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p[:, 2], pa.int32()), *(pa.nulls(m, k) for k in kinds[3:])], names)
+                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p[:, 2], pa.int32()), pa.array(p[:, 3], pa.int32()), *(pa.nulls(m, k) for k in kinds[4:])], names)
             tail = now.slice(max(0, now.num_rows - WINDOW))
-            last = tail
         if tail is not None:
-            yield ends(1, list(zip(*(last.column(c).to_pylist() for c in ("tree", "node", "label", "root", "sketch")), strict=True)))
+            yield ends(1, tail)
 
     made = store(ordered.mapInArrow(run, out), "neighbours")
-    pairs = made.where("b is not null AND agree >= 0").select("a", "b", "agree")
+    pairs = made.where("b is not null AND agree >= 0").select("a", "b", "agree", "prefix")
     ties = made.where("agree < 0").select("a", "b")
     # The ends of each task's run: a few rows a task. Tasks with fewer rows than the window are bridged by their neighbours' ends.
-    edges = made.where("b is null").select(F.col("a").alias("node"), "part", "side", "pos", "tree", "label", "root", "sketch").collect()
+    edges = made.where("b is null").select(F.col("a").alias("node"), "part", "side", "pos", "tree", "label", "sketch").collect()
     seam, tied = _seams(edges, least)
     if seam:
-        pairs = pairs.unionByName(spark.createDataFrame(seam, "a long, b long, agree int"))
+        pairs = pairs.unionByName(spark.createDataFrame(seam, "a long, b long, agree int, prefix int"))
     if tied:
         ties = ties.unionByName(spark.createDataFrame(tied, "a long, b long"))
-    return pairs.groupBy("a", "b").agg(F.max("agree").alias("agree")), ties
+    return pairs.groupBy("a", "b").agg(F.max("agree").alias("agree"), F.max("prefix").alias("prefix")), ties.distinct(), made
 
 
-def _seams(edges: list, least: float) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
+def _seams(edges: list, least: float) -> tuple[list[tuple[int, ...]], list[tuple[int, int]]]:
     """Pairs of neighbours on two sides of a boundary between tasks, and ties of rows there that share a prefix."""
     parts = sorted({e["part"] for e in edges})
     tails = {p: sorted((e for e in edges if e["part"] == p and e["side"] == 1), key=lambda e: e["pos"]) for p in parts}
@@ -203,56 +212,36 @@ def _seams(edges: list, least: float) -> tuple[list[tuple[int, int, int]], list[
     for p in parts:
         run = [*before, *heads[p]]
         if before:
-            t = np.asarray([e["tree"] for e in run])
-            full = np.frombuffer(b"".join(bytes(e["label"]) for e in run), ">u2").reshape(-1, DEPTH)
-            lab, nodes = full[:, 0].astype(np.int64), np.asarray([e["node"] for e in run])
+            label = np.frombuffer(b"".join(bytes(e["label"]) for e in run), ">u2").reshape(-1, DEPTH)
+            lcp, nodes = common_prefix(np.asarray([e["tree"] for e in run]), label), np.asarray([e["node"] for e in run])
             # How far a run goes on in the tasks is not known here: two rows are enough.
-            tied += [tuple(map(int, r)) for r in _crowded(t, _prefixes(full), nodes, 2)]
+            tied += [tuple(map(int, r)) for r in _crowded(lcp, nodes, 2)]
             sk = np.frombuffer(b"".join(bytes(e["sketch"]) for e in run), np.uint8).reshape(-1, SKETCH)
-            for x in _near(t, lab, nodes, np.asarray([e["root"] for e in run]), sk, least, fresh=len(before)):
+            for x in _near(lcp, nodes, sk, least, fresh=len(before)):
                 found += [tuple(map(int, r)) for r in x]
         before = [*before, *tails[p]][-WINDOW:] if len(heads[p]) < WINDOW else tails[p]
     return found, tied
 
 
-def _kept_bits(ids: DataFrame) -> np.ndarray:
-    """A bit for the hash of each id; ``ids`` has ``node``. At most FILTER_WORDS rows come to the driver."""
-    at = f"pmod(xxhash64(node), {64 * FILTER_WORDS})"
-    rows = ids.select(F.expr(f"cast({at} div 64 as int)").alias("w"), F.expr(f"shiftleft(1L, cast({at} % 64 as int))").alias("b"))
-    rows = rows.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    bits = np.zeros(FILTER_WORDS, np.int64)
-    bits[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
-    return bits
-
-
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``node, text`` of the documents whose id may be in ``ids``: a fixed-size filter, so some others too."""
-    spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(_kept_bits(ids))
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(64 * FILTER_WORDS))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k = batch.column("at").to_numpy()
-            hit = (bits.value[k >> 6] >> (k & 63)) & 1
-            yield batch.filter(pa.array(hit.astype(bool))).select(["node", "text"])
-
-    return docs.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text", at.alias("at")).mapInArrow(run, "node long, text string")
+    """``node, text`` of the documents whose id is in ``ids``, a stored table with ``node``."""
+    named = docs.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text")
+    return named.join(small_side(ids), "node", "left_semi")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Of ``pairs`` (a, b), those with 100 * intersection >= percent * union of their full sets.
 
     b's text travels to a's task; a's partners are dealt into slices, so a node with many partners is
-    read by several tasks. One text is held at a time beside a's set.
+    read by several tasks. One text is held at a time beside a's set. ``texts`` is a stored table.
     """
-    spark = pairs.sparkSession
+    parts = width(pairs.sparkSession, 8 * stored_bytes(texts))
     slices = F.pmod(F.xxhash64("b"), F.lit(64)).cast("int")
     p = pairs.select("a", "b", slices.alias("slice"))
     # One join brings every text that a task needs: a's own, once a slice, and its partners'.
     asked = p.select(F.col("b").alias("node"), "a", "slice", "b").unionByName(p.select(F.col("a").alias("node"), "a", "slice").distinct().withColumn("b", F.lit(None).cast("long")))
     both = asked.join(texts, "node").select("a", "slice", "b", "text")
-    both = both.repartition(2 * width(spark), "a", "slice").sortWithinPartitions("a", "slice", F.col("b").asc_nulls_first())
+    both = both.repartition(parts, "a", "slice").sortWithinPartitions("a", "slice", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, mine = None, []
@@ -305,11 +294,11 @@ def finish(members: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     A region is dealt into blocks. A task holds the sets of one block, and the nodes that are apart pass
     by one at a time; each gives one link with each component that it is linked with in the block.
     """
-    spark = members.sparkSession
+    parts = width(members.sparkSession, 8 * stored_bytes(texts))
     m = members.join(texts, "node")
     held = m.select("region", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("passing"), "node", "root", "text")
     passing = m.where("apart").select("region", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("passing"), "node", "root", "text")
-    both = held.unionByName(passing).repartition(2 * width(spark), "region", "block").sortWithinPartitions("region", "block", "passing")
+    both = held.unionByName(passing).repartition(parts, "region", "block").sortWithinPartitions("region", "block", "passing")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, sets, nodes, roots, block = None, [], [], [], None
@@ -360,31 +349,52 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     share a doc_id are one document: they share a component. A row with a null id gets a null
     component and is kept. An empty table gives an empty result.
     """
-    bound_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bound_batches(spark)
     marks = store(sketches(docs, shingle), "sketches")
     sets = store(marks.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "sets")
-    nodes = sets.select("node", "sig")
     least = max(0.0, percent / 100 - MARGIN)
-    pairs, ties = candidates(forest_rows(nodes), least)
-    pairs, ties = store(pairs, "pairs"), store(ties.distinct(), "ties")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
-    ends = ends.union(ties.select("a")).union(ties.select("b"))
+    # A tree's row is about a third of a stored set's.
+    pairs, ties, made = candidates(forest_rows(sets.select("node", "sig")), least, width(spark, TREES * stored_bytes(sets) // 3))
+    pairs, ties = store(pairs, "pairs"), store(ties, "ties")
+    drop_stored(made)
+    sides = [t.select(F.col(c).alias("node")) for t in (pairs, ties) for c in ("a", "b")]
+    ends = store(reduce(DataFrame.union, sides).distinct(), "ends")
     texts = store(texts_of(docs, ends), "texts")
-    both = pairs.select("a", "b", "agree", F.col("a").alias("n")).union(pairs.select("a", "b", "agree", F.col("b").alias("n")))
-    best = both.withColumn("r", F.row_number().over(Window.partitionBy("n").orderBy(F.desc("agree"), "a", "b"))).where("r <= 2").select("a", "b").distinct()
+    drop_stored(ends)
+    both = pairs.select("a", "b", "agree", "prefix", F.col("a").alias("n")).union(pairs.select("a", "b", "agree", "prefix", F.col("b").alias("n")))
+    best = both.withColumn("r", F.row_number().over(Window.partitionBy("n").orderBy(F.desc("agree"), F.desc("prefix"), "a", "b"))).where("r <= 2").select("a", "b").distinct()
     best = store(best, "best")
-    links = store(confirm(best, texts, shingle, percent), "links")
-    roots = components(links)
-    rest = _apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), roots)
-    rest = store(rest.distinct(), "rest")
-    left = rest.select(F.col("a").alias("node")).union(rest.select(F.col("b").alias("node")))
-    links = store(links.unionByName(confirm(rest, store(texts_of(texts.withColumnRenamed("node", "doc_id"), left), "texts"), shingle, percent)), "links")
+    first = store(confirm(best, texts, shingle, percent), "links")
+    roots = components(first)
+    rest = store(_apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), roots), "rest")
+    links = store(first.unionByName(confirm(rest, texts, shingle, percent)), "links")
+    drop_stored(pairs, best, first, roots, rest)
     # What crowded runs may have left out, on the full sets.
-    crowd = store(regions(ties, components(links)), "crowd")
-    links = links.unionByName(finish(crowd, texts_of(texts.withColumnRenamed("node", "doc_id"), crowd), shingle, percent))
+    roots = components(links)
+    crowd = store(regions(ties, roots), "crowd")
     # Rows of one id with different texts, and equal sets, are linked as they stand.
     same = marks.where("digest is not null and doc_id is not null").join(sets.select("digest", "node"), "digest").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    roots = components(links.unionByName(same))
+    every = store(links.unionByName(finish(crowd, texts, shingle, percent)).unionByName(same), "links")
+    drop_stored(links, ties, roots, crowd, texts, sets)
+    roots = components(every)
+    drop_stored(every)
     out = marks.select("doc_id", "n_shingles").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("root", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, of which one stays for each group of near-duplicates.
+
+    Only ids travel: those of documents that go, and those that several rows share. Of several rows
+    with one id that stays, the one whose columns hash least is kept; rows without an id cannot be
+    told apart and stay. An empty table gives an empty result.
+    """
+    groups = store(near_duplicates(docs, shingle, percent).where("doc_id is not null").groupBy("doc_id").agg(F.first("kept").alias("kept"), F.count("*").alias("rows")).where("not kept or rows > 1"), "groups")
+    ids = groups.select(F.col("doc_id").alias("_id"), "kept")
+    single = docs.join(small_side(ids.select("_id")), docs["doc_id"] == F.col("_id"), "left_anti")
+    again = docs.join(small_side(ids.where("kept").select("_id")), docs["doc_id"] == F.col("_id"), "left_semi")
+    order = F.xxhash64(*[F.col(c).cast("string") for c in docs.columns])
+    again = again.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(order))).where("_n = 1").select(*docs.columns)
+    return single.unionByName(again)
