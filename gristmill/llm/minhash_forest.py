@@ -240,7 +240,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     p = pairs.select("a", "b", slices.alias("slice"))
     # One join brings every text that a task needs: a's own, once a slice, and its partners'.
     asked = p.select(F.col("b").alias("node"), "a", "slice", "b").unionByName(p.select(F.col("a").alias("node"), "a", "slice").distinct().withColumn("b", F.lit(None).cast("long")))
-    both = asked.join(texts, "node").select("a", "slice", "b", "text")
+    both = asked.join(texts.hint("merge"), "node").select("a", "slice", "b", "text")
     both = both.repartition(parts, "a", "slice").sortWithinPartitions("a", "slice", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,7 +295,7 @@ def finish(members: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     by one at a time; each gives one link with each component that it is linked with in the block.
     """
     parts = width(members.sparkSession, 8 * stored_bytes(texts))
-    m = members.join(texts, "node")
+    m = members.join(texts.hint("merge"), "node")
     held = m.select("region", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("passing"), "node", "root", "text")
     passing = m.where("apart").select("region", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("passing"), "node", "root", "text")
     both = held.unionByName(passing).repartition(parts, "region", "block").sortWithinPartitions("region", "block", "passing")

@@ -160,7 +160,8 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     p = p.toDF("_id", "_source", "_size", "_m", "_total")
     shared = p.agg(F.max("_m")).first()[0] or 1
     sized = docs.withColumn("_words", word_count())
-    out = sized.join(p, sized["doc_id"].eqNullSafe(p["_id"]) & sized["source"].eqNullSafe(p["_source"]) & (sized["_words"] == p["_size"]))
+    # The plan has a row a document, so both sides grow alike: merged at every size.
+    out = sized.join(p.hint("merge"), sized["doc_id"].eqNullSafe(p["_id"]) & sized["source"].eqNullSafe(p["_source"]) & (sized["_words"] == p["_size"]))
     i = F.lit(1)
     if shared > 1:
         i = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.xxhash64("text")))
