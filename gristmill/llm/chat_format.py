@@ -13,6 +13,7 @@ tokens are those of the whole.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
@@ -74,6 +75,7 @@ class Encoder:
     """The tokenizer with the control strings as tokens, and offsets that cover every character."""
 
     def __init__(self, file: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import AddedToken, Tokenizer, processors
 
         self.tokenizer = Tokenizer.from_file(file)
@@ -81,9 +83,14 @@ class Encoder:
         self.tokenizer.add_special_tokens([AddedToken(x, special=True, normalized=False) for x in (START, END)])
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        e = self.tokenizer.encode(text, add_special_tokens=False)
-        at = np.asarray(e.offsets, np.int64).reshape(-1, 2)
-        return np.asarray(e.ids, np.uint32), at[:, 0], at[:, 1]
+        return self.batch([text])[0]
+
+    def batch(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        out = []
+        for e in self.tokenizer.encode_batch(texts, add_special_tokens=False):
+            at = np.asarray(e.offsets, np.int64).reshape(-1, 2)
+            out.append((np.asarray(e.ids, np.uint32), at[:, 0], at[:, 1]))
+        return out
 
 
 def format_conversations(rows: DataFrame, tokenizer: str, loss_role: str = "assistant", segment_chars: int = SEGMENT_CHARS) -> DataFrame:
@@ -111,16 +118,16 @@ def format_conversations(rows: DataFrame, tokenizer: str, loss_role: str = "assi
 
         def end() -> None:
             nonlocal held, chars, segment
-            text, spans = render(held, loss_role)
-            ids, a, b = encoder(text)
-            mask = loss_mask(spans, a, b)
-            out.append((conv, part, segment, len(held), text, ids.tobytes(), a.astype("<u4").tobytes(), b.astype("<u4").tobytes(), mask.astype(np.uint8).tobytes()))
+            out.append((conv, part, segment, len(held), *render(held, loss_role)))
             held, chars, segment = [], 0, segment + 1
 
         def give() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+            rows = []
+            for row, (ids, a, b) in zip(out, encoder.batch([r[4] for r in out]), strict=True):
+                mask = loss_mask(row[5], a, b)
+                rows.append((*row[:5], ids.tobytes(), a.astype("<u4").tobytes(), b.astype("<u4").tobytes(), mask.astype(np.uint8).tobytes()))
             out.clear()
-            return batch
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
         for batch in batches:
             for c, _, role, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
@@ -193,20 +200,20 @@ def conversation_digests(segments: DataFrame) -> DataFrame:
                 out.append((conv, counts[0], turns_hash.hexdigest(), counts[1], loss_hash.hexdigest(), counts[2], counts[3], counts[4]))
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = {n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names)}
-                if not started or row["conv_id"] != conv:
+            columns = [batch.column(c).to_pylist() for c in ("conv_id", "text", "token_starts", "token_ends", "loss")]
+            for conv_id, text, *spans, loss_bytes in zip(*columns, strict=True):
+                if not started or conv_id != conv:
                     end()
-                    started, conv, counts = True, row["conv_id"], [0] * 5
+                    started, conv, counts = True, conv_id, [0] * 5
                     turns_hash, loss_hash = hashlib.sha256(), hashlib.sha256()
-                turns = parse(row["text"])
-                for role, text in turns:
-                    turns_hash.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-                a, b = (np.frombuffer(row[c], "<u4").astype(np.int64) for c in ("token_starts", "token_ends"))
-                mask = np.frombuffer(row["loss"], np.uint8).astype(bool)
-                loss = masked_text(row["text"], a, b, mask)
+                turns = parse(text)
+                for role, said in turns:
+                    turns_hash.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
+                a, b = (np.frombuffer(x, "<u4").astype(np.int64) for x in spans)
+                mask = np.frombuffer(loss_bytes, np.uint8).astype(bool)
+                loss = masked_text(text, a, b, mask)
                 loss_hash.update(loss.encode("utf-8", "surrogatepass"))
-                for k, v in enumerate((len(turns), len(loss), len(row["text"]), len(mask), int(mask.sum()))):
+                for k, v in enumerate((len(turns), len(loss), len(text), len(mask), int(mask.sum()))):
                     counts[k] += v
             if len(out) >= 1000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)

@@ -1,21 +1,22 @@
 """Language-model scoring by Katz backoff.
 
-A bigram model with Good-Turing discounts and exactly normalised backoff weights, over all training
-documents: P(w | v) = d(r) r / c(v) for a bigram seen r times, else a(v) P(w), where P(w) is the
-discounted unigram probability and what its discounts leave is the probability of the unknown word.
-The weight a(v) is what the discounts of v's bigrams leave, over the unigram probability of the words
-not seen after v, so each context's probabilities sum to one.
-
-Tokens are 64-bit word hashes. Texts are read once and kept as chunks: a list of distinct words and
-the running text as places in that list. From then on only distinct items travel:
-
-1. Each chunk asks for the counts of its distinct words and bigrams, as sorted blocks of keys dealt
-   out by hash, with its own training counts. A frequent word is one key a chunk, so no key is hot.
+A model of order n with Good-Turing discounts and exactly normalised backoff weights, over all
+training documents. A word w after a context v of k - 1 words has P(w | v) = d(r) r / c(v) if the k words
+were seen r times, else a(v) P(w | v without its first word), recursively down to single words, where
+what the discounts leave is the probability of the unknown word. The weight a(v) is what the
+discounts leave of v, over the lower order's probability of the words not seen after v, so each
+context's probabilities sum to one. Before a document stand as many begin marks as a context is long.
+
+Tokens are 64-bit word hashes, and so are n-grams. Texts are read once and kept as chunks: a list of
+distinct words and the running text as places in that list. From then on only distinct items travel:
+
+1. Each chunk asks for the counts of its distinct n-grams of every order, as sorted blocks of keys
+   dealt out by hash, with its own training counts. A frequent word is one key a chunk, so no key is hot.
 2. The task that holds a share of the keys sums the counts of all chunks and answers every chunk, in
-   the order it asked in. One of the chunks that hold a bigram is told to account for it.
-3. Each chunk, with its answers, scores its documents as far as seen bigrams and unigrams go, and
-   gives its part of each context's sums (for the weights), and the contexts of unseen bigrams.
-4. The weights are a table by context; documents look up those of their unseen bigrams.
+   the order it asked in. One of the chunks that hold an n-gram is told to account for it.
+3. Each chunk, with its answers, scores its documents as far as seen n-grams go, order by order, and
+   gives its part of each context's sums (for the weights), and the contexts of unseen n-grams.
+4. The weights are a table by order and context; documents look up those of their unseen n-grams.
 """
 
 from __future__ import annotations
@@ -28,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, store, width
+from .common import bound_batches, drop_stored, store, width
 from .kernels import U, mix, pieces, word_hashes
 from .langid import held_out
 
+#: Words of an n-gram in production.
+ORDER = 2
 #: Tokens of a chunk, and keys of a block that is answered at once.
 CHUNK_TOKENS = 1 << 20
 BLOCK_KEYS = 1 << 16
@@ -103,37 +106,40 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 
 class Chunk:
-    """A chunk's documents, words and distinct bigrams, in the order in which it asks for them."""
+    """A chunk's documents and its distinct n-grams of each order, sorted by hash as it asks for them."""
 
-    def __init__(self, row: dict) -> None:
+    def __init__(self, row: dict, order: int) -> None:
         self.name = row["chunk"]
         self.docs = _unpack(row["docs"], "<i8")
         flags = _unpack(row["held"], np.uint8)
         self.null, self.held = flags >= 2, (flags & 1).astype(bool)
         self.lengths = _unpack(row["lengths"], "<i8")
-        self.vocab = _unplanes(row["vocab"])
         raw = _unpack(row["stream"], np.uint8).reshape(4, -1)
-        self.stream = np.ascontiguousarray(raw.T).view(np.uint32).ravel().astype(np.int64)
         self.ends = np.cumsum(self.lengths)
         self.starts = self.ends - self.lengths
         self.training = np.repeat(~self.held, self.lengths)
-        n = len(self.vocab)
-        before = np.empty_like(self.stream)
-        before[1:] = self.stream[:-1]
-        before[self.starts] = n  # the beginning of a document is a context of its own
-        self.before = before
-        pair = before * (n + 1) + self.stream
-        self.pairs, self.pair_of = np.unique(pair, return_inverse=True)
-        context = np.append(self.vocab, BEGIN_HASH)
-        keys = mix(context[self.pairs // (n + 1)] * U(0xD1342543DE82EF95) + self.vocab[self.pairs % (n + 1)])
-        self.order = np.argsort(keys)
-        self.keys = keys[self.order]
+        #: By order: the distinct keys, and which of them ends at each token.
+        self.keys = [_unplanes(row["vocab"])]
+        self.at = [np.ascontiguousarray(raw.T).view(np.uint32).ravel().astype(np.int64)]
+        #: By order from 2: each token's context.
+        self.context = []
+        words, begin = self.keys[0][self.at[0]], BEGIN_HASH
+        key = words
+        for _ in range(1, order):
+            context = np.empty_like(key)
+            context[1:] = key[:-1]
+            context[self.starts] = begin
+            key = mix(context * U(0xD1342543DE82EF95) + words)
+            begin = mix(np.asarray([begin + U(1)]))[0]
+            distinct, at = np.unique(key, return_inverse=True)
+            self.keys.append(distinct)
+            self.at.append(at)
+            self.context.append(context)
 
     def asked(self, shares: int) -> Iterator[tuple[int, int, bytes, bytes]]:
-        """(share, kind, keys, training counts) of each block; kind 1: words, 2: bigrams."""
-        words = np.bincount(self.stream[self.training], minlength=len(self.vocab))
-        pairs = np.bincount(self.pair_of[self.training], minlength=len(self.pairs))[self.order]
-        for kind, keys, counts in ((1, self.vocab, words), (2, self.keys, pairs)):
+        """(share, order, keys, training counts) of each block."""
+        for kind, (keys, at) in enumerate(zip(self.keys, self.at, strict=True), 1):
+            counts = np.bincount(at[self.training], minlength=len(keys))
             cut = cuts(keys, shares)
             for s in range(shares):
                 a, b = cut[s], cut[s + 1]
@@ -176,12 +182,12 @@ def _given(b: bytes) -> tuple[np.ndarray, np.ndarray]:
     return x >> 1, (x & 1).astype(bool)
 
 
-def _ask(table: DataFrame, shares: int) -> DataFrame:
+def _ask(table: DataFrame, shares: int, order: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("share", pa.int32()), ("kind", pa.int32()), ("chunk", pa.string()), ("keys", pa.binary()), ("counts", pa.binary())])
         for batch in batches:
             for row in _rows(batch):
-                c = Chunk(row)
+                c = Chunk(row, order)
                 for s, kind, keys, counts in c.asked(shares):
                     yield pa.RecordBatch.from_pylist([{"share": s, "kind": kind, "chunk": c.name, "keys": keys, "counts": counts}], schema)
 
@@ -193,9 +199,9 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names)}
 
 
-def _answers(asked: DataFrame, shares: int) -> DataFrame:
-    spark = asked.sparkSession
-    dealt = asked.repartition(max(width(spark), min(shares, 2000)), "kind", "share").sortWithinPartitions("kind", "share", "chunk")
+def _answers(asked: DataFrame, parts: int) -> DataFrame:
+    """Answers to each chunk; a task holds one share of one order at a time."""
+    dealt = asked.repartition(parts, "kind", "share").sortWithinPartitions("kind", "share", "chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("chunk", pa.string()), ("kind", pa.int32()), ("share", pa.int32()), ("counts", pa.binary()), ("n1", pa.list_(pa.int64())), ("total", pa.int64()), ("types", pa.int64())])
@@ -236,89 +242,85 @@ def _seen_p(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
     return d[np.minimum(counts, GT_MOST + 1)] * counts
 
 
-SCORED = "kind int, doc_id long, held_out boolean, ctx long, n_tokens long, n_known long, base double, score double, seen double, uni double, times long"
+SCORED = "kind int, doc_id long, held_out boolean, level int, ctx long, n_tokens long, n_known long, base double, score double, seen double, lower double, times long"
 
 
 def _score(c: Chunk, answers: dict[tuple[int, int], bytes], shares: int, m: dict) -> Iterator[pa.RecordBatch]:
-    def gather(kind: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cut = cuts(keys, shares)
+    def gather(kind: int) -> tuple[np.ndarray, np.ndarray]:
+        cut = cuts(c.keys[kind - 1], shares)
         got = [_given(answers[kind, s]) for s in range(shares) if cut[s + 1] > cut[s]]
         return np.concatenate([a for a, _ in got]), np.concatenate([b for _, b in got])
 
-    v = len(c.vocab)
-    uni, _ = gather(1, c.vocab)
-    pair_sorted, own_sorted = gather(2, c.keys)
-    pair, own = np.empty_like(pair_sorted), np.empty_like(own_sorted)
-    pair[c.order], own[c.order] = pair_sorted, own_sorted
-    p_uni = np.where(uni > 0, _seen_p(uni, m["d1"]) / max(m["N"], 1), m["unknown"])
-    base = np.log10((uni + 0.5) / (m["N"] + 0.5 * (m["V"] + 1)))
-    times = np.append(uni, m["documents"])  # of a context; the end of a document is no context
-    ctx, word = c.pairs // (v + 1), c.pairs % (v + 1)
-    seen = pair > 0
-    p_seen = np.where(seen, _seen_p(pair, m["d2"]) / np.maximum(times[ctx], 1), 0.0)
-    log_p = np.log10(np.where(seen, np.maximum(p_seen, 1e-300), p_uni[word]))
-    at = c.starts
-    known = np.add.reduceat((uni[c.stream] > 0).astype(np.int64), at)
-    sums = np.add.reduceat(base[c.stream], at)
-    score = np.add.reduceat(log_p[c.pair_of], at)
     names = [x.split()[0] for x in SCORED.split(", ")]
-    kinds = [pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
+    kinds = [pa.int32(), pa.int64(), pa.bool_(), pa.int32(), *[pa.int64()] * 3, *[pa.float64()] * 4, pa.int64()]
 
-    def batch(kind: int, n: int, **cols) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind), pa.int32()) if x == "kind" else pa.array(cols[x], k) if x in cols else pa.nulls(n, k) for x, k in zip(names, kinds, strict=True)], names)
+    def batch(kind: int, n: int, level: int = 0, **cols) -> pa.RecordBatch:
+        fixed = {"kind": kind, "level": level}
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, fixed[x]), k) if x in fixed else pa.array(cols[x], k) if x in cols else pa.nulls(n, k) for x, k in zip(names, kinds, strict=True)], names)
 
     ids = pa.array(c.docs, pa.int64(), mask=c.null)
     # Ids may repeat: a document is known by its chunk and place, too.
     place = (int(c.name[:7], 16) << 32) + np.arange(len(ids))
-    yield batch(0, len(ids), doc_id=ids, held_out=c.held, ctx=place, n_tokens=c.lengths, n_known=known, base=sums, score=score)
-    context = np.append(c.vocab, BEGIN_HASH).view(np.int64)
-    # This chunk's part of each context's sums.
-    mine = np.flatnonzero(own & seen)
-    s_seen = np.bincount(ctx[mine], p_seen[mine], minlength=v + 1)
-    s_uni = np.bincount(ctx[mine], p_uni[word[mine]], minlength=v + 1)
-    k = np.flatnonzero(s_seen)
-    yield batch(1, len(k), ctx=context[k], seen=s_seen[k], uni=s_uni[k])
-    # Contexts of unseen bigrams, of documents where any is; contexts never seen have weight one.
-    un = np.flatnonzero(~seen[c.pair_of] & (times[c.before] > 0))
-    if len(un):
-        doc = np.searchsorted(c.ends, un, "right")
-        both, n = np.unique(doc * (v + 1) + c.before[un], return_counts=True)
-        d, x = both // (v + 1), both % (v + 1)
-        yield batch(2, len(both), doc_id=ids.take(pa.array(d)), ctx=context[x], n_tokens=place[d], times=n)
-
-
-def katz_scores(docs: DataFrame) -> DataFrame:
+    count, _ = gather(1)
+    p = np.where(count > 0, _seen_p(count, m["d"][0]) / max(m["N"], 1), m["unknown"])
+    base = np.log10((count + 0.5) / (m["N"] + 0.5 * (m["V"] + 1)))[c.at[0]]
+    known = np.add.reduceat((count[c.at[0]] > 0).astype(np.int64), c.starts)
+    log_p, rows = np.log10(p)[c.at[0]], []
+    for level in range(2, len(c.keys) + 1):
+        at, lower_at, context = c.at[level - 1], c.at[level - 2], c.context[level - 2]
+        times = np.empty(len(at), np.int64)  # of each token's context
+        times[1:] = count[lower_at][:-1]
+        times[c.starts] = m["documents"]
+        lower, (count, own) = p, gather(level)
+        _, one = np.unique(at, return_index=True)  # a token that ends each n-gram
+        seen = count > 0
+        p = np.where(seen, _seen_p(count, m["d"][level - 1]) / np.maximum(times[one], 1), 0.0)
+        log_p = np.where(seen[at], np.log10(np.maximum(p, 1e-300))[at], log_p)
+        # This chunk's part of each context's sums.
+        mine = one[np.flatnonzero(own & seen)]
+        k, back = np.unique(context[mine], return_inverse=True)
+        rows.append(batch(1, len(k), level, ctx=k.view(np.int64), seen=np.bincount(back, p[at[mine]], len(k)), lower=np.bincount(back, lower[lower_at[mine]], len(k))))
+        # Contexts of unseen n-grams, by document; contexts never seen have weight one.
+        un = np.flatnonzero(~seen[at] & (times > 0))
+        if len(un):
+            doc, (k, back) = np.searchsorted(c.ends, un, "right"), np.unique(context[un], return_inverse=True)
+            both, n = np.unique(doc * len(k) + back, return_counts=True)
+            d, x = both // len(k), both % len(k)
+            rows.append(batch(2, len(both), level, doc_id=ids.take(pa.array(d)), ctx=k[x].view(np.int64), n_tokens=place[d], times=n))
+    yield batch(0, len(ids), doc_id=ids, held_out=c.held, ctx=place, n_tokens=c.lengths, n_known=known, base=np.add.reduceat(base, c.starts), score=np.add.reduceat(log_p, c.starts))
+    yield from rows
+
+
+def katz_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """Scores of every row of ``docs`` (doc_id, text, held_out), learnt from those that are not held out.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Tokens are words
     (A-Z lower-cased), then an end token, so null and empty texts have one token. Base is the
-    add-half unigram score; score the model's log10 probability of the text. Without training rows
-    every word is unknown. Repeated rows count and are scored each; null ids are kept; an empty table
-    gives an empty result.
+    add-half unigram score; score the log10 probability of the text in the model of ``order`` words
+    (1: no context). Without training rows every word is unknown. Repeated rows count and are scored
+    each; null ids are kept; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     table = store(chunks(docs), "chunks")
     size = table.agg(F.sum("tokens").alias("t")).first()["t"] or 0
     shares = max(8, -(-size // (BLOCK_KEYS * 16)))
-    n_chunks = max(1, -(-size // CHUNK_TOKENS))
-    answers = store(_answers(_ask(table, shares), shares), "answers")
+    # About 8 bytes a token and order travel, and half of that comes back.
+    answers = store(_answers(_ask(table, shares, order), width(spark, 8 * order * size)), "answers")
     facts = answers.where("n1 is not null").groupBy("kind").agg(F.sum("total").alias("total"), F.sum("types").alias("types"), *[F.sum(F.col("n1")[r]).alias(f"n{r}") for r in range(GT_MOST + 2)]).collect()
     f = {r["kind"]: r for r in facts}
-    n1 = [f[1][f"n{r}"] if 1 in f else 0 for r in range(GT_MOST + 2)]
-    n2 = [f[2][f"n{r}"] if 2 in f else 0 for r in range(GT_MOST + 2)]
+    n = [[f[k][f"n{r}"] if k in f else 0 for r in range(GT_MOST + 2)] for k in range(1, order + 1)]
     total, types = (f[1]["total"], f[1]["types"]) if 1 in f else (0, 0)
-    d1, d2 = discounts(n1), discounts(n2)
+    d = [discounts(x) for x in n]
     # What the discounts leave: exact, from the counts of counts and the total of the larger counts.
-    small = sum(r * n1[r] for r in range(1, GT_MOST + 1))
-    kept = sum(d1[r] * r * n1[r] for r in range(1, GT_MOST + 1)) + d1[-1] * (total - small)
+    small = sum(r * n[0][r] for r in range(1, GT_MOST + 1))
+    kept = sum(d[0][r] * r * n[0][r] for r in range(1, GT_MOST + 1)) + d[0][-1] * (total - small)
     unknown = 1 - kept / total if total else 1.0
-    documents = docs.where("not held_out").count()
-    m = {"N": total, "V": types, "d1": d1, "d2": d2, "unknown": unknown, "documents": documents}
+    m = {"N": total, "V": types, "d": d, "unknown": unknown, "documents": docs.where("not held_out").count()}
     names = [c.split()[0] for c in CHUNKS.split(", ")]
     left = table.select("chunk", F.lit(-1).alias("kind"), F.lit(-1).alias("share"), F.lit(None).cast("binary").alias("counts"), *names[1:])
     right = answers.select("chunk", "kind", "share", "counts", *[F.lit(None).cast(table.schema[c].dataType).alias(c) for c in names[1:]])
-    both = right.unionByName(left).repartition(max(width(spark), min(n_chunks, 4000)), "chunk").sortWithinPartitions("chunk", F.desc("kind"))
+    both = right.unionByName(left).repartition(width(spark, (4 + 4 * order) * size), "chunk").sortWithinPartitions("chunk", F.desc("kind"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, got = None, {}
@@ -329,21 +331,21 @@ def katz_scores(docs: DataFrame) -> DataFrame:
                 if row["kind"] >= 0:
                     got[row["kind"], row["share"]] = row["counts"]
                 else:  # the chunk itself comes last
-                    yield from _score(Chunk(row), got, shares, m)
+                    yield from _score(Chunk(row, order), got, shares, m)
                     got = {}
 
     rows = store(both.mapInArrow(run, SCORED), "scored")
-    weights = rows.where("kind = 1").groupBy("ctx").agg(F.sum("seen").alias("seen"), F.sum("uni").alias("uni"))
-    weights = weights.select("ctx", F.log10(F.greatest(1 - F.col("seen"), F.lit(1e-12)) / F.greatest(1 - F.col("uni"), F.lit(1e-12))).alias("w"))
-    unseen = rows.where("kind = 2").select("doc_id", F.col("n_tokens").alias("place"), "ctx", "times")
-    part = unseen.join(weights, "ctx").groupBy("doc_id", "place").agg(F.sum(F.col("w") * F.col("times")).alias("backoff"))
+    drop_stored(table, answers)
+    sums = rows.where("kind = 1").groupBy("level", "ctx").agg(F.sum("seen").alias("seen"), F.sum("lower").alias("lower"))
+    weights = sums.select("level", "ctx", F.log10(F.greatest(1 - F.col("seen"), F.lit(1e-12)) / F.greatest(1 - F.col("lower"), F.lit(1e-12))).alias("w"))
+    unseen = rows.where("kind = 2").select("doc_id", F.col("n_tokens").alias("place"), "level", "ctx", "times")
+    part = unseen.join(weights, ["level", "ctx"]).groupBy("doc_id", "place").agg(F.sum(F.col("w") * F.col("times")).alias("backoff"))
     out = rows.where("kind = 0").select("doc_id", F.col("ctx").alias("place"), "held_out", "n_tokens", "n_known", "base", "score")
     part = part.toDF("d", "p", "backoff")
     out = out.join(part, out["doc_id"].eqNullSafe(part["d"]) & (out["place"] == part["p"]), "left")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("score") + F.coalesce("backoff", F.lit(0.0))).alias("score"))
 
 
-def score_held_out(docs: DataFrame, mod: int = 5, rest: int = 1) -> DataFrame:
+def score_held_out(docs: DataFrame, mod: int = 5, rest: int = 1, order: int = ORDER) -> DataFrame:
     """``katz_scores`` learnt from the rows whose crc32 of the id leaves another remainder than ``rest``."""
-    return katz_scores(docs.select("doc_id", "text", held_out("doc_id", mod, rest).alias("held_out")))
-
+    return katz_scores(docs.select("doc_id", "text", held_out("doc_id", mod, rest).alias("held_out")), order)

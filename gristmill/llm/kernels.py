@@ -64,7 +64,12 @@ def cut_long(data: bytes) -> list[bytes]:
     """``data`` in parts of about PIECE bytes, cut at white space."""
     parts, at = [], 0
     while len(data) - at > PIECE:
-        cut = next((i for i in range(at + PIECE, len(data)) if _SPACE[data[i]]), len(data))
+        cut = len(data)
+        for a in range(at + PIECE, len(data), PIECE):
+            space = np.flatnonzero(_SPACE[np.frombuffer(data, np.uint8, min(PIECE, len(data) - a), a)])
+            if len(space):
+                cut = a + int(space[0])
+                break
         parts.append(data[at:cut])
         at = cut
     return [*parts, data[at:]]

@@ -1,10 +1,12 @@
 """License scans by a positional index of rare words.
 
-The index holds, for each licence template, its words that are rarest in the scanned corpus and
-their positions in the template. A document's occurrences of these words propose where a template
-would start (position in the document less position in the template); a start that enough anchors
-agree on is verified on the template's mandatory key phrases, and scored by the share of the
-template's words that stand where they should.
+The index posts each licence template under the words of its key phrases that are rarest (of highest
+IDF) in the scanned corpus, with their positions in the template. In each file the index words that it
+holds are looked up, those with the fewest places in this file first; a place less a posting's position
+is where the template would start, and the postings of a template are intersected by that. Key phrases
+are mandatory, so every index word stands in every true place and the intersection loses none. A start
+that is left is verified on the key phrases, and scored by the share of the template's words that stand
+where they should.
 
 DataFrame functions only: no Python runs on the executors. The only shuffle is the count of how many
 documents hold each template word; everything else happens inside a row.
@@ -12,6 +14,7 @@ documents hold each template word; everything else happens inside a row.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -58,6 +61,24 @@ NOTICES = (
     Template("cc-by-line", "creative commons attribution", ("creative commons attribution",)),
     Template("mit-line", "released under the mit license", ("released under the mit license",)),
     Template("all-rights-reserved", "all rights reserved", ("all rights reserved",)),
+    Template(
+        "mit-text",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"
+        " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so"
+        " subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"
+        " the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"
+        " in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with"
+        " the software or the use or other dealings in the software",
+        ("permission is hereby granted free of charge", "shall be included in all copies or substantial portions", "merchantability fitness for a particular purpose and noninfringement"),
+    ),
+    Template(
+        "isc-text",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
+        " the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"
+        " in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits"
+        " whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+        ("permission to use copy modify", "disclaims all warranties with regard to this software", "other tortious action"),
+    ),
 )
 
 
@@ -97,14 +118,8 @@ def word_frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     return {w: 0 for w in vocabulary} | {r["word"]: r["count"] for r in rows if r["word"] in vocabulary}
 
 
-def _anchors(t: Template, df: dict[str, int], most: int) -> list[tuple[str, int]]:
-    """The template's ``most`` rarest words with all their positions; ties by word."""
-    words = t.words
-    rare = sorted(set(words), key=lambda w: (df.get(w, 0), w))[:most]
-    return [(w, i) for i, w in enumerate(words) if w in rare]
-
-
 def _key_places(t: Template) -> list[tuple[int, list[str]]]:
+    """Where each key phrase stands in the template, and its words."""
     words, out = t.words, []
     for key in t.keys:
         k = key.split()
@@ -112,38 +127,58 @@ def _key_places(t: Template) -> list[tuple[int, list[str]]]:
     return out
 
 
+def index(templates: Sequence[Template], df: dict[str, int], most: int) -> dict[str, list[tuple[str, list[int]]]]:
+    """Postings by label: (word, its positions in the key phrases), the ``most`` rarest words of each template; ties by word."""
+    out = {}
+    for t in templates:
+        places: dict[str, list[int]] = {}
+        for p, key in _key_places(t):
+            for k, w in enumerate(key):
+                if p + k not in places.setdefault(w, []):
+                    places[w].append(p + k)
+        rare = sorted(places, key=lambda w: (df.get(w, 0), w))[:most]
+        out[t.label] = [(w, places[w]) for w in rare]
+    return out
+
+
+def _starts(postings: list[tuple[str, list[int]]]) -> str:
+    """SQL for the starts that all index words of a template agree on, from ``hits``."""
+    lists = []
+    for w, ps in postings:
+        at = f"array({', '.join(f'h.i - {p}' for p in ps)})"
+        lists.append(f"flatten(transform(filter(hits, h -> h.x = '{w}'), h -> {at}))")
+    if len(lists) == 1:
+        return f"array_distinct({lists[0]})"
+    # The word with the fewest places in this file comes first.
+    ranked = f"array_sort(array({', '.join(f'named_struct({chr(39)}n{chr(39)}, size(s{k}), {chr(39)}s{chr(39)}, s{k})' for k in range(len(lists)))}))"
+    for k, x in reversed(list(enumerate(lists))):
+        ranked = f"transform(array({x}), s{k} -> {ranked})[0]"
+    return f"transform(array({ranked}), r -> aggregate(slice(r, 2, size(r)), array_distinct(r[0].s), (a, x) -> if(size(a) = 0, a, array_intersect(a, x.s))))[0]"
+
+
 def license_scan(docs: DataFrame, base: tuple[Template, ...] = BASE, notices: tuple[Template, ...] = NOTICES, rare_words: int = 3, least_score: float = 0.8) -> DataFrame:
     """Licences of each row of ``docs`` (doc_id, text), which may have further columns.
 
     Returns doc_id, n_words, n_base (places of base phrases), first_word and last_word (least and
     largest start, from 0, else null), base_labels, labels (distinct, sorted, comma-joined; empty
     strings without any), score (1 with a base phrase, else the best notice's share of words in
-    place, 0 without one). A base phrase is found at every place: each of its words is in the phrase,
-    so any anchor proposes every start, and the start is verified word for word. A notice counts if
-    at least two anchors (one, if it has one) agree on a start, its key phrases stand there and
-    ``least_score`` of its words are in place. Null texts count as empty; equal rows get equal
-    results; an empty table gives an empty result. Whole texts are scanned.
+    place, 0 without one). A notice counts if its key phrases stand in their places and
+    ``least_score`` of its words do. Null texts count as empty; equal rows get equal results; an empty
+    table gives an empty result. Whole texts are scanned.
     """
     templates = [*base, *notices]
-    df = word_frequencies(docs, sorted({w for t in templates for w in t.words}))
-    anchors = {t.label: _anchors(t, df, rare_words if k >= len(base) else 1) for k, t in enumerate(templates)}
-    anchor_words = sorted({w for a in anchors.values() for w, _ in a})
-    # Documents without an anchor word have nothing to align: their words are counted but not listed.
-    d = docs.select("doc_id", count_runs("text", APART).alias("n_words"), F.when(F.col("text").rlike(_any_of(anchor_words)), F.col("text")).alias("text"))
+    df = word_frequencies(docs, sorted({w for t in templates for key in t.keys for w in key.split()}))
+    postings = index(base, df, 1) | index(notices, df, rare_words)
+    index_words = sorted({w for p in postings.values() for w, _ in p})
+    # Files without an index word have nothing to align: their words are counted but not listed.
+    d = docs.select("doc_id", count_runs("text", APART).alias("n_words"), F.when(F.col("text").rlike(_any_of(index_words)), F.col("text")).alias("text"))
     d = d.select("doc_id", "n_words", F.split(_lower(F.array_join(F.regexp_extract_all("text", F.lit(LICENSE_WORD), F.lit(0)), " ")), " ").alias("w"))
-    hits = f"CASE WHEN w IS NULL THEN NULL ELSE filter(transform(w, (x, i) -> struct(x AS x, i AS i)), h -> array_contains({_sql(anchor_words)}, h.x)) END"
+    hits = f"CASE WHEN w IS NULL THEN NULL ELSE filter(transform(w, (x, i) -> struct(x AS x, i AS i)), h -> array_contains({_sql(index_words)}, h.x)) END"
     d = d.select("doc_id", "n_words", "w", F.expr(hits).alias("hits"))
     columns = []
     for k, t in enumerate(templates):
-        by_word: dict[str, list[int]] = {}
-        for w, p in anchors[t.label]:
-            by_word.setdefault(w, []).append(p)
-        cases = " ".join(f"WHEN '{w}' THEN array({', '.join(f'h.i - {p}' for p in ps)})" for w, ps in by_word.items())
-        proposed = f"sort_array(flatten(transform(hits, h -> CASE h.x {cases} ELSE cast(array() AS array<int>) END)))"
-        if len(by_word) > 1 and k >= len(base):
-            proposed = f"transform(array({proposed}), s -> filter(s, (x, i) -> coalesce(get(s, i - 1) = x, false)))[0]"
         fits = " AND ".join([f"x >= 0 AND x + {len(t.words)} <= n_words", *(f"slice(w, x + {p + 1}, {len(key)}) = {_sql(key)}" for p, key in _key_places(t))])
-        places = f"filter(array_distinct({proposed}), x -> CASE WHEN {fits.replace(' AND slice', ' THEN slice', 1)} ELSE false END)"
+        places = f"filter({_starts(postings[t.label])}, x -> CASE WHEN {fits.replace(' AND slice', ' THEN slice', 1)} ELSE false END)"
         if k < len(base):
             columns.append(F.expr(f"CASE WHEN hits IS NULL THEN cast(array() AS array<int>) ELSE {places} END").alias(f"at{k}"))
         else:

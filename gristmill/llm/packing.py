@@ -78,18 +78,19 @@ def pack_documents(docs: DataFrame, sizes: Sequence[int] = LENGTHS, shard_pieces
     empty texts have size 1 and are packed too. Returns doc_id, piece (from 0), start (in the
     document), length, bin_id, capacity (final length of the bin), offset (in the bin). Every token of
     every row is in one place; repeated rows are packed each; a null id is kept. The result depends on
-    the rows alone, not on their order, but for which of several equal pieces gets which place.
-    An empty table gives an empty result.
+    the rows alone, not on their order or files. An empty table gives an empty result.
     """
     bound_batches(docs.sparkSession)
     longest = max(sizes)
-    sized = store(docs.select("doc_id", ((word_count() if size is None else size) + 1).alias("size")), "sizes")
-    pieces = sized.select("doc_id", "size", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(longest).cast("long"))).alias("piece", "start"))
-    pieces = pieces.select("doc_id", F.col("piece").cast("long").alias("piece"), "start", F.least(F.lit(longest), F.col("size") - F.col("start")).cast("long").alias("length"))
-    total = sized.agg(F.sum(F.ceil(F.col("size") / longest))).first()[0] or 0
+    sized = docs.select("doc_id", ((word_count() if size is None else size) + 1).alias("size"))
+    # Rows alike in id and size are counted, then numbered: their shards differ, whatever files they were in.
+    sized = store(sized.groupBy("doc_id", "size").agg(F.count("*").alias("rows")), "sizes")
+    total = sized.agg(F.sum(F.col("rows") * F.ceil(F.col("size") / longest))).first()[0] or 0
+    pieces = sized.select("doc_id", "size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("twin"))
+    pieces = pieces.select("doc_id", "size", "twin", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(longest).cast("long"))).alias("piece", "start"))
+    pieces = pieces.select("doc_id", "twin", F.col("piece").cast("long").alias("piece"), "start", F.least(F.lit(longest), F.col("size") - F.col("start")).cast("long").alias("length"))
     shards = max(1, -(-int(total) // shard_pieces))
-    # Repeated ids are spread too: ``sized`` is stored, so a row's place in its task is the same in every run of it.
-    deal = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(shards)).cast("long")
+    deal = F.pmod(F.xxhash64("doc_id", "piece", "twin"), F.lit(shards)).cast("long")
     dealt = pieces.withColumn("shard", deal)
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:

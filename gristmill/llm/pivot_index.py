@@ -215,22 +215,22 @@ def _whole_list(depth: int, dim: int, shared: int, least: float):
     return one
 
 
-def search(described: DataFrame, dim: int, least: float, shared: int = SHARED, list_size: int = LIST) -> DataFrame:
+def search(described: DataFrame, dim: int, least: float, pivots: int = PIVOTS, shared: int = SHARED, list_size: int = LIST) -> DataFrame:
     """Links of all candidates: rows (a, b) that span the components, and rows (a, links) to be summed."""
-    posted = NEAREST - shared + 1
+    posted = min(NEAREST, pivots) - shared + 1
     # How often each pivot occurs: one number for each pivot.
-    count = np.zeros(PIVOTS, np.int64)
+    count = np.zeros(pivots, np.int64)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = np.zeros(PIVOTS, np.int64)
+        c = np.zeros(pivots, np.int64)
         for batch in batches:
-            c += np.bincount(np.frombuffer(b"".join(batch.column("perm").to_pylist()), "<u2"), minlength=PIVOTS)[:PIVOTS]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(PIVOTS)), pa.array(c)], ["p", "n"])
+            c += np.bincount(np.frombuffer(b"".join(batch.column("perm").to_pylist()), "<u2"), minlength=pivots)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(pivots)), pa.array(c)], ["p", "n"])
 
     for r in described.select("perm").mapInArrow(tally, "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).collect():
         count[r["p"]] = r["n"]
-    rank = np.empty(PIVOTS, np.int64)
-    rank[np.lexsort((np.arange(PIVOTS), count))] = np.arange(PIVOTS)
+    rank = np.empty(pivots, np.int64)
+    rank[np.lexsort((np.arange(pivots), count))] = np.arange(pivots)
     rows, found = _postings(described, rank, posted), None
     for depth in range(1, shared + 1):
         rows = store(rows, f"postings{depth}")
@@ -270,7 +270,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, pivots: int = PIVOTS)
     Vectors that are null, empty, zero or hold null or non-finite components have no links; vectors of
     different lengths are never linked. A row with a null id has no links, a null component, and is
     kept; rows of one id count as vectors of their own that share a component. An empty table gives
-    an empty result.
+    an empty result. ``pivots``: from SHARED to 65,536 reference points.
     """
     bound_batches(vectors.sparkSession)
     member = store(usable(vectors), "vectors")
@@ -281,7 +281,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, pivots: int = PIVOTS)
     for dim in widths:
         own = nodes.where(F.length("v") == 4 * dim)
         described = store(describe(own, choose_pivots(own, pivots), NEAREST), "described")
-        every = every.unionByName(search(described, dim, least))
+        every = every.unionByName(search(described, dim, least, pivots))
     every = store(every, "every") if widths else every
     counts = every.where("links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     member = member.join(nodes, "v").select("vec_id", "node", "mult")

@@ -102,3 +102,12 @@ def test_links_against_all_pairs(spark, monkeypatch, hot, size):
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert pivot_index.near_vectors(df).count() == 0
+
+
+def test_more_pivots_than_by_default(spark):
+    rows = list(enumerate(vectors()))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = brute(rows)
+    got = {r["vec_id"]: r for r in pivot_index.near_vectors(df, pivots=300).collect()}
+    found, total = sum(r["n_links"] for r in got.values()), sum(n for n, _ in want.values())
+    assert 0.9 * total <= found <= total and all(got[i]["n_links"] <= n for i, (n, _) in want.items())

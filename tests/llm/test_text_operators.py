@@ -326,43 +326,154 @@ def test_language_filter_rejects_what_no_language_explains(spark):
     assert left == {i: "fr" for i, _, _ in clean}
 
 
-def plain_katz(rows):
+def plain_katz(rows, order):
     """The model from its definition, token by token."""
     import math
 
     docs = [(r[0], WORD.findall(lower(r[1])) + ["</end>"], zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 5 == 1) for r in rows]
-    uni, bi = Counter(), Counter()
-    for _, w, h in docs:
-        if not h:
-            uni.update(w)
-            bi.update(zip(["<begin>", *w], w, strict=False))
+    grams = lambda w, k: [tuple((["<begin>"] * (k - 1) + w)[i : i + k]) for i in range(len(w))]
+    counts = [Counter(g for _, w, h in docs if not h for g in grams(w, k)) for k in range(1, order + 1)]
     nd = sum(not h for _, _, h in docs)
-    big = sum(uni.values())
-    count = lambda c: [sum(v == r for v in c.values()) for r in range(katz.GT_MOST + 2)]
-    d1, d2 = katz.discounts(count(uni)), katz.discounts(count(bi))
-    p1 = {w: d1[min(c, katz.GT_MOST + 1)] * c / big for w, c in uni.items()}
-    unk = 1 - sum(p1.values())
-    after = defaultdict(dict)
-    for (v, w), c in bi.items():
-        after[v][w] = d2[min(c, katz.GT_MOST + 1)] * c / (nd if v == "<begin>" else uni[v])
-    weight = {v: (1 - sum(x.values())) / (1 - sum(p1[w] for w in x)) for v, x in after.items()}
-    prob = lambda v, w: after[v][w] if w in after.get(v, {}) else weight.get(v, 1.0) * p1.get(w, unk)
-    for v in list(after)[:50]:  # each context sums to one
-        assert abs(sum(prob(v, w) for w in p1) + prob(v, "never seen") - 1) < 1e-9
+    big = sum(counts[0].values())
+    d = [katz.discounts([sum(v == r for v in c.values()) for r in range(katz.GT_MOST + 2)]) for c in counts]
+    seen = [defaultdict(dict) for _ in counts]
+    for k, c in enumerate(counts):
+        for g, r in c.items():
+            ctx = g[:-1]
+            times = big if not k else nd if set(ctx) == {"<begin>"} else counts[k - 1][ctx]
+            seen[k][ctx][g[-1]] = d[k][min(r, katz.GT_MOST + 1)] * r / times
+    unk = 1 - sum(seen[0][()].values())
+    weight = [{}]
+    for k in range(1, order):
+        weight.append({v: (1 - sum(x.values())) / (1 - sum(seen[k - 1][v[1:]][w] for w in x)) for v, x in seen[k].items()})
+
+    def prob(ctx, w):
+        k = len(ctx)
+        if w in seen[k].get(ctx, {}):
+            return seen[k][ctx][w]
+        return weight[k].get(ctx, 1.0) * prob(ctx[1:], w) if k else unk
+
+    for v in list(seen[-1])[:50]:  # each context sums to one
+        assert abs(sum(prob(v, g[0]) for g in counts[0]) + prob(v, "never seen") - 1) < 1e-9
     out = Counter()
     for i, w, h in docs:
-        base = sum(math.log10((uni[x] + 0.5) / (big + 0.5 * (len(uni) + 1))) for x in w)
-        out[i, h, len(w), sum(uni[x] > 0 for x in w), big, round(base, 4), round(sum(math.log10(prob(a, b)) for a, b in zip(["<begin>", *w], w, strict=False)), 4)] += 1
+        base = sum(math.log10((counts[0][x,] + 0.5) / (big + 0.5 * (len(counts[0]) + 1))) for x in w)
+        score = sum(math.log10(prob(g[:-1], g[-1])) for g in grams(w, order))
+        out[i, h, len(w), sum(counts[0][x,] > 0 for x in w), big, round(base, 4), round(score, 4)] += 1
     return out
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_katz_against_the_definition(spark, monkeypatch, small):
-    rows = awkward()[:9] + awkward()[10:] + [(100 + i, words(30 + i % 50, i, 60), None, None, 1, "", 1, 1, 1, 1.0) for i in range(120)]
-    if small:  # several chunks in each task
-        import gristmill.llm.katz as k
-
-        monkeypatch.setattr(k, "CHUNK_TOKENS", 300)
-    got = katz.score_held_out(table(spark, rows)).collect()
+@pytest.mark.parametrize(("order", "tokens"), [(2, None), (2, 300), (3, 300), (1, 300)])
+def test_katz_against_the_definition(spark, monkeypatch, order, tokens):
+    rows = awkward() + [(100 + i, words(30 + i % 50, i, 60), None, None, 1, "", 1, 1, 1, 1.0) for i in range(120)]
+    if tokens:  # several chunks in each task
+        monkeypatch.setattr(katz, "CHUNK_TOKENS", tokens)
+    got = katz.score_held_out(table(spark, rows), order=order).collect()
     have = Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4), round(r["score"], 4)) for r in got)
-    assert have == plain_katz(rows)
+    assert have == plain_katz(rows, order)
+
+
+def test_licenses_against_every_place(spark):
+    """All columns against a scan of every start for every template."""
+    templates = [(t, t.words, license_scan._key_places(t)) for t in license_scan.NOTICES]
+    texts = []
+    for k, (_, w, _) in enumerate(templates):
+        for cut in (0, len(w) // 8, len(w) // 4):  # words changed at the front, in the middle, at the end
+            for at in (0, len(w) // 2, len(w) - cut):
+                texts.append(" ".join([*["software", "the"] * k, *w[:at], *["other"] * cut, *w[at + cut :], "the"]))
+        texts.append(" ".join(w + w[1:] + templates[k - 1][1]))
+    rows = [(i, t, None, None, 1, "", 1, 1, 1, 1.0) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: (r["labels"], round(r["score"], 9)) for r in license_scan.license_scan(table(spark, rows)).collect()}
+    for i, text in enumerate(texts):
+        w, best, found = text.split(), 0.0, {t.label for t in license_scan.BASE if f" {t.text} " in f" {text} "}
+        base = bool(found)
+        for t, own, keys in templates:
+            for x in range(len(w) - len(own) + 1):
+                share = sum(a == b for a, b in zip(w[x:], own, strict=False)) / len(own)
+                if share >= 0.8 and all(w[x + p : x + p + len(k)] == k for p, k in keys):
+                    best = max(best, share)
+                    found.add(t.label)
+        assert got[i] == (",".join(sorted(found)), 1.0 if base else round(best, 9)), text
+
+
+def test_packing_against_plain_best_fit(spark):
+    rows = awkward() + [(2000 + i, words(1 + (i * i) % 900, i), None, None, 1, "", 1, 1, 1, 1.0) for i in range(150)]
+    parts = []
+    for r in rows:
+        n = len(WORD.findall(r[1] or "")) + 1
+        parts += [(min(8192, n - a), r[0], a // 8192, a) for a in range(0, n, 8192)]
+    parts.sort(key=lambda x: (-x[0], x[1] is None, x[1] or 0, x[2]))
+    bins = []  # [capacity, fill, pieces]
+    for k, (n, *_) in enumerate(parts):
+        fits = [b for b in bins if b[0] - b[1] >= n]
+        if fits:
+            b = min(fits, key=lambda b: b[0] - b[1])
+        else:
+            price = {}
+            for c in packing.LENGTHS:
+                if c >= n:  # the smaller pieces to come that still go in beside it may fill it up
+                    fill = min(c - n, sum(m for m, *_ in parts[k + 1 :] if m <= c - n))
+                    price[c] = packing.bin_cost(c) / (n + fill)
+            b = [min(price, key=lambda c: (price[c], c)), 0, []]
+            bins.append(b)
+        b[2].append((parts[k], b[1]))
+        b[1] += n
+    want = Counter((i, piece, start, n, k, next(c for c in packing.LENGTHS if c >= b[1]), at) for k, b in enumerate(bins) for (n, i, piece, start), at in b[2])
+    got = packing.pack_documents(table(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["bin_id"], r["capacity"], r["offset"]) for r in got) == want
+    again = packing.pack_documents(table(spark, rows[::-1]).repartition(5), shard_pieces=40).collect()
+    assert Counter(again) == Counter(packing.pack_documents(table(spark, rows), shard_pieces=40).collect())
+
+
+def test_language_letters_are_unicode_letters(spark):
+    rows = [(i, t, "en" if i > 9 else None, None, 1, "", 1, 1, 1, 1.0) for i, t in enumerate(["²", "½ 3", "Ⅷ", "٣", "ª", "é", "漢", "_", "", None, *[words(50, k) for k in range(8)]])]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.train_and_identify(table(spark, rows)).collect()}
+    assert [i for i in range(10) if got[i] == "und"] == [0, 1, 2, 3, 7, 8, 9]
+
+
+def plain_mixture(bins, log_p):
+    """EM over the units of one text, languages removed one by one; loops over units and languages."""
+    units = [bins[a : a + langid.UNIT] for a in range(0, len(bins), langid.UNIT)]
+    ll = [[langid.TEMPER * sum(float(log_p[b, j]) for b in u) for j in range(log_p.shape[1])] for u in units]
+    lik = [[np.exp(max(x - max(row), -60.0)) for x in row] for row in ll]
+    active, best = list(range(log_p.shape[1])), (np.inf, None)
+    while active:
+        pi = {j: 1 / len(active) for j in active}
+        for _ in range(langid.ROUNDS):
+            new = dict.fromkeys(active, 0.0)
+            for row in lik:
+                norm = sum(row[j] * pi[j] for j in active)
+                for j in active:
+                    new[j] += row[j] * pi[j] / norm / len(lik)
+            pi = new
+        fit = sum(np.log(sum(row[j] * pi[j] for j in active)) for row in lik)
+        price = (len(active) - 1) * (0.5 * np.log(max(len(units), 2)) + 1) - fit
+        if price < best[0]:
+            best = price, pi
+        active.remove(min(active, key=lambda j: pi[j]))
+    j = int(np.argmax(np.sum(ll, 0)))
+    if -sum(np.log(row[j]) for row in lik) < best[0]:
+        return {j: 1.0}
+    return best[1]
+
+
+def test_mixtures_against_plain_em(spark, monkeypatch):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.train(d)
+    texts = [r["text"][:700] for r in d.where("n_chars > 700").orderBy("doc_id").limit(12).collect()]
+    texts += [a[:400] + b[:300] for a, b in zip(texts, texts[1:], strict=False)] + ["x", "ab cd"]
+    bins, at = langid.features(texts)
+    whole = langid.mixtures(bins, at, model)
+    for i in range(len(texts)):
+        want = plain_mixture(bins[at[i] : at[i + 1]].tolist(), model.log_p)
+        assert np.allclose([want.get(j, 0.0) for j in range(len(model.langs))], whole[0][i], atol=1e-6)
+    sure = langid.leads(bins, at, whole[0], model)
+    monkeypatch.setattr(langid, "SLICE", 3)  # long texts are looked up in slices
+    sliced = langid.mixtures(bins, at, model)
+    assert np.allclose(whole[0], sliced[0]) and np.allclose(whole[1], sliced[1])
+    assert (sure == langid.leads(bins, at, whole[0], model)).all()
+
+
+def test_long_text_without_white_space():
+    h, at = kernels.word_hashes(["y" * (3 * kernels.PIECE), "a " + "z" * kernels.PIECE + " b"])
+    assert at.tolist() == [0, 1, 4] and len(set(h.tolist())) == 4
