@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat_format, katz, langid, license_scan, line_quality, minhash_forest, mix_sources, packing, pivot_index, token_files
 
@@ -59,18 +60,66 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_digest(_table(spark, sf_dir, "documents"))
 
 
+# What of the operators' results is exact and SQL can express, on its own.
+
+
+def base_mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_mix_sources(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+def base_katz_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_katz_scores(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
+def base_language_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_language_mixture(spark, sf_dir).select("doc_id", "held_out", (F.col("lang_pred") == "und").alias("undetermined"))
+
+
+def base_license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_mix_sources, op3_minhash_forest, op4_best_fit_packing, op5_katz_scores,
         op6_language_mixture, op7_line_quality, op8_license_scan, op9_pivot_index, op10_token_files,
+        base_mix_targets, base_katz_tokens, base_language_known, base_license_places,
     )
 }
 _SAID = "<|im_end|><|im_start|>assistant ok"
 _ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\1\\|', 'g')"
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: crc32 of an id as text, bit by bit.
+_CRC32 = """xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)))"""
+_PHRASES = {"apache-2": ["apache", "license", "version", "2"], "cc-by-nc": ["cc", "by", "nc"], "mit": ["under", "the", "mit", "license"]}
+_PLACES = ", ".join(f"list_filter(range(len(w)), lambda i: w[i + 1 : i + {len(p)}] = {p}) AS p{k}" for k, p in enumerate(_PHRASES.values()))
+
 ORACLES: dict[str, str] = {
+    "base_mix_targets": f"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {_WORDS})) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY source),
+r AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM s),
+o AS (SELECT *, 3.0 * n / w AS most, (sum(n) OVER () - coalesce(sum(3.0 * n) OVER (ORDER BY 3.0 * n / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(w) OVER (ORDER BY 3.0 * n / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+l AS (SELECT arg_min(level, most) AS level FROM o WHERE level <= most)
+SELECT doc_id, size, r.n AS source_size, round(CAST(least(3.0 * r.n, r.w * l.level) AS DOUBLE), 4) AS target FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source, l""",
+    "base_katz_tokens": f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_CRC32} % 5 = 1 AS held_out, list_concat(regexp_extract_all({_LOWER}, {_WORDS}), [' ']) AS w FROM documents),
+t AS (SELECT rid, held_out, unnest(w) AS x FROM d),
+c AS (SELECT x, count(*) AS n FROM t WHERE NOT held_out GROUP BY x),
+f AS (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS big, count(*) AS v FROM c),
+g AS (SELECT rid, count(*) AS n_tokens, count(c.n) AS n_known, sum(log10((coalesce(c.n, 0) + 0.5) / (big + 0.5 * (v + 1)))) AS s FROM f, t LEFT JOIN c USING (x) GROUP BY rid)
+SELECT doc_id, held_out, n_tokens, n_known, big AS train_tokens, round(s, 3) AS base_score FROM g JOIN d USING (rid), f""",
+    "base_language_known": f"SELECT doc_id, {_CRC32} % 4 = 2 AS held_out, NOT regexp_matches(coalesce(text, ''), '\\p{{L}}') AS undetermined FROM documents",
+    "base_license_places": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, {_PLACES} FROM d)
+SELECT doc_id, n_words, len(p0) + len(p1) + len(p2) AS n_base, list_min(list_concat(p0, p1, p2)) AS first_word, list_max(list_concat(p0, p1, p2)) AS last_word,
+  concat_ws(',', {", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{x}' END" for k, x in enumerate(_PHRASES))}) AS base_labels FROM p""",
     "op1_chat_format": rf"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT * FROM (VALUES (CAST(-1 AS BIGINT), CAST(0 AS BIGINT), 'user', '{_SAID}'), (-1, 1, 'assistant', '{_SAID}')) v)
@@ -86,7 +135,8 @@ b AS (SELECT rid, doc_id, source, t, regexp_extract_all(t, {_WORDS}) AS ws FROM
 g AS (SELECT rid, i, w, lead(w, 1) OVER p AS w1, lead(w, 2) OVER p AS w2 FROM (SELECT rid, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM b) WINDOW p AS (PARTITION BY rid ORDER BY i)),
 r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, w, w1, w2) AS c FROM g WHERE w2 IS NOT NULL) WHERE c > 1),
 c AS (SELECT rid, count(DISTINCT i + k) AS n FROM r, (VALUES (0), (1), (2)) v(k) GROUP BY rid),
-l AS (SELECT rid, source, t, x, lower(trim(regexp_replace(x, '[ 	-]+', ' ', 'g'), ' ')) AS n, len(regexp_extract_all(x, {_WORDS})) AS words FROM (SELECT rid, source, t, unnest(string_split(t, chr(10))) AS x FROM b) WHERE regexp_matches(x, {_WORDS})),
+l AS (SELECT rid, source, t, x, lower(trim(regexp_replace(x, '[ 	-
+]+', ' ', 'g'), ' ')) AS n, len(regexp_extract_all(x, {_WORDS})) AS words FROM (SELECT rid, source, t, unnest(string_split(t, chr(10))) AS x FROM b) WHERE regexp_matches(x, {_WORDS})),
 h AS (SELECT source, count(DISTINCT t) AS docs FROM d GROUP BY source),
 f AS (SELECT l.source, l.n FROM l JOIN h ON l.source IS NOT DISTINCT FROM h.source GROUP BY l.source, l.n, h.docs HAVING count(DISTINCT l.t) > 20 AND count(DISTINCT l.t) > 0.05 * h.docs),
 m AS (SELECT rid, sum(words) AS gone FROM l JOIN f ON l.n = f.n AND l.source IS NOT DISTINCT FROM f.source GROUP BY rid),

@@ -25,7 +25,7 @@ def test_query_against_sql(spark, name):
     oracle.compare(QUERIES[name](spark, SF), ORACLES[name], SF)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n.startswith("op")))
 def test_columns(spark, name):
     df = QUERIES[name](spark, SF)
     assert set(COLUMNS[name.split("_")[0]].split()) <= set(df.columns)
