@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import severity
 
 
+#: Gates are settings; so many are sent to every task at most.
+MOST_GATES = 1000
+
 def debt_hours() -> Column:
     return severity.weighted(severity.DEBT_HOURS)
 
@@ -86,6 +89,8 @@ def quality_gates(gates: DataFrame, reviews: DataFrame) -> DataFrame:
 
     Gates are a short list of settings and are sent to every task; a null threshold is not checked.
     """
+    if gates.count() > MOST_GATES:
+        raise ValueError(f"more than {MOST_GATES} gates: these are settings, not data")
     r = reviews.join(F.broadcast(gates))
     over = lambda c, m, name: F.when(F.col(c) > F.col(m), F.lit(name))
     v = F.array_compact(F.array(over("critical", "max_critical", "critical"), over("high", "max_high", "high"), over("total_findings", "max_total", "total"), over("debt_hours", "max_debt_hours", "debt"), F.when(F.col("quality_score") < F.col("min_quality"), "quality")))

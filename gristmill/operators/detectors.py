@@ -189,9 +189,10 @@ def _found(d: Detector, text: str) -> Column:
 
 def detect(files: DataFrame, text: str = "content", keep: tuple[str, ...] = ("file_path",), languages: Iterable[str] = tuple(BY_LANGUAGE)) -> DataFrame:
     """Findings of all detectors of each file's language; ``files`` has ``keep``, language and ``text``."""
-    out = None
-    for lang in languages:
-        every = F.concat(*[_found(d, text) for d in BY_LANGUAGE[lang]])
-        part = files.where(F.col("language") == lang).select(*keep, F.explode(every).alias("m")).select(*keep, F.lit(lang).alias("language"), "m.*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    # One scan: each row meets the detectors of its own language only.
+    languages = tuple(languages)
+    found = F.lit(None)
+    for lang in reversed(languages):
+        found = F.when(F.col("language") == lang, F.concat(*[_found(d, text) for d in BY_LANGUAGE[lang]])).otherwise(found)
+    own = files.where(F.col("language").isin(*languages)).select(*keep, "language", F.explode(found).alias("m"))
+    return own.select(*keep, "language", "m.*")

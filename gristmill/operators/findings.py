@@ -69,14 +69,22 @@ def dedup_similar(findings: DataFrame, order: Sequence[str], lines: int = 5, rat
 
     Alike: same file and severity, at most ``lines`` apart, and messages whose matching blocks make
     ``ratio`` of their length. If the later one is surer, it takes the earlier one's place, at the end
-    of the order. Only findings of one file can be alike, so each file is folded on its own.
+    of the order. Only findings of one file and severity on near lines can be alike: the lines that have
+    any are cut into islands where the next is more than ``lines`` away, and each island is folded on
+    its own.
     """
     from difflib import SequenceMatcher
 
     once = dedup_exact(findings, order)
+    place = Window.partitionBy("file_path", "severity").orderBy("line_start")
+    at = once.select("file_path", "severity", "line_start").distinct()
+    far = F.coalesce(F.col("line_start") - F.lag("line_start").over(place) > lines, F.lit(False))
+    at = at.withColumn("_far", far.cast("int")).withColumn("_island", F.sum("_far").over(place)).drop("_far")
+    at = at.toDF("_f", "_s", "_l", "_island")
+    placed = once.join(at, once["file_path"].eqNullSafe(at["_f"]) & once["severity"].eqNullSafe(at["_s"]) & once["line_start"].eqNullSafe(at["_l"])).drop("_f", "_s", "_l")
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        kept: dict[str, list[int]] = {}  # by severity
+        kept: list[int] = []
         known: dict[tuple[str, str], bool] = {}  # findings of a file repeat few messages
 
         def alike(a: str, b: str) -> bool:
@@ -87,17 +95,16 @@ def dedup_similar(findings: DataFrame, order: Sequence[str], lines: int = 5, rat
 
         group = group.sort_values(list(order), kind="stable").reset_index(drop=True)
         at, said, sure = group["line_start"].tolist(), group["message"].fillna("").str.lower().tolist(), group["confidence"].tolist()
-        for i, grave in enumerate(group["severity"].tolist()):
-            own = kept.setdefault(grave, [])
-            twin = next((k for k in own if abs(at[k] - at[i]) <= lines and alike(said[k], said[i])), None)
+        for i in range(len(group)):
+            twin = next((k for k in kept if abs(at[k] - at[i]) <= lines and alike(said[k], said[i])), None)
             if twin is None:
-                own.append(i)
+                kept.append(i)
             elif sure[i] > sure[twin]:
-                own.remove(twin)
-                own.append(i)
-        return group.iloc[[i for own in kept.values() for i in own]]
+                kept.remove(twin)
+                kept.append(i)
+        return group.iloc[kept].drop(columns="_island")
 
-    return once.groupBy("file_path").applyInPandas(fold, once.schema)
+    return placed.groupBy("file_path", "severity", "_island").applyInPandas(fold, once.schema)
 
 
 def priority(findings: DataFrame) -> DataFrame:

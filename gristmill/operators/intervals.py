@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,7 +18,8 @@ def resolve_conflicts(fixes: DataFrame) -> DataFrame:
 
     Fixes go by start and end. A cluster is an anchor and the fixes right after it that overlap the
     anchor itself (not each other); the surest stays, the first of equals; the next anchor follows the
-    cluster. One sorted array a file is folded once.
+    cluster. No cluster crosses a line that no fix covers: a file is cut there, and one sorted array an
+    island is folded.
     """
     one = "struct<line_start:bigint,line_end:bigint,ord:bigint,confidence:double>"
     fold = f"""aggregate(items, struct(cast(null AS bigint) AS reach, cast(null AS {one}) AS best, cast(array() AS array<{one}>) AS done),
@@ -27,7 +28,11 @@ def resolve_conflicts(fixes: DataFrame) -> DataFrame:
         ELSE struct(x.line_end AS reach, x AS best, concat(acc.done, array(acc.best)) AS done) END,
       acc -> CASE WHEN acc.best IS NULL THEN acc.done ELSE concat(acc.done, array(acc.best)) END)"""
     typed = fixes.select("file_path", *[F.col(c).cast("long") for c in ("line_start", "line_end", "ord")], F.col("confidence").cast("double"))
-    items = typed.groupBy("file_path").agg(F.sort_array(F.collect_list(F.struct("line_start", "line_end", "ord", "confidence"))).alias("items"))
+    before = Window.partitionBy("file_path").orderBy("line_start", "line_end", "ord")
+    reach = F.max("line_end").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    typed = typed.withColumn("_new", F.coalesce(F.col("line_start") > reach, F.lit(False)).cast("int"))
+    typed = typed.withColumn("_island", F.sum("_new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    items = typed.groupBy("file_path", "_island").agg(F.sort_array(F.collect_list(F.struct("line_start", "line_end", "ord", "confidence"))).alias("items"))
     return items.select("file_path", F.explode(F.expr(fold)).alias("k")).select("file_path", "k.*")
 
 
@@ -58,8 +63,6 @@ def parse_diffs(diffs: DataFrame) -> DataFrame:
     """
     header = r"^@@ -([0-9]+)(?:,([0-9]+))? [+]([0-9]+)(?:,([0-9]+))? @@"
     lines = diffs.select("file_path", F.posexplode(F.split("diff", "\n", -1)).alias("pos", "line"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("file_path").orderBy("pos")
     lines = lines.withColumn("hunk", F.sum(F.col("line").rlike(header).cast("int")).over(w)).where("hunk > 0")
     part = lambda k: F.max(F.when(F.col("line").rlike(header), F.regexp_extract("line", header, k)))

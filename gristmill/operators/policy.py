@@ -97,3 +97,69 @@ def load_policies(text: str, form: str = "yaml") -> list[dict]:
             raise ValueError(f"policy without {', '.join(missing)}")
         out.append({"enabled": True, "priority": 0, "scope": [], "branches": [], "exclude_branches": [], "enforcement": "strict", **p})
     return sorted(out, key=lambda p: (-p["priority"], p["id"]))
+
+
+# Rules that are always there, by id, with their kind and limits.
+DEFAULT_RULES = {
+    "severity-strict": {"kind": "severity", "max_critical": 0, "max_high": 0, "max_medium": 5, "max_low": 20},
+    "severity-moderate": {"kind": "severity", "max_critical": 0, "max_high": 3, "max_medium": 10, "max_low": 50},
+    "security-zero-tolerance": {"kind": "security", "max_issues": 0, "severity": "critical"},
+    "security-moderate": {"kind": "security", "max_issues": 3, "severity": "high"},
+    "complexity-strict": {"kind": "complexity", "max_complexity": 10, "severity": "high"},
+    "complexity-moderate": {"kind": "complexity", "max_complexity": 15, "severity": "medium"},
+    "security-files-zero-issues": {"kind": "files", "patterns": ["**/auth/**", "**/security/**", "**/crypto/**"], "max_issues": 0, "severity": "critical"},
+    "api-files-low-issues": {"kind": "files", "patterns": ["**/api/**", "**/endpoints/**"], "max_issues": 3, "severity": "high"},
+    "coverage-80": {"kind": "coverage", "min_coverage": 0.8, "severity": "medium"},
+    "coverage-90": {"kind": "coverage", "min_coverage": 0.9, "severity": "high"},
+}
+
+
+def default_rules():
+    """Ids of the default rules that a policy's settings ask for, as an array column.
+
+    Reads max_critical, max_high, max_complexity, min_coverage and file_patterns (an array); a null asks for nothing.
+    """
+    given = lambda c: F.coalesce(F.col(c) != 0, F.lit(False))
+    no_critical = F.coalesce(F.col("max_critical") == 0, F.lit(False))
+    names = F.coalesce(F.array_join("file_patterns", " "), F.lit(""))
+    return F.array_compact(F.array(
+        F.when(no_critical & F.coalesce(F.col("max_high") == 0, F.lit(False)), "severity-strict").otherwise("severity-moderate"),
+        F.when(no_critical, "security-zero-tolerance"),
+        F.when(given("max_complexity"), F.when(F.col("max_complexity") <= 10, "complexity-strict").otherwise("complexity-moderate")),
+        F.when(given("min_coverage"), F.when(F.col("min_coverage") >= 0.9, "coverage-90").when(F.col("min_coverage") >= 0.8, "coverage-80")),
+        F.when(names.rlike("auth|security|crypto"), "security-files-zero-issues"), F.when(names.rlike("api|endpoints"), "api-files-low-issues"),
+    ))
+
+
+def registry(spark, rules: dict[str, dict] | None = None) -> DataFrame:
+    """``rule_id, kind, limits`` (JSON) of the default rules and of one's own."""
+    import json
+
+    rows = [(k, r["kind"], json.dumps({x: v for x, v in r.items() if x != "kind"}, sort_keys=True)) for k, r in (DEFAULT_RULES | (rules or {})).items()]
+    return spark.createDataFrame(rows, "rule_id string, kind string, limits string")
+
+
+def rules_of(policies: DataFrame, rules: DataFrame) -> DataFrame:
+    """Each policy's rules with their limits, in the order it names them; ids that no rule has are passed over."""
+    named = policies.select(F.col("id").alias("policy_id"), F.posexplode("rules").alias("position", "rule_id"))
+    return named.join(rules, "rule_id").select("policy_id", "position", "rule_id", "kind", "limits")
+
+
+def dump_policies(policies: list[dict], form: str = "yaml") -> str:
+    """The text that ``load_policies`` reads back."""
+    import json
+
+    data = {"policies": sorted(policies, key=lambda p: (-p.get("priority", 0), p["id"]))}
+    if form == "json":
+        return json.dumps(data, indent=2, sort_keys=True)
+    import yaml
+
+    return yaml.safe_dump(data, sort_keys=True)
+
+
+def import_policies(known: list[dict], text: str, form: str = "yaml", replace: bool = False) -> list[dict]:
+    """``known`` and the policies of a text; of two with one id the known one stays, or goes with ``replace``."""
+    new = {p["id"]: p for p in load_policies(text, form)}
+    old = {p["id"]: p for p in known}
+    both = old | new if replace else new | old
+    return sorted(both.values(), key=lambda p: (-p.get("priority", 0), p["id"]))

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -46,13 +47,14 @@ TAINTED_PARAMETERS = ("request", "req", "data", "input", "params")
 
 
 def dotted(node: ast.AST) -> str:
-    """The name of what is called, with its dots."""
+    """The name of what is called, with its dots, as far as it is made of names."""
+    parts = []
+    while isinstance(node, ast.Attribute):
+        parts.append(node.attr)
+        node = node.value
     if isinstance(node, ast.Name):
-        return node.id
-    if isinstance(node, ast.Attribute):
-        base = dotted(node.value)
-        return f"{base}.{node.attr}" if base else node.attr
-    return ""
+        parts.append(node.id)
+    return ".".join(reversed(parts))
 
 
 def _varies(node: ast.AST) -> bool:
@@ -182,58 +184,81 @@ def _loops(node: ast.AST) -> int:
     return isinstance(node, (ast.For, ast.While)) + max([0, *(_loops(x) for x in ast.iter_child_nodes(node))])
 
 
-def _tainted(node: ast.AST, bad: dict[str, str]) -> bool:
-    if isinstance(node, ast.Name):
-        return node.id in bad
-    if isinstance(node, ast.Attribute):
-        return _tainted(node.value, bad)
-    if isinstance(node, ast.BinOp):
-        return _tainted(node.left, bad) or _tainted(node.right, bad)
-    if isinstance(node, ast.JoinedStr):
-        return any(_tainted(v.value, bad) for v in node.values if isinstance(v, ast.FormattedValue))
-    if isinstance(node, ast.Call):
-        return any(_tainted(x, bad) for x in (*node.args, *(k.value for k in node.keywords)))
-    return False
-
-
-def _sink(c: ast.Call, bad: dict[str, str]) -> Iterator[Found]:
-    name = dotted(c.func)
-    kind = next((k for s, k in TAINT_SINKS.items() if s in name), None)
-    for x in (*c.args, *(k.value for k in c.keywords)) if kind else ():
-        if _tainted(x, bad):
-            yield "taint", SINK_SEVERITY[kind], "dataflow", c.lineno, f"Tainted data flows to {name} ({kind})"
-
-
-def flow(statements: list[ast.stmt], bad: dict[str, str]) -> Iterator[Found]:
-    """Statements in order: assignments spread taint, calls of sinks with tainted arguments are found."""
-    for s in statements:
-        if isinstance(s, ast.Assign):
-            names, v = [t.id for t in s.targets if isinstance(t, ast.Name)], s.value
-            if isinstance(v, ast.Call):
-                kind = next((k for p, k in TAINT_SOURCES.items() if p in dotted(v.func)), None)
-                if kind:
-                    bad.update(dict.fromkeys(names, kind))
-                yield from _sink(v, bad)
-            elif isinstance(v, ast.Name) and v.id in bad:
-                bad.update(dict.fromkeys(names, bad[v.id]))
-            elif isinstance(v, (ast.BinOp, ast.JoinedStr)) and any(isinstance(x, ast.Name) and x.id in bad for x in ast.walk(v)):
-                bad.update(dict.fromkeys(names, "user_input"))
-        elif isinstance(s, ast.AugAssign) and isinstance(s.target, ast.Name):
-            if any(isinstance(x, ast.Name) and x.id in bad for x in ast.walk(s.value)):
-                bad[s.target.id] = "user_input"
-        elif isinstance(s, ast.Expr) and isinstance(s.value, ast.Call):
-            yield from _sink(s.value, bad)
-        elif isinstance(s, (ast.If, ast.While, ast.For)):
-            yield from flow(s.body, bad)
-            yield from flow(s.orelse, bad)
-        elif isinstance(s, ast.Try):
-            yield from flow(s.body, bad)
-            for h in s.handlers:
-                yield from flow(h.body, bad)
+#: Through which fields of an expression a value that is passed on can come, and of a statement control.
+_CARRIES = {ast.Attribute: ("value",), ast.BinOp: ("left", "right"), ast.JoinedStr: ("values",), ast.FormattedValue: ("value",), ast.Call: ("args", "keywords"), ast.keyword: ("value",)}
+_BODIES = {ast.If: ("body", "orelse"), ast.While: ("body", "orelse"), ast.For: ("body", "orelse"), ast.Try: ("body", "handlers"), ast.ExceptHandler: ("body",)}
+
+
+@dataclass(frozen=True)
+class Fact:
+    """What one statement does: names it binds, names whose taint they take on, and calls of sinks.
+
+    ``outside``: the value comes from a source. Each sink has its name, its kind and, for each
+    argument, the names whose value the argument carries.
+    """
+
+    line: int
+    binds: frozenset[str] = frozenset()
+    takes: frozenset[str] = frozenset()
+    outside: bool = False
+    sinks: tuple[tuple[str, str, tuple[frozenset[str], ...]], ...] = ()
+
+
+def _below(node: ast.AST, fields: dict) -> list:
+    held = [getattr(node, f) for f in fields.get(type(node), ())]
+    return [x for h in held for x in (h if isinstance(h, list) else [h])]
+
+
+def _carried(value: ast.AST) -> frozenset[str]:
+    """Names whose value reaches ``value``."""
+    names, todo = set(), [value]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, ast.Name):
+            names.add(node.id)
+        todo += _below(node, _CARRIES)
+    return frozenset(names)
+
+
+def _listed(name: str, table: dict[str, str]) -> str | None:
+    return next((kind for part, kind in table.items() if part in name), None)
+
+
+def _fact(s: ast.stmt) -> Fact:
+    value = getattr(s, "value", None)
+    called = dotted(value.func) if isinstance(value, ast.Call) and isinstance(s, (ast.Assign, ast.Expr)) else ""
+    kind = _listed(called, TAINT_SINKS)
+    sinks = ((called, kind, tuple(map(_carried, _below(value, _CARRIES)))),) if kind else ()
+    targets = s.targets if isinstance(s, ast.Assign) else [s.target] if isinstance(s, ast.AugAssign) else []
+    # A call's result is clean unless it is a source; names, sums and texts pass on what they are made of.
+    mixed = isinstance(s, ast.AugAssign) or isinstance(value, (ast.Name, ast.BinOp, ast.JoinedStr))
+    takes = frozenset(x.id for x in ast.walk(value) if isinstance(x, ast.Name)) if targets and mixed else frozenset()
+    source = isinstance(s, ast.Assign) and _listed(called, TAINT_SOURCES) is not None
+    return Fact(getattr(value, "lineno", s.lineno), frozenset(t.id for t in targets if isinstance(t, ast.Name)), takes, source, sinks)
+
+
+def facts(body: list[ast.AST]) -> Iterator[Fact]:
+    """Facts of all statements in the order of the text; branches follow each other, definitions are not entered."""
+    for s in body:
+        if type(s) in _BODIES:
+            yield from facts(_below(s, _BODIES))
+        elif isinstance(s, (ast.Assign, ast.AugAssign, ast.Expr)):
+            yield _fact(s)
+
+
+def flow(body: list[ast.stmt], tainted: Iterable[str]) -> Iterator[Found]:
+    """One pass over the facts: taint only grows, and a sink's argument that carries any is found."""
+    known = set(tainted)
+    for fact in facts(body):
+        if fact.outside or known & fact.takes:
+            known |= fact.binds
+        for name, kind, arguments in fact.sinks:
+            for _ in filter(known.intersection, arguments):
+                yield "taint", SINK_SEVERITY[kind], "dataflow", fact.line, f"Tainted data flows to {name} ({kind})"
 
 
 def function_flow(f: ast.AST) -> Iterator[Found]:
-    yield from flow(f.body, {a.arg: "user_input" for a in f.args.args if a.arg in TAINTED_PARAMETERS})
+    yield from flow(f.body, (a.arg for a in f.args.args if a.arg in TAINTED_PARAMETERS))
 
 
 def module(tree: ast.AST) -> Iterator[Found]:
@@ -253,7 +278,7 @@ def module(tree: ast.AST) -> Iterator[Found]:
             if (d := ast.dump(x)) in dumps:
                 yield "duplicate", "low", "smell", x.lineno, f"Function '{x.name}' appears to be duplicate of '{dumps[d]}'"
             dumps.setdefault(d, x.name)
-    yield from flow(tree.body, {})
+    yield from flow(tree.body, ())
 
 
 def lines_of(code: str) -> Iterator[Found]:

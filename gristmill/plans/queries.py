@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import regex, severity
 from ..operators import chunks, clones, dashboard, findings, intervals, learning, policy, rules, supply
-from . import tables
+from . import samples, tables
 from .tables import CTE, LEVEL_COUNTS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -571,52 +571,38 @@ def g7_quality_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-#: Sources with something to find in each language; driver texts are prose.
-SNIPPETS = (
-    ("a.go", "go", 'db.Query("SELECT * FROM t WHERE id = " + id)\nh := md5.New()\nif err != nil { }\n'),
-    ("b.java", "java", 'try { run(); } catch (Exception e) { e.printStackTrace(); }\nstmt.executeQuery("SELECT " + name)\n'),
-    ("c.js", "javascript", "var x = eval(input)\nconsole.log(x)\nel.innerHTML = x\n"),
-    ("d.ts", "typescript", "let a: any = 1\nif (a instanceof Array) {}\n"),
-    ("e.rs", "rust", "unsafe fn f() { todo!() }\nif v.len() == 0 {}\n"),
-    ("f.py", "python", "def f(a, b):\n    if a and b:\n        for x in a:\n            if x > b:\n                return x\n    return None\n\n\ndef g():\n    return 1\n"),
-)
+_DETECTED = samples.expected_sql([[(d, "", k) for k, (_, ids) in enumerate(lines, 1) for d in ids] for lines in samples.LINES.values()], "detector")
 
 
-def _snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each snippet once for every supplier, so that the work grows with the tables."""
-    s = spark.createDataFrame(list(SNIPPETS), "name string, language string, content string")
-    return tables.table(spark, sf_dir, "supplier").select("s_suppkey").join(F.broadcast(s)).select(F.concat(F.col("s_suppkey").cast("string"), F.lit("/"), F.col("name")).alias("file_path"), "language", "content")
-
-
-@query("""SELECT d.language, d.detector, (SELECT count(*) FROM supplier) AS files, CAST((SELECT count(*) FROM supplier) * d.line AS BIGINT) AS lines FROM (VALUES ('go', 'go-sql-concat', 1), ('go', 'go-sql-literal', 1), ('go', 'go-md5', 2), ('go', 'go-empty-error-check', 3),
-('java', 'java-catch-exception', 1), ('java', 'java-stack-trace', 1), ('java', 'java-sql-concat', 2), ('javascript', 'js-var', 1), ('javascript', 'js-eval', 1), ('javascript', 'js-console', 2), ('javascript', 'js-inner-html', 3),
-('typescript', 'ts-any', 1), ('typescript', 'ts-instanceof-array', 2), ('rust', 'rust-unsafe-fn', 1), ('rust', 'rust-todo', 1), ('rust', 'rust-len-zero', 2)) d(language, detector, line)""")
+@query(f"SELECT file_path, ['{"', '".join(samples.LANGUAGES)}'][CAST(file_path AS BIGINT) % 5 + 1] AS language, detector, line FROM ({_DETECTED})")
 def t7_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.detectors import detect
 
-    d = detect(_snippets(spark, sf_dir))
-    return d.groupBy("language", "detector").agg(F.count("*").alias("files"), F.sum("line_start").alias("lines"))
+    f = samples.dealt(spark, sf_dir, ["\n".join(x for x, _ in lines) + "\n" for lines in samples.LINES.values()], list(samples.LANGUAGES))
+    return detect(f).select("file_path", "language", "detector", F.col("line_start").alias("line"))
 
 
-@query("""SELECT m.name, m.cyclomatic, m.cognitive, m.nesting, m.cyclomatic_analysis, (SELECT count(*) FROM supplier) AS functions FROM (VALUES ('f', CAST(5 AS BIGINT), CAST(7 AS BIGINT), CAST(3 AS BIGINT), CAST(5 AS BIGINT)), ('g', 1, 0, 0, 1)) m(name, cyclomatic, cognitive, nesting, cyclomatic_analysis)""")
+@query(samples.BRANCHES_SQL)
 def m1_python_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.metrics import python_metrics
 
-    return python_metrics(_snippets(spark, sf_dir)).groupBy("name", "cyclomatic", "cognitive", "nesting", "cyclomatic_analysis").agg(F.count("*").alias("functions"))
+    return python_metrics(samples.branches(spark, sf_dir)).select("file_path", "name", "line_start", "loc", "cyclomatic", "cognitive", "nesting", "volume", "maintainability")
 
 
-@query("SELECT 2 * count(*) AS functions, CAST(3.0 AS DOUBLE) AS avg_cyclomatic, CAST(5 AS BIGINT) AS max_cyclomatic, CAST(0 AS BIGINT) AS complex FROM supplier")
+@query(f"SELECT count(*) AS functions, round(avg(cyclomatic), 6) AS avg_cyclomatic, max(cyclomatic) AS max_cyclomatic, round(avg(cognitive), 6) AS avg_cognitive, round(avg(maintainability), 4) AS avg_maintainability, count(*) FILTER (cyclomatic > 10 OR cognitive > 15) AS complex FROM ({samples.BRANCHES_SQL})")
 def a26_complexity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.metrics import complexity_summary, python_metrics
 
-    return complexity_summary(python_metrics(_snippets(spark, sf_dir))).select("functions", "avg_cyclomatic", "max_cyclomatic", "complex")
+    c = complexity_summary(python_metrics(samples.branches(spark, sf_dir)))
+    return c.select("functions", F.round("avg_cyclomatic", 6).alias("avg_cyclomatic"), "max_cyclomatic", F.round("avg_cognitive", 6).alias("avg_cognitive"), F.round("avg_maintainability", 4).alias("avg_maintainability"), "complex")
 
 
-@query("SELECT 'return-annotation' AS check, 2 * count(*) AS findings FROM supplier UNION ALL SELECT 'unused-function', 2 * count(*) FROM supplier")
+@query(samples.expected_sql([found for _, found in samples.PYTHON], '"check"'))
 def t8_python_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.python_checks import check_files
 
-    return check_files(_snippets(spark, sf_dir)).groupBy("check").agg(F.count("*").alias("findings"))
+    f = samples.dealt(spark, sf_dir, [text for text, _ in samples.PYTHON], ["python"])
+    return check_files(f).select("file_path", "check", "severity", F.col("line_start").alias("line"))
 
 
 @query(f"""SELECT r.project_id, r.review_id, count(f.ord) AS total, {LEVEL_COUNTS.replace("severity", "f.severity")}, coalesce(CAST(sum({HOURS.replace("severity", "f.severity")}) FILTER (f.severity IS NOT NULL) AS DOUBLE), 0.0) AS debt_hours
@@ -666,10 +652,12 @@ def p9_policy_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.where(policy.any_file("files", ["src/mod3*"], ["*.js"])).select("review_id")
 
 
-@query("SELECT review_id, ord, tie FROM (SELECT *, CASE severity WHEN 'critical' THEN 100 WHEN 'high' THEN 75 WHEN 'medium' THEN 50 WHEN 'low' THEN 25 WHEN 'info' THEN 10 ELSE 50 END AS w FROM findings) ORDER BY w DESC, ord, tie LIMIT 50")
+@query("""SELECT review_id, ord, tie, priority_score FROM (SELECT *, round(least(100.0, CASE severity WHEN 'critical' THEN 100.0 WHEN 'high' THEN 75.0 WHEN 'medium' THEN 50.0 WHEN 'low' THEN 25.0 WHEN 'info' THEN 10.0 ELSE 50.0 END::DOUBLE
+ * CASE kind WHEN 'security' THEN 1.5 WHEN 'performance' THEN 1.3 WHEN 'correctness' THEN 1.2 ELSE 1.0 END::DOUBLE * CASE WHEN confidence >= 0.9 THEN 1.2 WHEN confidence >= 0.8 THEN 1.1 ELSE 1.0 END::DOUBLE
+ * CASE WHEN suggestion <> '' THEN 1.15 ELSE 1.0 END::DOUBLE * CASE WHEN type = 'security' OR kind = 'security' THEN 1.3 ELSE 1.0 END::DOUBLE), 6) AS priority_score FROM ranked) ORDER BY priority_score DESC, ord, tie LIMIT 50""")
 def o9_top_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = tables.findings(spark, sf_dir).withColumn("w", severity.case("severity", severity.PRIORITY_WEIGHTS, 50.0))
-    return f.orderBy(F.desc("w"), "ord", "tie").limit(50).select("review_id", "ord", "tie")
+    f = findings.priority(tables.findings(spark, sf_dir)).withColumn("priority_score", F.round("priority_score", 6))
+    return f.orderBy(F.desc("priority_score"), "ord", "tie").limit(50).select("review_id", "ord", "tie", "priority_score")
 
 
 @query("SELECT * FROM (VALUES ('c', 30), ('b', 20), ('a', 10)) t(id, priority)")
@@ -732,11 +720,13 @@ def x17_token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.files(spark, sf_dir).select("doc_id", F.ceil(F.length("content") / 4.0).cast("long").alias("tokens"))
 
 
-@query("SELECT review_id, count(*) AS violations, count(*) > 0 AND bool_or(severity = 'critical') AS blocks FROM findings WHERE severity IN ('critical', 'high') GROUP BY review_id HAVING count(*) > 1")
+@query("""SELECT p.id, p.action, p.enforcement, coalesce(v.n, 0) AS violations, coalesce(v.n, 0) = 0 AS passed, coalesce(v.n, 0) > 0 AND p.action = 'block' AND p.enforcement = 'strict' AS blocks, coalesce(v.n, 0) > 0 AND p.enforcement = 'flexible' AS can_override
+FROM (VALUES ('src/mod1', 'block', 'strict'), ('src/mod2', 'block', 'flexible'), ('src/mod3', 'warn', 'strict'), ('lib', 'block', 'strict')) p(id, action, enforcement)
+LEFT JOIN (SELECT split_part(file_path, '/', 1) || '/' || substring(split_part(file_path, '/', 2), 1, 4) AS id, count(*) AS n FROM findings WHERE severity = 'critical' GROUP BY 1) v USING (id)""")
 def g6_policy_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = tables.findings(spark, sf_dir).where("severity IN ('critical', 'high')")
-    c = f.groupBy("review_id").agg(F.count("*").alias("violations"), F.bool_or(F.col("severity") == "critical").alias("blocks"))
-    return policy.custom_rule(c, lambda d: d.where("violations > 1"))
+    policies = spark.createDataFrame([("src/mod1", "block", "strict"), ("src/mod2", "block", "flexible"), ("src/mod3", "warn", "strict"), ("lib", "block", "strict")], "id string, action string, enforcement string")
+    f = tables.findings(spark, sf_dir).where("severity = 'critical'")
+    return policy.verdicts(f.select(F.regexp_extract("file_path", "^[^/]*/.{4}", 0).alias("policy_id")), policies)
 
 
 @query("SELECT doc_id, CAST(len(string_split(content, chr(10))) AS BIGINT) AS end_line FROM files")
@@ -744,12 +734,11 @@ def t2_whole_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.CHUNKERS["file_based"](tables.files(spark, sf_dir), key="doc_id").select("doc_id", F.col("end_line").cast("long").alias("end_line"))
 
 
-@query("SELECT (SELECT count(*) FROM supplier) AS functions, CAST(0 AS BIGINT) AS minutes, name FROM (VALUES ('f'), ('g')) v(name)")
+@query(f"SELECT file_path, name, CAST(5 * greatest(cyclomatic - 10, 0) + 5 * greatest(cognitive - 15, 0) + CASE WHEN maintainability < 65 THEN 30 ELSE 0 END + 15 * greatest(nesting - 4, 0) AS BIGINT) AS minutes FROM ({samples.BRANCHES_SQL})")
 def m14_debt_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.metrics import debt_minutes, python_metrics
 
-    m = debt_minutes(python_metrics(_snippets(spark, sf_dir)))
-    return m.groupBy("name").agg(F.count("*").alias("functions"), F.sum("minutes").cast("long").alias("minutes"))
+    return debt_minutes(python_metrics(samples.branches(spark, sf_dir))).select("file_path", "name", F.col("minutes").cast("long").alias("minutes"))
 
 
 @query("SELECT * FROM (VALUES ('critical', CAST(6 AS BIGINT)), ('high', 5), ('medium', 4)) v(severity, weaknesses)")
@@ -774,12 +763,16 @@ def k4_pr_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pr_comment(tables.findings(spark, sf_dir), ["review_id"], list(ORDER), 3).withColumn("shown", F.col("shown").cast("long"))
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS results FROM findings")
+@query("""SELECT review_id, ord, kind AS rule, CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level, file_path AS uri, line_start AS line, message, substring(md5(concat_ws(':', file_path, CAST(line_start AS VARCHAR), message)), 1, 16) AS fingerprint FROM (SELECT *, coalesce(category, type) AS k FROM ranked)""".replace("kind AS rule", "k AS rule"))
 def k1_sarif_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every result, read back from its JSON."""
     from ..sources.sinks import sarif_results
 
-    s = sarif_results(tables.findings(spark, sf_dir)).where(F.get_json_object("result", "$.locations[0].physicalLocation.region.startLine").isNotNull())
-    return s.agg(F.count("*").alias("results"))
+    shape = "ruleId string, level string, message struct<text:string>, locations array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:bigint,endLine:bigint>>>>, partialFingerprints struct<primary:string>"
+    f = tables.findings(spark, sf_dir)
+    r = sarif_results(f, keep=("review_id", "ord")).withColumn("r", F.from_json("result", shape))
+    place = F.col("r.locations")[0]["physicalLocation"]
+    return r.select("review_id", "ord", F.col("r.ruleId").alias("rule"), "r.level", place["artifactLocation"]["uri"].alias("uri"), place["region"]["startLine"].alias("line"), F.col("r.message.text").alias("message"), F.col("r.partialFingerprints.primary").alias("fingerprint"))
 
 
 @query("SELECT fix, (SELECT count(*) FROM supplier) AS fixes FROM (VALUES ('var'), ('none-comparison')) v(fix)")
@@ -799,22 +792,21 @@ def d5_apply_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.apply_fixes(f, fixes).select("file_path", F.md5("content").alias("digest"))
 
 
-@query("SELECT 'go-concat-loop' AS check, count(*) AS findings FROM supplier UNION ALL SELECT 'go-goroutine-leak', count(*) FROM supplier")
+@query(samples.expected_sql([found for _, found in samples.BLOCKS], '"check"'))
 def t9_block_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.braces import check_blocks
 
-    s = tables.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("file_path"), F.lit("go").alias("language"), F.lit('go func() {\n\tfor i := range x {\n\t\ts += "a"\n\t}\n}()\n').alias("content"))
-    return check_blocks(s).groupBy("check").agg(F.count("*").alias("findings"))
+    f = samples.dealt(spark, sf_dir, [text for text, _ in samples.BLOCKS], ["go"])
+    return check_blocks(f).select("file_path", "check", "severity", F.col("line_start").alias("line"))
 
 
-@query("SELECT 'cursor.execute (sql)' AS sink, count(*) AS findings FROM supplier")
+@query(samples.expected_sql([found for _, found in samples.TAINT], "sink"))
 def m15_taint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.python_checks import check_files
 
-    code = "def f(request):\n    q = request.args.get('q')\n    s = 'select ' + q\n    cursor.execute(s)\n"
-    s = tables.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("file_path"), F.lit("python").alias("language"), F.lit(code).alias("content"))
-    t = check_files(s).where("check = 'taint'").select(F.regexp_extract("message", "flows to (.*)$", 1).alias("sink"))
-    return t.groupBy("sink").agg(F.count("*").alias("findings"))
+    f = samples.dealt(spark, sf_dir, [text for text, _ in samples.TAINT], ["python"])
+    t = check_files(f).where("check = 'taint'")
+    return t.select("file_path", F.regexp_extract("message", "flows to (.*)$", 1).alias("sink"), "severity", F.col("line_start").alias("line"))
 
 
 @query("""SELECT CAST(count(*) AS BIGINT) AS files, CAST(sum(len(string_split(content, chr(10)))) AS BIGINT) AS lines FROM files""")
@@ -842,3 +834,54 @@ def a27_duplication_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def g4_coverage_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = tables.table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("scope")).agg((F.avg("o_totalprice") / 1000).alias("coverage"))
     return c.select("scope", F.round("coverage", 4).alias("coverage"), (F.col("coverage") >= 140).alias("passed"))
+
+
+@query("SELECT review_id, count(*) AS results, count(DISTINCT coalesce(category, type)) AS rules, count(*) AS parsed, string_agg(DISTINCT coalesce(category, type), ',' ORDER BY coalesce(category, type)) AS ids FROM findings GROUP BY review_id")
+def k1_sarif_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole document for each review, read back."""
+    from ..sources.sinks import sarif_documents
+
+    shape = "version string, runs array<struct<tool:struct<driver:struct<rules:array<struct<id:string>>>>,results:array<struct<ruleId:string>>>>"
+    d = sarif_documents(tables.findings(spark, sf_dir), "review_id").withColumn("d", F.from_json("document", shape))
+    run = F.col("d.runs")[0]
+    return d.select("review_id", "results", "rules", F.size(run["results"]).cast("long").alias("parsed"), F.array_join(run["tool"]["driver"]["rules"]["id"], ",").alias("ids"))
+
+
+@query(f"""SELECT r.review_id, r.n AS findings, least(r.n, 3) AS shown, '<ul><li class="critical">critical: ' || r.critical || '</li><li class="high">high: ' || r.high || '</li><li class="medium">medium: ' || r.medium || '</li><li class="low">low: ' || r.low || '</li><li class="info">info: ' || r.info || '</li></ul>' AS counted
+FROM (SELECT review_id, count(*) AS n, {LEVEL_COUNTS} FROM findings GROUP BY review_id) r""")
+def k3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.sinks import html_report
+
+    h = html_report(tables.findings(spark, sf_dir), ["review_id"], ["ord", "tie"], 3)
+    return h.select("review_id", "findings", (F.size(F.split("html", "<tr>")) - 1).cast("long").alias("shown"), F.regexp_extract("html", "<ul>.*</ul>", 0).alias("counted"))
+
+
+@query(f"""SELECT review_id, CASE WHEN critical > 0 THEN 'critical' WHEN high > 0 THEN 'high' WHEN medium > 0 THEN 'medium' ELSE 'clean' END AS status, total, least(total, 5) AS shown, worst FROM (
+SELECT review_id, count(*) AS total, {LEVEL_COUNTS}, arg_min(file_path || ':' || line_start, (-coalesce(rnk, -1), ord, tie)) AS worst FROM ranked GROUP BY review_id)""")
+def k5_chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is posted to a chat, read back from its JSON."""
+    from ..sources.sinks import messages
+
+    shape = "status string, total bigint, findings array<struct<severity:string,place:string,message:string>>"
+    m = messages(tables.findings(spark, sf_dir), ["review_id"], ["ord", "tie"]).withColumn("p", F.from_json("payload", shape))
+    return m.select("review_id", "status", "p.total", F.size("p.findings").cast("long").alias("shown"), F.col("p.findings")[0]["place"].alias("worst"))
+
+
+@query("""SELECT p_partkey AS policy_id, unnest(list_filter([CASE WHEN c = 0 AND h = 0 THEN 'severity-strict' ELSE 'severity-moderate' END, CASE WHEN c = 0 THEN 'security-zero-tolerance' END,
+ CASE WHEN x > 0 THEN CASE WHEN x <= 10 THEN 'complexity-strict' ELSE 'complexity-moderate' END END, CASE WHEN v >= 0.9 THEN 'coverage-90' WHEN v >= 0.8 THEN 'coverage-80' END,
+ CASE WHEN f = 1 THEN 'security-files-zero-issues' END, CASE WHEN f = 2 THEN 'api-files-low-issues' END], lambda r: r IS NOT NULL)) AS rule_id
+FROM (SELECT p_partkey, p_size % 3 AS c, p_size % 4 AS h, p_partkey % 21 AS x, p_size / 50.0 AS v, p_partkey % 3 AS f FROM part)""")
+def g8_default_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that policies' settings ask for, met with the registry."""
+    p = tables.table(spark, sf_dir, "part")
+    files = F.when(F.col("p_partkey") % 3 == 1, F.array(F.lit("**/auth/**"))).when(F.col("p_partkey") % 3 == 2, F.array(F.lit("src/api/*"))).otherwise(F.array(F.lit("*.py")))
+    p = p.select(F.col("p_partkey").alias("id"), (F.col("p_size") % 3).alias("max_critical"), (F.col("p_size") % 4).alias("max_high"), (F.col("p_partkey") % 21).alias("max_complexity"), (F.col("p_size") / 50.0).alias("min_coverage"), files.alias("file_patterns"))
+    return policy.rules_of(p.select("id", policy.default_rules().alias("rules")), policy.registry(spark)).select("policy_id", "rule_id")
+
+
+@query("""SELECT s_suppkey AS policy_id, 'severity-strict' AS rule_id, CAST(0 AS BIGINT) AS position FROM supplier UNION ALL SELECT s_suppkey, 'coverage-90', 2 FROM supplier WHERE s_suppkey % 2 = 0""")
+def j7_policy_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that no rule has are passed over."""
+    s = tables.table(spark, sf_dir, "supplier")
+    p = s.select(F.col("s_suppkey").alias("id"), F.array(F.lit("severity-strict"), F.lit("no such rule"), F.when(F.col("s_suppkey") % 2 == 0, "coverage-90").otherwise("nor this one")).alias("rules"))
+    return policy.rules_of(p, policy.registry(spark)).select("policy_id", "rule_id", F.col("position").cast("long").alias("position"))
