@@ -1,8 +1,8 @@
 """Detectors for Go, Java, JavaScript, TypeScript and Rust sources: patterns with guards on what stands around.
 
 A detector finds every match of its pattern in texts of its languages. A guard looks at the text
-within some characters of the match: ``unless`` drops the match if any of its words is there,
-``only_if`` if none is. All of it is one column expression a language; no Python runs.
+within some characters of the match (``behind``: before it only): ``unless`` drops the match if any of
+its words is there, ``only_if`` if none is; ``unless_line`` if the line where it begins fits. All of it is one column expression a language; no Python runs.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ class Detector:
     around: int = 0
     unless: tuple[str, ...] = ()
     only_if: tuple[str, ...] = ()
+    behind: bool = False
+    unless_line: str = ""
 
     def java_pattern(self) -> str:
         return regex.flags(self.pattern, "i" in self.flags, "m" in self.flags, "s" in self.flags)
@@ -143,9 +145,50 @@ TYPESCRIPT = (
     D("ts-any", "medium", "type_safety", 'Use of "any" type defeats TypeScript type checking', r":\s*any\b"),
     D("ts-any-array", "medium", "type_safety", 'Array of "any" type: no type safety for array elements', r":\s*any\[\]"),
     D("ts-instanceof-array", "low", "type_safety", "Use Array.isArray() instead of instanceof Array", r"instanceof\s+Array"),
+    D("ts-assertion", "low", "type_safety", "Type assertion bypasses type checking", r"\bas\s+\w+", unless_line="as const"),
+    D("ts-old-assertion", "low", "type_safety", 'Old-style type assertion: use "as Type" instead', r"<\w+>", unless_line="</|return <|= <"),
+    D("ts-non-null", "medium", "type_safety", "Non-null assertion (!) can cause runtime errors if value is null/undefined", r"\w+!(?!=)"),
+    D("ts-return-type", "low", "type_safety", "Function missing return type annotation", r"function\s+\w+\s*\([^)]*\)\s*\{", unless_line=r":[^)]*$|^[^)]*$"),
+    D("ts-arrow-return-type", "low", "type_safety", "Function missing return type annotation", r"(?:const|let|var)\s+\w+\s*=\s*(?:async\s+)?\([^)]*\)\s*=>\s*\{", unless_line=r":[^)]*$|^[^)]*$"),
+    D("ts-parameter-types", "medium", "type_safety", "Function parameters missing type annotations", r"function\s+\w+\s*\((?=\s*[^\s)])[^):]+\)"),
+    D("ts-coercion", "low", "type_safety", "Potential unsafe type coercion with + operator", r"""^.*(?:\+\s*["']|["'].*?\+).*$""", "m"),
     D("ts-double-negation", "info", "type_safety", "Double negation (!!) for boolean coercion is unclear", r"!!\w+"),
 )
+#: Rust types that are copied, and those that need no box.
+_COPIED = ("i8", "i16", "i32", "i64", "i128", "isize", "u8", "u16", "u32", "u64", "u128", "usize", "f32", "f64", "bool", "char")
+_SMALL = ("i32", "u32", "i64", "u64", "f32", "f64", "bool", "char")
 RUST = (
+    D("rust-moved-let", "high", "ownership", "Potential move violation: Variable potentially used after move", r"let\s+\w+\s*=\s*(\w+);.*\n.*\1\.", "m"),
+    D("rust-moved-into", "high", "ownership", "Potential move violation: Variable used after .into() (move)", r"(\w+)\.into\(\).*\n.*\1\.", "m"),
+    D("rust-moved-consume", "high", "ownership", "Potential move violation: Variable used after being consumed", r"consume\((\w+)\).*\n.*\1\.", "m"),
+    D("rust-borrow-moved-let", "critical", "ownership", "Attempting to borrow after move", r"let\s+\w+\s*=\s*(\w+);\s*\n\s*let\s+\w+\s*=\s*&\1", "m"),
+    D("rust-borrow-moved-into", "critical", "ownership", "Attempting to borrow after move", r"(\w+)\.into\(\);\s*\n\s*&\1", "m"),
+    D("rust-two-mutable", "critical", "ownership", "Multiple mutable borrows of the same variable", r"let\s+\w+\s*=\s*&mut\s+(\w+);\s*\n\s*let\s+\w+\s*=\s*&mut\s+\1", "m"),
+    D("rust-mutable-shared", "critical", "ownership", "Mutable borrow while immutable borrow exists", r"let\s+\w+\s*=\s*&(\w+);\s*\n\s*let\s+\w+\s*=\s*&mut\s+\1", "m"),
+    D("rust-dangling-local", "critical", "ownership", "Potential dangling reference: Returning reference to local variable", r"fn\s+\w+.*->\s*&.*\{[^}]*let\s+(\w+)\s*=.*\n[^}]*&\1", "ms"),
+    D("rust-dangling-temporary", "critical", "ownership", "Potential dangling reference: Reference to temporary value", r"&\w+\s*\{[^}]*let\s+(\w+)\s*=.*\n[^}]*\1", "ms"),
+    D("rust-lifetime", "medium", "ownership", "Function with references may need explicit lifetime annotations", r"fn\s+\w+\s*\([^)]*&[^')]*\)\s*->\s*&[^'{\n]*\{", unless_line="'.*<|<.*'"),
+    *(D(f"rust-clone-{t}", "low", "ownership", f"Unnecessary .clone() on Copy type {t}", rf":\s*{t}\s*=.*\.clone\(\)") for t in _COPIED),
+    D("rust-clone-once", "medium", "ownership", "Potentially unnecessary clone: value used only once", r"let\s+(\w+)\s*=\s*(\w+)\.clone\(\);\s*\n[^}]*\1\s*[;\)]", "m"),
+    D("rust-rc-refcell", "info", "ownership", "Rc<RefCell<T>> pattern detected", r"Rc<RefCell<"),
+    D("rust-arc-mutex", "low", "ownership", "Arc<Mutex<T>> in potentially single-threaded context", r"Arc<Mutex<", "", 500, ("thread",), behind=True, unless_line="async"),
+    D("rust-clone-loop", "high", "performance", "Cloning inside loop - can cause significant allocations", r"for\s+\w+\s+in\s+[^{]+\{[^}]*\.clone\(\)", "s"),
+    D("rust-clone-twice", "medium", "performance", "Multiple clones of same value", r"(\w+)\.clone\(\).*\n.*\1\.clone\(\)", "m"),
+    D("rust-to-string-loop", "high", "performance", "String allocation (.to_string()) inside loop", r"for\s+\w+\s+in\s+[^{]+\{[^}]*\.to_string\(\)", "s"),
+    D("rust-string-from", "low", "performance", "String::from() allocates - consider if &str would work", r"String::from\([^)]+\)\s*(?:;|\))", unless_line="->|fn "),
+    D("rust-string-plus", "medium", "performance", "String concatenation with + creates multiple allocations", r'"\s*\+\s*&?\w+\s*\+\s*"'),
+    D("rust-vec-capacity", "medium", "performance", "Vec::new() without capacity before loop - causes reallocations", r"let\s+mut\s+(\w+)\s*=\s*Vec::new\(\);\s*\n\s*for\s+[^{]+\{[^}]*\1\.push\(", "ms"),
+    D("rust-pushes", "low", "performance", "Multiple pushes without pre-allocated capacity", r"Vec::new\(\);\s*\n(?:\s*\w+\.push\([^)]+\);\s*\n){3,}", "m"),
+    D("rust-iter-collect", "low", "performance", ".iter().map().collect() - consider into_iter() if ownership not needed", r"\.iter\(\)\.map\([^)]+\)\.collect\(\)"),
+    D("rust-collect-len", "medium", "performance", "Collecting to Vec just to get length - use .count() instead", r"\.collect::<Vec<[^>]+>>.*\.len\(\)"),
+    D("rust-manual-filter", "info", "performance", "Manual filtering in loop - consider .filter().collect()", r"for\s+\w+\s+in\s+[^{]+\{[^}]*if\s+[^{]+\{[^}]*\.push\(", "s"),
+    D("rust-collect-iter", "high", "performance", "Unnecessary .collect() followed by .iter() - removes lazy evaluation", r"\.collect::<Vec<[^>]+>>\(\)\.iter\(\)"),
+    D("rust-await-loop", "high", "performance", "Sequential .await in loop - no concurrency", r"for\s+\w+\s+in\s+[^{]+\{[^}]*\.await", "s"),
+    D("rust-async-sleep", "high", "performance", "Blocking operation in async context: thread::sleep in async function", r"async\s+fn\s+\w+[^{]*\{[^}]*std::thread::sleep", "s"),
+    D("rust-async-lock", "high", "performance", "Blocking operation in async context: Mutex::lock in async (use tokio::sync::Mutex)", r"async\s+fn\s+\w+[^{]*\{[^}]*\.lock\(\)\.unwrap\(\)", "s"),
+    D("rust-lock-await", "critical", "performance", "Mutex lock held across .await - can cause deadlocks", r"\.lock\(\)[^;]*\.await"),
+    D("rust-format-loop", "medium", "performance", "format! macro in loop - allocates on each iteration", r"for\s+\w+\s+in\s+[^{]+\{[^}]*format!\(", "s"),
+    *(D(f"rust-box-{t}", "low", "performance", f"Unnecessary Box<{t}> - adds heap allocation overhead", rf"Box<{t}>") for t in _SMALL),
     D("rust-unsafe-fn", "high", "safety", "Unsafe function detected", r"unsafe\s+fn\s+\w+"),
     D("rust-unwrap-default", "info", "safety", "Use of .unwrap_or_default() - consider explicit default", r"\.unwrap_or_default\(\)"),
     D("rust-ffi", "high", "safety", "FFI function detected - requires careful safety review", r'extern\s+"C"\s+fn'),
@@ -171,7 +214,8 @@ def _found(d: Detector, text: str) -> Column:
     if d.around:
         def near(m: Column) -> Column:
             start = F.greatest(m["start"] - d.around, F.lit(0))
-            window = F.substring(F.col(text), start + 1, m["start"] + F.length(m["text"]) + d.around - start)
+            end = m["start"] if d.behind else m["start"] + F.length(m["text"]) + d.around
+            window = F.substring(F.col(text), start + 1, end - start)
             ok = F.lit(True)
             for w in d.unless:
                 ok = ok & ~F.contains(window, F.lit(w))
@@ -183,6 +227,8 @@ def _found(d: Detector, text: str) -> Column:
             return ok
 
         found = F.filter(found, near)
+    if d.unless_line:
+        found = F.filter(found, lambda m: ~F.get(F.split(F.col(text), "\n", -1), (m["line"] - 1).cast("int")).rlike(d.unless_line))
     said = [F.lit(x).alias(n) for n, x in (("detector", d.id), ("severity", d.severity), ("category", d.category), ("message", d.message))]
     return F.coalesce(F.transform(found, lambda m: F.struct(*said, m["line"].cast("long").alias("line_start"), m["col"].cast("long").alias("col"), m["text"].alias("matched"))), F.expr(_EMPTY))
 

@@ -26,10 +26,15 @@ LINES: dict[str, list[tuple[str, tuple[str, ...]]]] = {
         ('createHash("md5")', ("js-weak-hash",)), ('createHash("sha256")', ()), ("var a = 1", ("js-var",)), ("console.log(a)", ("js-console",)), ("let b = a ? c ? 1 : 2 : 3", ("js-nested-ternary",)),
         ('import _ from "lodash"', ("js-lodash",)), ('import moment from "moment"', ("js-moment",)),
     ],
-    "typescript": [("let a: any = 1", ("ts-any",)), ("let b: any[] = []", ("ts-any", "ts-any-array")), ("let c: string = d", ()), ("if (!!a) { }", ("ts-double-negation",))],
+    "typescript": [("let a: any = 1", ("ts-any",)), ("let b: any[] = []", ("ts-any", "ts-any-array")), ("let c: string = d", ()), ("let e = f as G", ("ts-assertion",)), ("let e = f as const", ()), ('let h = "a" + i', ("ts-coercion",)), ("function k(l) {}", ("ts-return-type", "ts-parameter-types")), ("function k(l: string): void {}", ()), ("m!.n()", ("ts-non-null",)), ("let o = (p) => {}", ("ts-arrow-return-type",)), ("q(<R>s)", ("ts-old-assertion",)), ("q = <R>s", ()), ("if (!!a) { }", ("ts-double-negation",))],
     "rust": [
         ("unsafe fn f() {}", ("rust-unsafe-fn",)), ("let x = a.unwrap_or_default();", ("rust-unwrap-default",)), ("todo!();", ("rust-todo",)), ("unimplemented!();", ("rust-unimplemented",)),
         ("if v.len() == 0 {}", ("rust-len-zero",)), ("if v.is_empty() {}", ()), ("if ok == true {}", ("rust-equals-true",)), ("x.ok();", ("rust-ok-ignored",)), ("mem::transmute::<A, B>(x);", ("rust-transmute",)),
+        ("let p: i32 = q7.clone();", ("rust-clone-i32",)), ("let c8 = d8.clone();", ("rust-clone-twice",)), ("let e8 = d8.clone();", ()), ("let m9 = &mut v9;", ("rust-two-mutable",)), ("let n9 = &mut v9;", ()), ("let m5 = &v5;", ("rust-mutable-shared",)), ("let n5 = &mut v5;", ()),
+        ("let y: Rc<RefCell<T>>;", ("rust-rc-refcell",)), ("let z: Arc<Mutex<T>>;", ("rust-arc-mutex",)), ("async { Arc<Mutex<T>> }", ()), ('f(String::from("a"));', ("rust-string-from",)), ('fn s() -> S { String::from("a"); }', ()),
+        ('let g = "a" + b + "c";', ("rust-string-plus",)), ("let n = i.collect::<Vec<T>>().len();", ("rust-collect-len",)), ("i.collect::<Vec<T>>().iter();", ("rust-collect-iter",)), ("i.iter().map(f).collect();", ("rust-iter-collect",)),
+        ("for a in b { c.to_string(); d.await }", ("rust-to-string-loop", "rust-await-loop")), ('for a in b { format!("c") }', ("rust-format-loop",)), ("let w: Box<i32>;", ("rust-box-i32",)), ("let w: Box<Wide>;", ()), ("m.lock().get().await;", ("rust-lock-await",)),
+        ("let r6 = s6;", ("rust-moved-let",)), ("s6.go();", ()), ("fn h(x: &str) -> &str { x }", ("rust-lifetime",)), ("fn h<'a>(x: &'a str) -> &'a str { x }", ()), ("async fn t() { std::thread::sleep(d) }", ("rust-async-sleep",)),
     ],
 }
 LANGUAGES = tuple(LINES)
