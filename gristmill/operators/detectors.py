@@ -82,6 +82,7 @@ JAVA = (
     D("java-catch-throwable", "high", "quality", "Catching Throwable - catches errors that should not be caught", r"catch\s*\(\s*Throwable\s+\w+\s*\)"),
     D("java-swallow", "medium", "quality", "Swallowing exception - only comment in catch block", r"catch\s*\([^)]+\)\s*\{\s*//[^\n]*\n\s*\}"),
     D("java-throws-exception", "low", "quality", "Throwing generic Exception", r"throws?\s+Exception\b"),
+    D("java-null-check", "info", "quality", "Null check with == - consider using Objects.isNull()", r"if\s*\(\s*\w+\s*==\s*null\s*\)"),
     D("java-stack-trace", "medium", "quality", "Using printStackTrace() - not suitable for production", r"\.printStackTrace\s*\(\s*\)"),
     D("java-finalize", "high", "quality", "finalize() is deprecated and unreliable", r"protected\s+void\s+finalize\s*\(\s*\)"),
     D("java-date", "low", "quality", "Using legacy Date class", r"new\s+Date\s*\("),
@@ -139,6 +140,8 @@ JAVASCRIPT = (
     D("js-n-plus-one-for", "high", "performance", "Potential N+1 query: database/API call inside loop", r"for\s*\([^)]+\)\s*\{[^}]*(?:fetch|axios|query|findOne|findById)\s*\(", "s"),
     D("js-n-plus-one-each", "high", "performance", "Potential N+1 query: database/API call inside loop", r"\.forEach\s*\([^)]*\{[^}]*(?:fetch|axios|query|findOne|findById)\s*\(", "s"),
     D("js-n-plus-one-map", "high", "performance", "Potential N+1 query: database/API call inside loop", r"\.map\s*\([^)]*\{[^}]*(?:fetch|axios|query|findOne|findById)\s*\(", "s"),
+    D("js-inline-function", "low", "performance", "Inline function in JSX prop causes unnecessary re-renders", r"(?:onClick|onChange|onSubmit|on\w+)\s*=\s*\{(?:\([^)]*\)\s*=>|\s*function)"),
+    D("js-use-effect", "medium", "performance", "useEffect without dependency array runs on every render", r"useEffect\s*\(\s*\([^)]*\)\s*=>\s*\{[^}]*\}\s*\)"),
     D("js-concat-loop", "medium", "performance", "String concatenation in loop creates new string each iteration", r"""for\s*\([^)]+\)\s*\{[^}]*\+=\s*["']""", "s"),
 )
 TYPESCRIPT = (

@@ -82,14 +82,9 @@ def s6_upload_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings_of(nested, ["review_id"]).groupBy("review_id").agg(F.count("*").alias("total_findings"), *severity.counts())
 
 
-@query("SELECT name, version, count(*) AS files FROM (SELECT 'lib-' || CAST(l_partkey % 50 AS VARCHAR) AS name, CAST(l_suppkey % 9 AS VARCHAR) || '.1' AS version FROM lineitem WHERE l_linenumber = 1) GROUP BY name, version")
-def s8_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _manifest_files(tables.table(spark, sf_dir, "lineitem").where("l_linenumber = 1"))
-
-
 @query("SELECT 'lib-' || CAST(l_partkey % 50 AS VARCHAR) AS name, CAST(l_suppkey % 9 AS VARCHAR) || '.1' AS version, count(*) AS files FROM lineitem GROUP BY 1, 2")
 def s8_all_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``s8_manifests``, over all rows."""
+    """Manifests of all rows."""
     return _manifest_files(tables.table(spark, sf_dir, "lineitem"))
 
 
@@ -129,14 +124,9 @@ def s14_response_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_findings(r, "answer", ["review_id", "ord"]).select("review_id", "ord", "severity", "confidence")
 
 
-@query("SELECT p_name AS name, s_name AS supplier, count(*) AS uses FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE p_size % 7 = 0 GROUP BY p_name, s_name")
-def s15_advisory_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _enriched(spark, sf_dir, "p_size % 7 = 0")
-
-
 @query("SELECT p_name AS name, s_name AS supplier, count(*) AS uses FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY p_name, s_name")
 def s15_all_advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``s15_advisory_enrichment``, with advisories on all parts."""
+    """All dependencies, with advisories on all parts."""
     return _enriched(spark, sf_dir, "true")
 
 

@@ -17,13 +17,14 @@ LINES: dict[str, list[tuple[str, tuple[str, ...]]]] = {
     ],
     "java": [
         ('stmt.executeQuery("SELECT " + name);', ("java-sql-concat",)), ("new XMLDecoder(in);", ("java-xml-decoder",)), ('Runtime.getRuntime().exec("ls " + d);', ("java-exec",)),
-        ("try { run(); } catch (Throwable t) { t.printStackTrace(); }", ("java-catch-throwable", "java-stack-trace")), ("Date d = new Date();", ("java-date",)), ("LocalDate d = LocalDate.now();", ()),
+        ("try { run(); } catch (Throwable t) { t.printStackTrace(); }", ("java-catch-throwable", "java-stack-trace")), ("Date d = new Date();", ("java-date",)), ("LocalDate d = LocalDate.now();", ()), ("if (x == null) y();", ("java-null-check",)), ("if (Objects.isNull(x)) y();", ()),
         ('synchronized ("lock") { x(); }', ("java-sync-string",)), ("private static SimpleDateFormat F;", ("java-date-format",)), ('String s = new String("a");', ("java-new-string",)),
         ("Boolean b = Boolean.valueOf(true);", ("java-boolean-value",)), ("Integer i = Integer.valueOf(5);", ("java-boxing",)), ("catch (IOException e) { }", ("java-empty-catch",)), ("list.parallelStream().count();", ("java-parallel-stream",)),
     ],
     "javascript": [
         ("el.innerHTML = x", ("js-inner-html",)), ('el.innerHTML="a"', ()), ("document.write(x)", ("js-document-write",)), ("eval(x)", ("js-eval",)), ("new Function(x)", ("js-function",)),
         ('createHash("md5")', ("js-weak-hash",)), ('createHash("sha256")', ()), ("var a = 1", ("js-var",)), ("console.log(a)", ("js-console",)), ("let b = a ? c ? 1 : 2 : 3", ("js-nested-ternary",)),
+        ("<a onClick={() => f()}>", ("js-inline-function",)), ("<a onClick={f}>", ()), ("useEffect(() => { f })", ("js-use-effect",)), ("useEffect(() => { f }, [a])", ()),
         ('import _ from "lodash"', ("js-lodash",)), ('import moment from "moment"', ("js-moment",)),
     ],
     "typescript": [("let a: any = 1", ("ts-any",)), ("let b: any[] = []", ("ts-any", "ts-any-array")), ("let c: string = d", ()), ("let e = f as G", ("ts-assertion",)), ("let e = f as const", ()), ('let h = "a" + i', ("ts-coercion",)), ("function k(l) {}", ("ts-return-type", "ts-parameter-types")), ("function k(l: string): void {}", ()), ("m!.n()", ("ts-non-null",)), ("let o = (p) => {}", ("ts-arrow-return-type",)), ("q(<R>s)", ("ts-old-assertion",)), ("q = <R>s", ()), ("if (!!a) { }", ("ts-double-negation",))],
