@@ -208,6 +208,8 @@ RUST = (
     D("rust-return-end", "info", "quality", "Unnecessary return at end of function", r"\n\s+return\s+[^;]+;\s*\n\s*\}"),
 )
 BY_LANGUAGE = {"go": GO, "java": JAVA, "javascript": JAVASCRIPT, "typescript": JAVASCRIPT + TYPESCRIPT, "rust": RUST}
+#: The same by table: JavaScript's detectors are for TypeScript, too.
+_FOR = ((GO, ("go",)), (JAVA, ("java",)), (JAVASCRIPT, ("javascript", "typescript")), (TYPESCRIPT, ("typescript",)), (RUST, ("rust",)))
 
 _EMPTY = "cast(array() AS array<struct<detector:string,severity:string,category:string,message:string,line_start:bigint,col:bigint,matched:string>>)"
 
@@ -238,10 +240,12 @@ def _found(d: Detector, text: str) -> Column:
 
 def detect(files: DataFrame, text: str = "content", keep: tuple[str, ...] = ("file_path",), languages: Iterable[str] = tuple(BY_LANGUAGE)) -> DataFrame:
     """Findings of all detectors of each file's language; ``files`` has ``keep``, language and ``text``."""
-    # One scan: each row meets the detectors of its own language only.
+    # One scan: each row meets the detectors of its own language only, and each detector is planned once.
     languages = tuple(languages)
-    found = F.lit(None)
-    for lang in reversed(languages):
-        found = F.when(F.col("language") == lang, F.concat(*[_found(d, text) for d in BY_LANGUAGE[lang]])).otherwise(found)
+    parts = []
+    for table, meant in _FOR:
+        if own := [x for x in meant if x in languages]:
+            parts.append(F.when(F.col("language").isin(*own), F.concat(*[_found(d, text) for d in table])).otherwise(F.expr(_EMPTY)))
+    found = F.concat(*parts)
     own = files.where(F.col("language").isin(*languages)).select(*keep, "language", F.explode(found).alias("m"))
     return own.select(*keep, "language", "m.*")
