@@ -4,8 +4,12 @@ Lines are normalised (lower case, white space collapsed) and hashed; for each ho
 documents that hold a line are counted. A line above the host's limit is boilerplate and is removed;
 a document that keeps too little of its words is rejected, as is one that fails the base rules.
 
-Exact copies of a text count as one document, so that copied documents do not turn their own lines
-into boilerplate; copies are the business of deduplication.
+Copied documents must not turn their own lines into boilerplate; copies are the business of
+deduplication. So a line is counted twice. First exact copies of a text count as one document; what is
+above the limits then is a candidate. A document that candidates nearly fill may be a near copy: with
+all others whose longest candidate line is the same it counts as one document when candidates are
+counted again. Lines that stand in many otherwise different documents stay above the limits, lines
+that always come with the same rest of a text do not.
 
 DataFrame functions only: no Python runs on the executors.
 """
@@ -15,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL_ROWS, WORD, small_side, store
+from .common import SMALL_ROWS, WORD, drop_stored, small_side, store
 
 _LINE = r"lower(trim(regexp_replace(l, '[\\x20\\x09-\\x0D]+', ' ')))"
 _WORD_SQL = WORD.replace("\\", "\\\\")
@@ -56,20 +60,41 @@ def document_stats(docs: DataFrame, host: str = "source", whole: bool = False) -
     )
 
 
-def frequent_lines(stats: DataFrame, least_docs: int, host_share: float) -> DataFrame:
-    """``host, frequent``: hashes of the lines that occur in more than ``least_docs`` and ``host_share`` of a host's documents.
+def frequent_lines(units: DataFrame, hosts: DataFrame, least_docs: int, host_share: float) -> DataFrame:
+    """``host, frequent``: hashes of the lines that stand in more than ``least_docs`` units and ``host_share`` of a host's documents.
 
-    A host's documents hold at most (lines of a document on average) / ``host_share`` such lines, so
-    a host's array is short whatever its size.
+    ``units`` has rows (host, unit, h), repeated or not: a line and what counts as one document;
+    ``hosts`` the number of documents. A host's documents hold at most (lines of a document on
+    average) / ``host_share`` such lines, so a host's array is short whatever its size.
     """
-    hosts = store(stats.groupBy("host", "text_hash").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("docs")), "hosts")
-    lines = stats.select("host", "text_hash", F.explode("lines").alias("l")).where("l.first").select("host", "text_hash", F.col("l.h").alias("h"))
-    # Copies of a text fall together first, then each line's texts are counted; both steps combine before they shuffle.
-    counts = lines.groupBy("host", "h", "text_hash").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > least_docs)
+    # Copies fall together first, then each line's units are counted; both steps combine before they shuffle.
+    counts = units.groupBy("host", "h", "unit").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > least_docs)
     counts = counts.join(small_side(hosts.toDF("host2", "docs")), F.col("host").eqNullSafe(F.col("host2")))
     return counts.where(F.col("n") > host_share * F.col("docs")).groupBy("host").agg(F.collect_list("h").alias("frequent"))
 
 
+def _with_arrays(stats: DataFrame, often: DataFrame) -> DataFrame:
+    """``stats`` with its host's array ``frequent``, null where it has none."""
+    # A host's array counts as a hundred rows of the limit.
+    often = small_side(often.toDF("host2", "frequent"), SMALL_ROWS // 100)
+    return stats.join(often, stats["host"].eqNullSafe(F.col("host2")), "left").drop("host2")
+
+
+def boilerplate(stats: DataFrame, least_docs: int, host_share: float, copy_pct: int) -> DataFrame:
+    """``host, frequent`` as above, near copies counted as one: documents of which candidates hold more than ``copy_pct`` per cent of the words and whose longest candidate line (the first of equals) is the same."""
+    hosts = store(stats.groupBy("host", "text_hash").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("docs")), "hosts")
+    first = stats.select("host", F.col("text_hash").alias("unit"), F.explode("lines").alias("l")).where("l.first").select("host", "unit", F.col("l.h").alias("h"))
+    candidates = store(frequent_lines(first, hosts, least_docs, host_share), "candidates")
+    held = _with_arrays(stats.select("host", "text_hash", "n_words", "lines"), candidates).where("frequent IS NOT NULL")
+    held = held.withColumn("lines", F.expr("filter(lines, l -> array_contains(frequent, l.h))")).where("size(lines) > 0")
+    longest = F.expr("array_max(transform(lines, l -> struct(l.words AS words, -l.i AS at, l.h AS h))).h")
+    filled = 100 * F.expr("aggregate(lines, 0L, (a, l) -> a + l.words)") > copy_pct * F.col("n_words")
+    units = held.select("host", F.when(filled, longest).otherwise(F.col("text_hash")).alias("unit"), F.explode("lines").alias("l")).where("l.first").select("host", "unit", F.col("l.h").alias("h"))
+    out = store(frequent_lines(units, hosts, least_docs, host_share), "frequent")
+    drop_stored(hosts, candidates)
+    return out
+
+
 def quality_verdicts(docs: DataFrame, host: str = "source", least_docs: int = 20, host_share: float = 0.05, least_words: int = 50, most_repeat_pct: int = 50, most_removed_pct: int = 80, whole: bool = False) -> DataFrame:
     """Verdict on each row of ``docs`` (doc_id, text, ``host``), which may have further columns.
 
@@ -77,7 +102,8 @@ def quality_verdicts(docs: DataFrame, host: str = "source", least_docs: int = 20
     base_failed, removed_words, removed_lines (hashes), kept, and with ``whole`` the columns of
     ``docs`` as ``row``. ``base_failed``: under ``least_words`` words or more than ``most_repeat_pct``
     per cent of words in repeated 3-word windows. A document is depleted if frequent lines hold more
-    than ``most_removed_pct`` per cent of its words or leave it under ``least_words`` words. Null or
+    than ``most_removed_pct`` per cent of its words or leave it under ``least_words`` words; the same
+    share makes a document of candidates a near copy (see the module). Null or
     empty texts have no words and fail; a null host is a host of its own; equal rows get equal
     verdicts; an empty table gives an empty result.
 
@@ -85,10 +111,7 @@ def quality_verdicts(docs: DataFrame, host: str = "source", least_docs: int = 20
     come back to its documents.
     """
     stats = store(document_stats(docs, host, whole), "stats")
-    often = store(frequent_lines(stats, least_docs, host_share), "frequent")
-    # A host's array counts as a hundred rows of the limit.
-    often = small_side(often.toDF("host2", "frequent"), SMALL_ROWS // 100)
-    out = stats.join(often, stats["host"].eqNullSafe(F.col("host2")), "left").drop("host2")
+    out = _with_arrays(stats, boilerplate(stats, least_docs, host_share, most_removed_pct))
     gone = F.expr("coalesce(array_intersect(transform(lines, l -> l.h), frequent), cast(array() AS array<bigint>))")
     out = out.withColumn("removed_lines", gone).drop("frequent")
     out = out.withColumn("removed_words", F.expr("aggregate(filter(lines, l -> array_contains(removed_lines, l.h)), 0L, (a, l) -> a + l.words)")).drop("lines")

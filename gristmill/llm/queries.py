@@ -135,10 +135,13 @@ b AS (SELECT rid, doc_id, source, t, regexp_extract_all(t, {_WORDS}) AS ws FROM
 g AS (SELECT rid, i, w, lead(w, 1) OVER p AS w1, lead(w, 2) OVER p AS w2 FROM (SELECT rid, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM b) WINDOW p AS (PARTITION BY rid ORDER BY i)),
 r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, w, w1, w2) AS c FROM g WHERE w2 IS NOT NULL) WHERE c > 1),
 c AS (SELECT rid, count(DISTINCT i + k) AS n FROM r, (VALUES (0), (1), (2)) v(k) GROUP BY rid),
-l AS (SELECT rid, source, t, x, lower(trim(regexp_replace(x, '[ 	-
-]+', ' ', 'g'), ' ')) AS n, len(regexp_extract_all(x, {_WORDS})) AS words FROM (SELECT rid, source, t, unnest(string_split(t, chr(10))) AS x FROM b) WHERE regexp_matches(x, {_WORDS})),
+l AS (SELECT rid, source, t, x, i, lower(trim(regexp_replace(x, '[ 	-
+]+', ' ', 'g'), ' ')) AS n, len(regexp_extract_all(x, {_WORDS})) AS words FROM (SELECT rid, source, t, unnest(string_split(t, chr(10))) AS x, unnest(range(len(string_split(t, chr(10))))) AS i FROM b) WHERE regexp_matches(x, {_WORDS})),
 h AS (SELECT source, count(DISTINCT t) AS docs FROM d GROUP BY source),
-f AS (SELECT l.source, l.n FROM l JOIN h ON l.source IS NOT DISTINCT FROM h.source GROUP BY l.source, l.n, h.docs HAVING count(DISTINCT l.t) > 20 AND count(DISTINCT l.t) > 0.05 * h.docs),
+a AS (SELECT l.source, l.n FROM l JOIN h ON l.source IS NOT DISTINCT FROM h.source GROUP BY l.source, l.n, h.docs HAVING count(DISTINCT l.t) > 20 AND count(DISTINCT l.t) > 0.05 * h.docs),
+q AS (SELECT l.* FROM l JOIN a ON l.n = a.n AND l.source IS NOT DISTINCT FROM a.source),
+y AS (SELECT q.rid, CASE WHEN 100 * sum(words) > 80 * any_value(len(ws)) THEN 'n' || arg_max(q.n, struct_pack(w := words, p := -i)) ELSE 't' || any_value(b.t) END AS unit FROM q JOIN b USING (rid) GROUP BY q.rid),
+f AS (SELECT q.source, q.n FROM q JOIN y USING (rid) JOIN h ON q.source IS NOT DISTINCT FROM h.source GROUP BY q.source, q.n, h.docs HAVING count(DISTINCT unit) > 20 AND count(DISTINCT unit) > 0.05 * h.docs),
 m AS (SELECT rid, sum(words) AS gone FROM l JOIN f ON l.n = f.n AND l.source IS NOT DISTINCT FROM f.source GROUP BY rid),
 u AS (SELECT rid, count(*) - count(DISTINCT x) AS n FROM l GROUP BY rid),
 s AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,

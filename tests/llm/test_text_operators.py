@@ -245,7 +245,8 @@ def test_quality_figures_and_frequent_lines(spark):
     menu = "home about contact and all the other entries of the menu"
     rows = awkward()
     for i in range(40):
-        rows.append((3000 + i, f"{menu}\n{words(70, i)}", None, "host", 1, "", 1, 1, 1, 1.0))
+        entries = "\n".join(f"{menu} {k}" for k in range(12)) if i < 30 else menu
+        rows.append((3000 + i, f"{entries}\n{menu}\n{words(70 if i >= 30 else 170, i)}", None, "host", 1, "", 1, 1, 1, 1.0))
         rows.append((4000 + i, "\n".join(f"{menu}  {k} " if i % 2 else f"{menu} {k}".upper() for k in range(12)) + f"\nown {i}", None, "host", 1, "", 1, 1, 1, 1.0))
         rows.append((5000 + i, words(80, 77), None, "copies", 1, "", 1, 1, 1, 1.0))
     got = line_quality.quality_verdicts(table(spark, rows), least_docs=20, host_share=0.05).collect()
@@ -265,6 +266,35 @@ def test_quality_figures_and_frequent_lines(spark):
     assert sum(r["source"] == "copies" for r in left) == 40
 
 
+def test_near_copies_do_not_make_their_lines_boilerplate(spark):
+    body = [words(14, 900 + k, 5000) for k in range(10)]
+    notice = "all of this may be used by anyone for any purpose at all"
+    rows = []
+    for i in range(120):
+        copy = list(body)
+        copy[i % 10] = words(14, 5000 + i, 5000)
+        rows.append((i, "\n".join(copy), None, "host", 1, "", 1, 1, 1, 1.0))
+        rows.append((1000 + i, f"{words(80, 20000 + i, 5000)}\n{notice}", None, "host", 1, "", 1, 1, 1, 1.0))
+    rows.append((2000, "\n".join([notice] * 3 + [words(20, 3)] + [notice] * 12), None, "host", 1, "", 1, 1, 1, 1.0))
+    docs = table(spark, rows)
+    got = {r["doc_id"]: r for r in line_quality.quality_verdicts(docs).collect()}
+    assert all(got[i]["kept"] and not got[i]["removed_words"] for i in range(120))
+    assert all(got[1000 + i]["kept"] and got[1000 + i]["removed_words"] == 13 for i in range(120))
+    assert not got[2000]["kept"] and got[2000]["removed_words"] == 13 * 15
+    left = {r["doc_id"]: r["text"] for r in line_quality.quality_filter(docs).collect()}
+    assert all(left[i] == rows[2 * i][1] and notice not in left[1000 + i] for i in range(120))
+
+    import duckdb
+
+    from gristmill.llm import queries
+
+    c = duckdb.connect()
+    documents = docs.select("doc_id", "text", "source").toPandas()
+    c.register("documents", documents)
+    want = c.sql(queries.ORACLES["op7_line_quality"]).df().set_index("doc_id")
+    assert {i: (r["kept"], r["removed_words"]) for i, r in got.items()} == {i: (bool(r.kept), r.removed_words) for i, r in want.iterrows()}
+
+
 def test_license_places(spark):
     notice = license_scan.NOTICES[0].text
     texts = ["Under the MIT License, and under the mit license", "x Apache License, Version 2.0", "CC BY-NC cc.by.nc", "under the mit licenses", "mıt under the mİt license", "under the Kit license", notice.upper(), "permission is hereby granted free of charge to nobody", "", None, "all rights\nreserved", "été cc by nc"]
