@@ -361,7 +361,11 @@ def plain_katz(rows, order):
     import math
 
     docs = [(r[0], WORD.findall(lower(r[1])) + ["</end>"], zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 5 == 1) for r in rows]
-    grams = lambda w, k: [tuple((["<begin>"] * (k - 1) + w)[i : i + k]) for i in range(len(w))]
+
+    def grams(w, k):
+        w = ["<begin>"] * (k - 1) + w
+        return [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+
     counts = [Counter(g for _, w, h in docs if not h for g in grams(w, k)) for k in range(1, order + 1)]
     nd = sum(not h for _, _, h in docs)
     big = sum(counts[0].values())
@@ -403,6 +407,15 @@ def test_katz_against_the_definition(spark, monkeypatch, order, tokens):
     assert have == plain_katz(rows, order)
 
 
+def test_katz_deals_keys_to_shares_that_have_one():
+    keys = np.unique(np.random.Generator(np.random.PCG64(3)).integers(0, 1 << 64, 500, np.uint64, endpoint=False))
+    for shares in (1, 8, 300, 20_000_000):
+        present, cut = katz.dealt_out(keys, shares)
+        assert len(present) == len(cut) - 1 <= min(shares, len(keys)) and (cut[0], cut[-1]) == (0, len(keys))
+        for s, a, b in zip(present, cut[:-1], cut[1:], strict=True):
+            assert {(int(k) >> 32) * shares >> 32 for k in keys[a:b]} == {s} and b > a
+
+
 def test_licenses_against_every_place(spark):
     """All columns against a scan of every start for every template."""
     templates = [(t, t.words, license_scan._key_places(t)) for t in license_scan.NOTICES]
