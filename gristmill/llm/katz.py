@@ -140,17 +140,20 @@ class Chunk:
         """(share, order, keys, training counts) of each block."""
         for kind, (keys, at) in enumerate(zip(self.keys, self.at, strict=True), 1):
             counts = np.bincount(at[self.training], minlength=len(keys))
-            cut = cuts(keys, shares)
-            for s in range(shares):
-                a, b = cut[s], cut[s + 1]
-                if b > a:
-                    yield s, kind, _planes(keys[a:b]), _pack(counts[a:b].astype(np.uint32))
+            present, cut = dealt_out(keys, shares)
+            for s, a, b in zip(present, cut[:-1], cut[1:], strict=True):
+                yield s, kind, _planes(keys[a:b]), _pack(counts[a:b].astype(np.uint32))
 
 
-def cuts(keys: np.ndarray, shares: int) -> np.ndarray:
-    """Where each share begins in sorted keys; a share is a range of the hash space."""
-    edges = np.asarray([(k << 64) // shares for k in range(1, shares)], np.uint64)
-    return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
+def dealt_out(keys: np.ndarray, shares: int) -> tuple[list[int], list[int]]:
+    """The shares that sorted keys fall into, and where each begins, then the end.
+
+    A share is a range of the hash space. Only shares with a key are named, so a chunk has no more
+    blocks than distinct keys, however many shares the corpus needs (below 2**32 of them).
+    """
+    share = ((keys >> U(32)) * U(shares)) >> U(32)
+    starts = np.flatnonzero(np.concatenate(([True], share[1:] != share[:-1])))
+    return share[starts].tolist(), [*starts.tolist(), len(keys)]
 
 
 def _answer(kind: int, rows: list[tuple[str, np.ndarray, np.ndarray]], share: int) -> Iterator[dict]:
@@ -247,8 +250,7 @@ SCORED = "kind int, doc_id long, held_out boolean, level int, ctx long, n_tokens
 
 def _score(c: Chunk, answers: dict[tuple[int, int], bytes], shares: int, m: dict) -> Iterator[pa.RecordBatch]:
     def gather(kind: int) -> tuple[np.ndarray, np.ndarray]:
-        cut = cuts(c.keys[kind - 1], shares)
-        got = [_given(answers[kind, s]) for s in range(shares) if cut[s + 1] > cut[s]]
+        got = [_given(answers[kind, s]) for s in dealt_out(c.keys[kind - 1], shares)[0]]
         return np.concatenate([a for a, _ in got]), np.concatenate([b for _, b in got])
 
     names = [x.split()[0] for x in SCORED.split(", ")]
