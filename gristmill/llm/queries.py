@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, katz, langid, license_scan, line_quality, minhash_forest, mix_sources, packing, pivot_index, token_files
+from . import chat_format, divergence, filter_audit, katz, langid, license_scan, line_quality, minhash_forest, mix_sources, packing, pivot_index, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,19 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = filter_audit.filter_flags(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return filter_audit.interaction_report(flags)
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), token_files.tokenizer_file("byte_bpe_50k.json"), limit=512)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"), least_docs=10, top=10)
+
+
 # What of the operators' results is exact and SQL can express, on its own.
 
 
@@ -84,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_chat_format, op2_mix_sources, op3_minhash_forest, op4_best_fit_packing, op5_katz_scores,
         op6_language_mixture, op7_line_quality, op8_license_scan, op9_pivot_index, op10_token_files,
+        op11_filter_interactions, op12_token_counts, op13_source_divergence,
         base_mix_targets, base_katz_tokens, base_language_known, base_license_places,
     )
 }
@@ -129,6 +143,40 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(24 + length({_ESCAPED.format(r"replace(replace(role, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n')")}) + length({_ESCAPED.format("text")})) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id""",
+    "op11_filter_interactions": rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+g AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+w AS (SELECT d.*, regexp_extract_all(t, {_WORDS}) AS ws, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM d LEFT JOIN g USING (doc_id)),
+f AS (SELECT part, good, toxic, len(ws) < 100 AS A, 100 * len(list_distinct(ws)) < 80 * len(ws) AS B, 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 10 * length(t) AS C,
+  regexp_matches(t, '[#$%&*|]') AS D, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS E FROM w),
+m AS (SELECT part, good, toxic, concat(CASE WHEN A THEN 'A' ELSE '' END, CASE WHEN B THEN 'B' ELSE '' END, CASE WHEN C THEN 'C' ELSE '' END, CASE WHEN D THEN 'D' ELSE '' END, CASE WHEN E THEN 'E' ELSE '' END) AS fails FROM f),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT o AS filter_order, CAST(unnest(range(1, 6)) AS INTEGER) AS step, substr(o, unnest(range(1, 6)), 1) AS own, substr(o, 1, unnest(range(1, 6)) - 1) AS gone FROM o),
+r AS (SELECT part, filter_order, step, own,
+  count(*) FILTER (translate(fails, gone || own, '') = fails) AS kept,
+  count(*) FILTER (contains(fails, own) AND translate(fails, gone, '') = fails) AS removed,
+  count(*) FILTER (contains(fails, own) AND translate(fails, gone, '') != fails) AS redundant,
+  count(*) FILTER (fails = own) AS unique_fails,
+  count(*) FILTER (good AND contains(fails, own) AND translate(fails, gone, '') = fails) AS good_lost,
+  count(*) FILTER (toxic AND contains(fails, own) AND translate(fails, gone, '') = fails) AS toxic_lost FROM m, s GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r""",
+    "op13_source_divergence": rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT rid, lang, source, unnest(w) AS x FROM d),
+k AS (SELECT lang, x FROM t GROUP BY lang, x HAVING count(DISTINCT rid) >= 10),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, x, count(*) AS n FROM t SEMI JOIN k USING (lang, x) GROUP BY lang, source, x),
+a AS (SELECT g.lang, g.source, k.x, coalesce(c.n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.x = k.x),
+p AS (SELECT lang, source, x, n, 1 + CAST(1000000000 AS HUGEINT) * (n + 2) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS p FROM a JOIN v USING (lang)),
+l AS (SELECT lang, x, sum(n) AS n FROM a GROUP BY lang, x),
+q AS (SELECT lang, x, 1 + CAST(1000000000 AS HUGEINT) * (n + 2) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS q FROM l JOIN v USING (lang)),
+e AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.x = b.x AND a.source != b.source GROUP BY ALL),
+z AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source != b.source LEFT JOIN e ON e.lang = a.lang AND e.source = a.source AND e.item = b.source),
+y AS (SELECT lang, source, 'term' AS part, x AS item, (p - q) * (p - q) // (p + q) AS value FROM p JOIN q USING (lang, x) WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM z UNION ALL SELECT * FROM y))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 10""",
     "op7_line_quality": rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
 b AS (SELECT rid, doc_id, source, t, regexp_extract_all(t, {_WORDS}) AS ws FROM d),
