@@ -790,6 +790,14 @@ def t9_block_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check_blocks(f).select("file_path", "check", "severity", F.col("line_start").alias("line"))
 
 
+@query(samples.expected_sql([found for *_, found in samples.SCOPES], '"check"'))
+def t10_scope_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.scope_checks import check_scopes
+
+    f = samples.dealt(spark, sf_dir, [text for _, text, _ in samples.SCOPES], [language for language, *_ in samples.SCOPES])
+    return check_scopes(f).select("file_path", "check", "severity", F.col("line_start").alias("line"))
+
+
 @query(samples.expected_sql([found for _, found in samples.TAINT], "sink"))
 def m15_taint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.python_checks import check_files

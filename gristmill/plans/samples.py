@@ -74,6 +74,55 @@ BLOCKS: list[tuple[str, list[tuple[str, str, int]]]] = [
     ('for i := range x {\n\tb.WriteString("a")\n}\n', []),
 ]
 
+#: Go, Java and JavaScript texts with the checks of whole functions, classes and loops that must find something, with severity and line.
+SCOPES: list[tuple[str, str, list[tuple[str, str, int]]]] = [
+    ("go", "func load(id int) {\n\tp := new(T)\n\tp.Run()\n}\n", [("go-nil-dereference", "medium", 2)]),
+    ("go", "func load(id int) {\n\tp := new(T)\n\tif p != nil {\n\t\tp.Run()\n\t}\n\tq := f(p)\n\tq.Run()\n}\n", []),
+    ("go", "func a() error {\n\terr := f()\n\tif err := g(); err != nil {\n\t\treturn fmt.Errorf(\"g: %w\", err)\n\t}\n\treturn err\n}\n", [("go-shadowed-err", "low", 3)]),
+    ("go", "func a() error {\n\tif x {\n\t\terr := f()\n\t\tuse(err)\n\t}\n\tif err := g(); err != nil {\n\t\treturn err // no context\n\t}\n\treturn nil\n}\n", [("go-error-context", "low", 7)]),
+    ("go", "func (s *S) put(a, b int, c func(x, y int) bool, d, e, f string) (int, error) {\n\treturn 1, nil\n}\n", [("go-parameters", "low", 1)]),
+    ("go", "func (s *S) put(a, b int, c func(x, y int) bool, d, e string) (int, error) {\n\treturn 1, nil\n}\n", []),
+    ("go", "func main() {\n\tctx := context.Background()\n}\nfunc run() {\n\tf(context.Background()) // \"{\n}\n", [("go-context-background", "low", 5)]),
+    ("go", "func fetch(u string) {\n\thttp.Get(u)\n}\nfunc get(ctx context.Context) {\n\tdb.Query(q)\n}\nfunc TestX(t int) {\n\ttime.Sleep(1)\n}\nfunc other() {\n\ts := \"http.Get(u)\"\n}\n", [("go-context-missing", "low", 1)]),
+    ("go", "func all() {\n\tfor _, x := range xs {\n\t\tgo work(x)\n\t}\n}\n", [("go-goroutine-loop", "high", 2)]),
+    ("go", "func all() {\n\tvar wg sync.WaitGroup\n\tfor _, x := range xs {\n\t\tgo work(x)\n\t}\n\twg.Wait()\n}\n", []),
+    ("go", "func up() {\n\tvar out []int\n\tfor i := range xs {\n\t\tout = append(out, i)\n\t}\n}\n", [("go-append-loop", "medium", 3)]),
+    ("go", "func up() {\n\tout := make([]int, 0, len(xs))\n\tfor i := range xs {\n\t\tout = append(out, i)\n\t}\n}\n", []),
+    ("go", "func show(c Config) {\n}\nfunc hide(c *Config) {\n}\n", [("go-struct-by-value", "low", 1)]),
+    ("go", "func w() {\n\tv := <-ch\n\tch <- v\n\tselect {\n\tcase x := <-ch:\n\t\tuse(x)\n\t}\n}\n", [("go-blocking-receive", "low", 2)]),
+    ("go", "func w() {\n\tch := make(chan int)\n\tdone := make(chan int, 1)\n}\nfunc v() {\n\tch := make(chan int)\n\tgo func() { ch <- 1 }()\n}\n", [("go-channel-alone", "medium", 2)]),
+    ("go", "var total int\nfunc w() {\n\tgo func() {\n\t\ttotal++\n\t}()\n\tgo func() {\n\t\tmu.Lock()\n\t\ttotal++\n\t}()\n}\n", [("go-race", "high", 3)]),
+    ("go", "func w() {\n\tpanic(\"recover()\")\n}\nfunc v() {\n\tdefer func() {\n\t\trecover()\n\t}()\n\tpanic(1)\n}\n", [("go-panic", "medium", 2)]),
+    ("go", "func v() {\n\tr := recover()\n\tuse(r)\n}\n", [("go-recover", "high", 2)]),
+    ("go", "func v() {\n\t_ = f(1)\n\tx, _ := g(2)\n\ty, ok := m[3]\n}\n", [("go-ignored-error", "medium", 2), ("go-ignored-error", "medium", 3)]),
+    ("go", "func v() {\n\tdefer a()\n\tdefer b()\n\tdefer c()\n\tdefer d()\n}\nfunc w() {\n\tdefer a()\n}\n", [("go-defer-order", "info", 2)]),
+    ("java", "class C {\n  private static int hits;\n  private static final int MAX = 5;\n  void a() { hits++; }\n  void b() { hits = 0; }\n}\n", [("java-race", "high", 2)]),
+    ("java", "class C {\n  private static int hits;\n  synchronized void a() { hits++; }\n  synchronized void b() { hits = 0; }\n}\n", []),
+    ("java", "class C {\n  private Foo foo;\n  Foo get() {\n    if (foo == null) {\n      synchronized (this) {\n        if (foo == null) {\n          foo = new Foo();\n        }\n      }\n    }\n    return foo;\n  }\n}\n", [("java-double-checked", "high", 6)]),
+    ("java", "class C {\n  private volatile Foo foo;\n  Foo get() {\n    if (foo == null) {\n      synchronized (this) {\n        if (foo == null) {\n          foo = new Foo();\n        }\n      }\n    }\n    return foo;\n  }\n}\n", []),
+    ("java", "class C {\n  private volatile int n;\n  private volatile int m;\n  void a() { n += 1; m = 2; }\n}\n", [("java-volatile-compound", "high", 2)]),
+    ("java", "class C {\n  void a() { while (!ok) { wait(); } }\n  void b() { if (!ok) { wait(); } }\n}\n", [("java-wait-loop", "medium", 3)]),
+    ("java", "class C implements Runnable {\n  private Map<String, Foo> m = new HashMap<String, Foo>();\n  private Map<String, Foo> n = new ConcurrentHashMap<>();\n}\n", [("java-plain-collection", "medium", 2)]),
+    ("java", "class C {\n  private Map<String, Foo> m = new HashMap<String, Foo>();\n}\n", []),
+    ("java", "class C {\n  void a() {\n    ExecutorService p = Executors.newFixedThreadPool(4);\n    ExecutorService q = Executors.newCachedThreadPool();\n    q.shutdown();\n  }\n}\n", [("java-executor", "medium", 3)]),
+    ("java", "class C {\n  void a() {\n    if (n.get() > 0) {\n      n.set(1);\n    }\n    if (m.get() > 0) {\n      k.set(1);\n    }\n  }\n}\n", [("java-atomic-check", "high", 4)]),
+    ("java", "class C {\n  public List<Foo> all() {\n    return null;\n  }\n  public Foo one() {\n    return null;\n  }\n}\n", [("java-null-return", "medium", 3)]),
+    ("java", "class parser {\n  private static final int limit = 3;\n  private static final int LIMIT = 3;\n}\nclass Parser {\n}\n", [("java-class-name", "low", 1), ("java-constant-name", "low", 2)]),
+    ("java", "class A {\n  public boolean equals(Object o) { return true; }\n}\nclass B {\n  public int hashCode() { return 1; }\n}\nclass D {\n  public boolean equals(Object o) { return true; }\n  public int hashCode() { return 1; }\n}\n", [("java-equals", "high", 2), ("java-hash-code", "medium", 5)]),
+    ("java", "class C {\n  void a(int b, Map<String, Foo> c, int d, int e, int f, int g) { }\n  void h(int b, Map<String, Foo> c, int d, int e, int f) { }\n}\n", [("java-parameters", "medium", 2)]),
+    ("java", "class C {\n  void a() {\n    for (String s : t) {\n      if (s.matches(\"a+\")) { }\n    }\n    u.matches(\"b+\");\n  }\n}\n", [("java-matches-loop", "medium", 4)]),
+    ("java", "class C {\n  void a() {\n    FileReader r = new FileReader(f);\n    try (FileReader s = new FileReader(f)) { r.read(); }\n  }\n}\n", [("java-resource", "high", 3)]),
+    ("java", "class C {\n  void a() {\n    List<Integer> n = f();\n    for (int i : n) { }\n  }\n}\nclass D {\n  private List<Integer> n;\n}\n", [("java-autoboxing", "medium", 3)]),
+    ("javascript", "function f(xs) {\n  xs.forEach((x) => {\n    el.appendChild(x)\n    el.innerHTML = x\n  })\n  el.appendChild(xs)\n}\n", [("js-dom-loop", "medium", 2)]),
+    ("javascript", "function f() {\n  el.addEventListener('x', g)\n}\nfunction h() {\n  el.addEventListener('x', g)\n  return () => { el.removeEventListener('x', g) }\n}\n", [("js-listener", "medium", 2)]),
+    ("typescript", "function f() {\n  setInterval(() => { g() }, 5)\n}\nfunction h() {\n  const t = setInterval(g, 5)\n  return () => { clearInterval(t) }\n}\n", [("js-interval", "high", 2)]),
+    ("javascript", "const a = 1\nconst b = 2\nconst c = `x ${b} a`\nfoo(c, 'a') // a\n", [("js-unused", "info", 1)]),
+    ("javascript", "a(() => {\n  b(() => {\n    c(() => {\n      d(() => {\n      })\n    })\n  })\n})\n", [("js-callback-depth", "medium", 4)]),
+    ("javascript", "for (const x of xs) {\n  f(JSON.parse(x), JSON.parse(y))\n}\nfor (const x of xs) {\n  f(JSON.parse(x))\n}\n", [("js-loop-expensive", "medium", 1)]),
+    ("javascript", "for (let i = 0; i < n; i++) {\n  out.push(i)\n}\nout.push(9)\n", [("js-push-loop", "low", 1)]),
+    ("javascript", "use(xs.map(f).filter(g))\nuse(xs.map(f))\n", [("js-array-twice", "low", 1)]),
+]
+
 
 def dealt(spark: SparkSession, sf_dir: str, texts: list[str], languages: list[str]) -> DataFrame:
     """``file_path, language, content``: one text for each supplier, by its key, after up to four empty lines."""
