@@ -790,6 +790,14 @@ def t9_block_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check_blocks(f).select("file_path", "check", "severity", F.col("line_start").alias("line"))
 
 
+@query(samples.expected_sql([found for _, found in samples.PATHS], '"check"'))
+def t11_path_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.paths import check_paths
+
+    f = samples.dealt(spark, sf_dir, [text for text, _ in samples.PATHS], ["python"])
+    return check_paths(f).select("file_path", "check", "severity", F.col("line_start").alias("line"))
+
+
 @query(samples.expected_sql([found for *_, found in samples.SCOPES], '"check"'))
 def t10_scope_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.scope_checks import check_scopes

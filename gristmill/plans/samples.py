@@ -123,6 +123,28 @@ SCOPES: list[tuple[str, str, list[tuple[str, str, int]]]] = [
     ("javascript", "use(xs.map(f).filter(g))\nuse(xs.map(f))\n", [("js-array-twice", "low", 1)]),
 ]
 
+#: Python texts with the findings of checks that follow paths.
+PATHS: list[tuple[str, list[tuple[str, str, int]]]] = [
+    ("def f(p):\n    f = open(p)\n    if p:\n        return\n    f.close()\n", [("resource-leak", "high", 2)]),
+    ("def f(p):\n    f = open(p)\n    if p:\n        f.close()\n        return\n    f.close()\n", []),
+    ("def f(p):\n    f = open(p)\n    try:\n        x = f.read()\n    except ValueError:\n        return 0\n    f.close()\n    return x\n", [("resource-leak", "high", 2)]),
+    ("def f(p):\n    f = open(p)\n    try:\n        return f.read()\n    finally:\n        f.close()\n", []),
+    ("def f(p):\n    c = sqlite3.connect(p)\n    while True:\n        if c.ready():\n            break\n    raise E\n", [("resource-leak", "high", 2)]),
+    ("def f(ps):\n    for p in ps:\n        f = open(p)\n    f.close()\n", [("resource-leak", "high", 3)]),
+    ("def f(p):\n    with open(p) as f, closing(socket.socket()) as s:\n        return f.read() + s.recv(1)\n", []),
+    ("def f(p):\n    return json.loads(open(p).read())\n", [("resource-leak", "high", 2)]),
+    ("def f(self, p):\n    f = open(p)\n    self.files.append(f)\n    return f\n", []),
+    ("def f(p):\n    f = None\n    try:\n        f = open(p)\n        g(f)\n    finally:\n        if f is not None:\n            f.close()\n", []),
+    ("def f(p):\n    if p:\n        return 1\n", [("mixed-returns", "medium", 1)]),
+    ("def f(p):\n    if p:\n        return 1\n    raise E\n", []),
+    ("def f(p) -> Optional[int]:\n    if p:\n        return 1\n", []),
+    ("def f(p):\n    while True:\n        if p:\n            return 1\n", []),
+    ("def f(p):\n    match p:\n        case 1:\n            return 2\n        case 2:\n            return\n        case _:\n            return 3\n", [("mixed-returns", "medium", 1)]),
+    ("import threading\nn = 0\ndef f():\n    global n\n    with lock:\n        n += 1\n    n += 2\n", [("shared-state", "medium", 7)]),
+    ("from threading import Lock\ndef f(a):\n    global n\n    lock.acquire()\n    if a:\n        lock.release()\n    n = 1\n", [("shared-state", "medium", 7)]),
+    ("def f():\n    global n\n    n = 1\n", []),
+]
+
 
 def dealt(spark: SparkSession, sf_dir: str, texts: list[str], languages: list[str]) -> DataFrame:
     """``file_path, language, content``: one text for each supplier, by its key, after up to four empty lines."""
