@@ -790,6 +790,54 @@ def t9_block_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check_blocks(f).select("file_path", "check", "severity", F.col("line_start").alias("line"))
 
 
+def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two versions of a tree: texts that lose and gain lines, pages that come, items that go, customers that move."""
+    t = lambda name: tables.table(spark, sf_dir, name)
+    path = lambda folder, key: F.concat(F.lit(folder), F.col(key).cast("string")).alias("file_path")
+    edited = F.expr("array_join(flatten(transform(split(text, '\\n', -1), (x, i) -> CASE WHEN i % 5 = 3 THEN cast(array() AS array<string>) WHEN i % 7 = 2 THEN array(x, concat('new line ', i)) ELSE array(x) END)), '\\n')")
+    d, c = t("documents"), t("customer")
+    old = d.select(path("doc/", "doc_id"), F.col("text").alias("content")).unionByName(t("benchmark").select(path("item/", "item_id"), F.col("text").alias("content"))).unionByName(c.select(path("old/", "c_custkey"), F.col("c_name").alias("content")))
+    new = d.select(path("doc/", "doc_id"), edited.alias("content")).unionByName(t("pages").select(path("page/", "page_id"), F.col("html").alias("content"))).unionByName(c.select(path("new/", "c_custkey"), F.col("c_name").alias("content")))
+    return old, new
+
+
+_EDITED = """array_to_string(flatten(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 5 = 3 THEN [] WHEN (i - 1) % 7 = 2 THEN [x, 'new line ' || CAST(i - 1 AS VARCHAR)] ELSE [x] END)), chr(10))"""
+
+
+@query(f"""SELECT 'doc/' || CAST(doc_id AS VARCHAR) AS file_path, CASE WHEN coalesce(text, '') = coalesce({_EDITED}, '') THEN 'unchanged' ELSE 'modified' END AS status, CAST(NULL AS VARCHAR) AS old_path,
+  CASE WHEN coalesce(text, '') <> coalesce({_EDITED}, '') THEN md5({_EDITED}) END AS digest FROM documents
+UNION ALL SELECT 'page/' || CAST(page_id AS VARCHAR), 'added', NULL, md5(coalesce(html, '')) FROM pages UNION ALL SELECT 'item/' || CAST(item_id AS VARCHAR), 'deleted', NULL, NULL FROM benchmark
+UNION ALL SELECT 'new/' || CAST(c_custkey AS VARCHAR), 'renamed', 'old/' || CAST(c_custkey AS VARCHAR), NULL FROM customer""")
+def s9_diff_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each file, and the new text of each changed one, made of the old text and the hunks."""
+    from ..operators import diffs
+
+    old, new = _versions(spark, sf_dir)
+    made = diffs.apply_hunks(old, diffs.diff_files(old, new, context=3)).select(F.col("file_path").alias("_path"), F.md5("content").alias("digest"))
+    c = diffs.file_changes(old, new)
+    return c.join(made, c["file_path"] == F.col("_path"), "left").select("file_path", "status", "old_path", "digest")
+
+
+@query(f"""SELECT 'doc/' || CAST(doc_id AS VARCHAR) AS file_path, false AS is_new, false AS is_deleted, true AS has_changes FROM documents WHERE coalesce(text, '') <> coalesce({_EDITED}, '')
+UNION ALL SELECT 'page/' || CAST(page_id AS VARCHAR), true, false, true FROM pages UNION ALL SELECT 'item/' || CAST(item_id AS VARCHAR), false, true, true FROM benchmark""")
+def s10_diff_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import diffs
+
+    return diffs.diff_flags(diffs.unified(diffs.diff_files(*_versions(spark, sf_dir)))).select("file_path", "is_new", "is_deleted", "has_changes")
+
+
+@query("""SELECT 'p' || CAST(p_partkey AS VARCHAR) AS file_path, count(*) OVER w AS members, min('p' || CAST(p_partkey AS VARCHAR)) OVER w AS first_key FROM part WINDOW w AS (PARTITION BY p_size % 7)
+QUALIFY members > 1""")
+def d6_clone_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions of seven shapes, every name of them different in every file."""
+    from ..operators import fingerprints
+
+    k, shape = F.col("p_partkey").cast("string"), (F.col("p_size") % 7).cast("string")
+    code = F.concat(F.lit("def f"), k, F.lit("(a"), k, F.lit("):\n    b"), k, F.lit(" = a"), k, F.lit(" + "), shape, F.lit("\n    return print(b"), k, F.lit(" * 2)\n"))
+    f = tables.table(spark, sf_dir, "part").select(F.concat(F.lit("p"), k).alias("file_path"), F.lit("python").alias("language"), code.alias("content"))
+    return fingerprints.clone_members(fingerprints.fingerprints(f)).select("file_path", "members", "first_key")
+
+
 @query(samples.expected_sql([found for _, found in samples.PATHS], '"check"'))
 def t11_path_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.paths import check_paths
