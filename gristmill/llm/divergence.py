@@ -1,10 +1,10 @@
 """How far the sources of a language differ in the terms they use.
 
-Terms become integers. Partial counts of (lang, source, term) are range-partitioned and sorted by
-(lang, term), so a task holds whole terms; it cuts them into chunks, finds the terms that stay, and
-keeps them as a sorted array: a term's id is its place there (searchsorted), and so ids keep UTF-8
-order. Counts of a chunk become one dense vector a source (bincount by id). With the totals known,
-the chunks are compared one by one: whole columns of numbers, exact in 64 bits, ties broken by id.
+Terms become integers. Partial counts of (lang, term) by source are dealt out by term and sorted, so that a
+task holds whole terms; it cuts them into chunks, finds the terms that stay, and keeps them as a sorted
+array: a term's id is its place there (searchsorted), and so ids keep UTF-8 order. Counts of a chunk become
+one dense vector a source (bincount by id). With the totals known, the chunks are compared one by one:
+whole columns of numbers, exact in 64 bits, ties broken by id.
 """
 
 from __future__ import annotations
@@ -15,20 +15,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SMALL_ROWS, bound_batches, drop_stored, store, stored_bytes, width
+from .common import SMALL_ROWS, bound_batches, drop_stored, store
 from .kernels import PIECE, pieces
 
 _TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 _GAP = re.compile(rb"[^A-Za-z\x80-\xff]")
-#: Terms that a task counts before it hands them on, distinct terms of a chunk, rows of it held at a time.
-HELD, CHUNK, ROWS = 400_000, 4096, 200_000
+#: Terms that a task counts before it hands them on, and kept terms of a chunk.
+HELD, CHUNK = 500_000, 4096
 #: Ten to the ninth in steps that keep 64-bit products exact up to 9 * 10^15 occurrences.
 _STEP, _STEPS = 1000, 3
 
-_COUNTS = "lang string, source string, term binary, docs long, n long"
+_COUNTS = "key binary, source string, docs long, n long"
 _CHUNKS = "lang string, terms array<binary>, sources array<string>, counts array<long>"
 _VALUES = "lang string, source string, part string, item string, value long"
 
@@ -47,9 +48,10 @@ def _add(text: bytes, total: Counter, docs: Counter) -> None:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """``lang, source, term, docs, n``: in how many documents of a source a term stands, and how often; rows of one term are to be added up.
+    """``key, source, docs, n``: in how many documents of a source a term stands, and how often; rows of one term are to be added up.
 
-    A task hands on what it holds when that grows past HELD terms and at its end.
+    ``key`` is the language, a null byte and the term, which has none: one column to sort by. A task hands on what it holds
+    when that grows past HELD terms and at its end.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,11 +59,11 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
         def handed() -> Iterator[pa.RecordBatch]:
             for (lang, source), (total, found) in held.items():
-                terms = list(total)
+                start, terms = lang.encode() + b"\0", list(total)
                 for k in range(0, len(terms), 1 << 14):
                     part = terms[k : k + (1 << 14)]
-                    cols = [pa.array([lang] * len(part)), pa.array([source] * len(part)), pa.array(part, pa.binary()), pa.array([found[t] for t in part], pa.int64()), pa.array([total[t] for t in part], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(cols, ["lang", "source", "term", "docs", "n"])
+                    cols = [pa.array([start + t for t in part], pa.binary()), pa.array([source] * len(part)), *(pa.array(np.fromiter(map(c.__getitem__, part), np.int64, len(part))) for c in (found, total))]
+                    yield pa.RecordBatch.from_arrays(cols, ["key", "source", "docs", "n"])
             held.clear()
 
         for batch in batches:
@@ -77,66 +79,85 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "source", "text").mapInArrow(run, _COUNTS)
 
 
-def _encoded(rows: list[tuple], least_docs: int) -> pa.RecordBatch | None:
-    """A chunk of one language from its counts (source, term, docs, n) in order of terms; nothing if no term stays."""
-    lang = rows[0][0]
-    terms = np.empty(len(rows), object)
-    terms[:] = [r[2] for r in rows]
-    docs, n = (np.array([r[k] for r in rows], np.int64) for k in (3, 4))
-    every = terms[np.concatenate(([True], terms[1:] != terms[:-1]))]
-    spread = np.zeros(len(every), np.int64)
-    np.add.at(spread, np.searchsorted(every, terms), docs)
-    kept = every[spread >= least_docs]
-    if not len(kept):
-        return None
-    ids = np.searchsorted(kept, terms)
-    stays = kept[np.minimum(ids, len(kept) - 1)] == terms
-    names = sorted({r[1] for r in rows})
-    source = np.searchsorted(np.array(names, object), np.array([r[1] for r in rows], object))
-    # Halves of 32 bits: bincount adds floats, which are exact up to 2^53.
-    cell, weight = (source * len(kept) + ids)[stays], n[stays]
-    low, high = (np.bincount(cell, w, len(names) * len(kept)).astype(np.int64) for w in (weight & 0xFFFFFFFF, weight >> 32))
-    cols = [pa.array([lang]), pa.array([list(kept)], pa.list_(pa.binary())), pa.array([names], pa.list_(pa.string())), pa.array([low + (high << 32)], pa.list_(pa.int64()))]
-    return pa.RecordBatch.from_arrays(cols, ["lang", "terms", "sources", "counts"])
+def _kept(rows: pa.Table, least_docs: int) -> tuple[list[bytes], pa.ChunkedArray, np.ndarray, np.ndarray]:
+    """The terms of sorted ``rows`` that stay, in order; and the sources, ids and counts of their rows."""
+    key = rows.column("key").combine_chunks()
+    starts = np.concatenate(([0], np.flatnonzero(pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)) + 1))
+    spread = np.add.reduceat(rows.column("docs").to_numpy(), starts)
+    stays = spread >= least_docs
+    row_stays = np.repeat(stays, np.diff(np.append(starts, len(key))))
+    at = np.flatnonzero(row_stays)
+    ids = np.searchsorted(starts[stays], at, "right") - 1
+    return key.take(pa.array(starts[stays])).to_pylist(), rows.column("source").take(pa.array(at)), ids, rows.column("n").to_numpy()[at]
+
+
+class _Chunks:
+    """Kept terms of one language, with their counts by source, until there are enough for a chunk."""
+
+    def __init__(self, chunk: int) -> None:
+        self.chunk, self.lang = chunk, b""
+        self.clear()
+
+    def clear(self) -> None:
+        self.terms, self.sources, self.ids, self.counts = [], [], [], []
+
+    def add(self, keys: list[bytes], sources: pa.ChunkedArray, ids: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        langs = [k[: k.rindex(b"\0")] for k in keys]
+        at = 0
+        while at < len(keys):
+            if langs[at] != self.lang:
+                yield from self.made()
+                self.lang = langs[at]
+            end = at + 1
+            while end < len(keys) and end - at + len(self.terms) < self.chunk and langs[end] == self.lang:
+                end += 1
+            a, b = np.searchsorted(ids, (at, end))
+            self.ids.append(ids[a:b] - at + len(self.terms))
+            self.sources += sources.slice(a, b - a).to_pylist()
+            self.counts.append(counts[a:b])
+            self.terms += [k[len(self.lang) + 1 :] for k in keys[at:end]]
+            at = end
+            if len(self.terms) >= self.chunk:
+                yield from self.made()
+
+    def made(self) -> Iterator[pa.RecordBatch]:
+        if self.terms:
+            names, source = np.unique(np.array(self.sources, object), return_inverse=True)
+            cell, n, size = source * len(self.terms) + np.concatenate(self.ids), np.concatenate(self.counts), len(names) * len(self.terms)
+            # Halves of 32 bits: bincount adds floats, which are exact up to 2^53.
+            low, high = (np.bincount(cell, w, size).astype(np.int64) for w in (n & 0xFFFFFFFF, n >> 32))
+            cols = [pa.array([self.lang.decode()]), pa.array([self.terms], pa.list_(pa.binary())), pa.array([names.tolist()], pa.list_(pa.string())), pa.array([low + (high << 32)], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["lang", "terms", "sources", "counts"])
+        self.clear()
 
 
 def term_chunks(counts: DataFrame, least_docs: int, chunk: int = CHUNK) -> DataFrame:
     """Chunks of the kept terms: ``lang, terms, sources, counts`` (a dense vector for each source, one after another).
 
-    ``counts`` is a stored table of ``term_counts``. A term stays if at least ``least_docs`` documents of
-    its language hold it. A chunk spans at most ``chunk`` distinct terms; all rows of a term are in one.
+    ``counts`` has rows as ``term_counts`` gives them. A term stays if at least ``least_docs`` documents of
+    its language hold it. A chunk is at most ``chunk`` kept terms of a language in order; all rows of a term are in one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        last, distinct, most = None, 0, ROWS
-
-        def folded() -> list[tuple]:
-            sums: dict[tuple, list[int]] = {}
-            for lang, source, term, docs, n in held:
-                s = sums.setdefault((lang, source, term), [0, 0])
-                s[0] += docs
-                s[1] += n
-            return [(*k, *v) for k, v in sums.items()]
-
+        out, rest = _Chunks(chunk), None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != (last and last[0]) or row[2] != last[1]:
-                    if held and (distinct == chunk or row[0] != last[0]):
-                        if (out := _encoded(held, least_docs)) is not None:
-                            yield out
-                        held, distinct, most = [], 0, ROWS
-                    last = row[0], row[2]
-                    distinct += 1
-                held.append(row)
-                if len(held) > most:  # a frequent term has a row for each task and source
-                    held = folded()
-                    most = max(ROWS, 2 * len(held))
-        if held and (out := _encoded(held, least_docs)) is not None:
-            yield out
-
-    ordered = counts.repartitionByRange(width(counts.sparkSession, stored_bytes(counts)), "lang", "term").sortWithinPartitions("lang", "term")
-    return ordered.mapInArrow(run, _CHUNKS)
+            rows = pa.Table.from_batches([batch])
+            if rest is not None:
+                rows = pa.concat_tables([rest, rows])
+            if not rows.num_rows:
+                continue
+            # The last term may go on in the next batch; its rows are added up meanwhile.
+            key = rows.column("key")
+            last = pc.equal(key, key[-1]).to_numpy()
+            first = int(len(last) - np.count_nonzero(last))
+            rest = rows.slice(first).group_by(["key", "source"]).aggregate([("docs", "sum"), ("n", "sum")]).rename_columns(["key", "source", "docs", "n"])
+            if first:
+                yield from out.add(*_kept(rows.slice(0, first), least_docs))
+        if rest is not None:
+            yield from out.add(*_kept(rest, least_docs))
+        yield from out.made()
+
+    return counts.repartition("key").sortWithinPartitions("key").mapInArrow(run, _CHUNKS)
 
 
 def shares(count: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -193,9 +214,7 @@ def source_divergence(docs: DataFrame, least_docs: int = 10, top: int = 10) -> D
     square of a language's sources, as asked for; all else grows with terms and documents.
     """
     d = docs.select(*(F.coalesce(x, F.lit("")).alias(x) for x in ("lang", "source", "text")))
-    counts = store(term_counts(d), "terms")
-    chunks = store(term_chunks(counts, least_docs), "chunks")
-    drop_stored(counts)
+    chunks = store(term_chunks(term_counts(d), least_docs), "chunks")
     sums = F.expr("transform(sources, (s, i) -> struct(s AS source, aggregate(slice(counts, i * size(terms) + 1, size(terms)), 0L, (a, x) -> a + x) AS n))")
     held = chunks.select("lang", F.explode(sums).alias("s")).groupBy("lang", F.col("s.source").alias("source")).agg(F.sum("s.n").alias("n"))
     groups = store(d.groupBy("lang", "source").agg(F.lit(0).cast("long").alias("n")).unionByName(held).groupBy("lang", "source").agg(F.sum("n").alias("n")), "groups")
@@ -210,8 +229,11 @@ def source_divergence(docs: DataFrame, least_docs: int = 10, top: int = 10) -> D
 
     # A language's array has a row of the limit for each source.
     side = F.broadcast(langs) if groups.count() <= SMALL_ROWS else langs.hint("merge")
-    found = chunks.join(side, "lang").mapInArrow(run, _VALUES)
+    found = store(chunks.join(side, "lang").mapInArrow(run, _VALUES), "values")
     pairs = langs.select("lang", "groups.source", F.explode("groups.source").alias("item")).select("lang", F.explode("source").alias("source"), F.lit("pair").alias("part"), "item", F.lit(0).cast("long").alias("value"))
-    values = found.unionByName(pairs.where("source != item")).groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
-    order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
-    return values.withColumn("rank", F.row_number().over(order)).where((F.col("part") == "pair") | (F.col("rank") <= top))
+    pairs = found.where("part = 'pair'").unionByName(pairs.where("source != item")).groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
+    rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
+    terms = found.where("part = 'term'").withColumn("rank", rank).where(F.col("rank") <= top)
+    out = store(pairs.withColumn("rank", rank).unionByName(terms), "divergence")
+    drop_stored(chunks, groups, langs, found)
+    return out

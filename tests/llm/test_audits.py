@@ -152,7 +152,7 @@ def plain_divergence(docs, least_docs, top):
 
 @pytest.mark.parametrize("chunk", [3, 4096])
 def test_divergence_against_a_loop(spark, monkeypatch, chunk):
-    for name, value in (("CHUNK", chunk), ("HELD", 50), ("ROWS", 40), ("PIECE", 64)):
+    for name, value in (("HELD", 50), ("PIECE", 64)):
         monkeypatch.setattr(divergence, name, value)
     monkeypatch.setattr(divergence.term_chunks, "__defaults__", (chunk,))
     r = random.Random(9)
