@@ -6,10 +6,12 @@ a document that keeps too little of its words is rejected, as is one that fails
 
 Copied documents must not turn their own lines into boilerplate; copies are the business of
 deduplication. So a line is counted twice. First exact copies of a text count as one document; what is
-above the limits then is a candidate. A document that candidates nearly fill may be a near copy: with
-all others whose longest candidate line is the same it counts as one document when candidates are
-counted again. Lines that stand in many otherwise different documents stay above the limits, lines
-that always come with the same rest of a text do not.
+above the limits then is a candidate. A line whose first or last five words are those of a candidate is
+an edited candidate. A document of which both hold as much as two texts of similarity 0.8 have in
+common, 8 of 9 words, may be a near copy: with all others whose longest candidate line is the same it
+counts as one document when candidates are counted again. Lines that stand in many otherwise different
+documents stay above the limits, even if little else stands there; lines that always come with the same
+rest of a text do not.
 
 DataFrame functions only: no Python runs on the executors.
 """
@@ -31,10 +33,14 @@ _REPEAT = """CASE WHEN size(h) = size(array_distinct(h)) THEN 0L ELSE
       aggregate(transform(q, (x, i) -> least(3L, coalesce(get(q, i + 1) - x, 3L))), 0L, (a, x) -> a + x))[0])[0] END"""
 
 
+#: Words at a line's ends that tell an edited line.
+ENDS = 5
+
+
 def document_stats(docs: DataFrame, host: str = "source", whole: bool = False) -> DataFrame:
-    """One row per row of ``docs``: base figures and ``lines``, an array of (hash, words, index, first).
+    """One row per row of ``docs``: base figures and ``lines``, an array of (hash, words, index, head, tail, first).
 
-    Words are runs of anything but ASCII white space; a null text has none. ``first`` marks a line's
+    ``head`` and ``tail`` are hashes of a line's first and last ENDS words. Words are runs of anything but ASCII white space; a null text has none. ``first`` marks a line's
     first occurrence in its document; only lines with a word count. With ``whole`` there is a column
     ``row``, too: all columns of ``docs``.
     """
@@ -50,8 +56,9 @@ def document_stats(docs: DataFrame, host: str = "source", whole: bool = False) -
         F.expr(rf"filter(split(text, '\n', -1), l -> l rlike '{_WORD_SQL}')").alias("ls"),
         F.expr("CASE WHEN size(w) < 3 THEN array() ELSE transform(sequence(0L, size(w) - 3L), i -> xxhash64(get(w, cast(i as int)), get(w, cast(i + 1 as int)), get(w, cast(i + 2 as int)))) END").alias("h"),
     )
-    lines = rf"""transform(array(transform(ls, (l, i) -> struct(xxhash64({_LINE}) AS h, i AS i, cast(regexp_count(l, '{_WORD_SQL}') AS long) AS words))), a ->
-        transform(array(sort_array(a)), s -> transform(s, (x, i) -> struct(x.h AS h, x.words AS words, x.i AS i, NOT coalesce(get(s, i - 1).h = x.h, false) AS first)))[0])[0]"""
+    lines = rf"""transform(array(transform(transform(ls, l -> split({_LINE}, ' ')), (n, i) -> struct(xxhash64(array_join(n, ' ')) AS h, i AS i, cast(size(n) AS long) AS words,
+        xxhash64(slice(n, 1, {ENDS})) AS head, xxhash64(slice(n, greatest(size(n) - {ENDS - 1}, 1), {ENDS})) AS tail))), a ->
+        transform(array(sort_array(a)), s -> transform(s, (x, i) -> struct(x.h AS h, x.words AS words, x.i AS i, x.head AS head, x.tail AS tail, NOT coalesce(get(s, i - 1).h = x.h, false) AS first)))[0])[0]"""
     return d.select(
         "doc_id", "host", "text_hash", *keep, "n_words", "word_chars", "n_symbols",
         F.expr("cast(size(ls) - size(array_distinct(ls)) as long)").alias("n_dup_lines"),
@@ -61,49 +68,51 @@ def document_stats(docs: DataFrame, host: str = "source", whole: bool = False) -
 
 
 def frequent_lines(units: DataFrame, hosts: DataFrame, least_docs: int, host_share: float) -> DataFrame:
-    """``host, frequent``: hashes of the lines that stand in more than ``least_docs`` units and ``host_share`` of a host's documents.
+    """``host, frequent, heads, tails``: hashes of the lines that stand in more than ``least_docs`` units and ``host_share`` of a host's documents, and of their ends.
 
-    ``units`` has rows (host, unit, h), repeated or not: a line and what counts as one document;
+    ``units`` has rows (host, unit, h, head, tail), repeated or not: a line and what counts as one document;
     ``hosts`` the number of documents. A host's documents hold at most (lines of a document on
-    average) / ``host_share`` such lines, so a host's array is short whatever its size.
+    average) / ``host_share`` such lines, so a host's arrays are short whatever its size.
     """
+    ends = [F.min(x).alias(x) for x in ("head", "tail")]
     # Copies fall together first, then each line's units are counted; both steps combine before they shuffle.
-    counts = units.groupBy("host", "h", "unit").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > least_docs)
+    counts = units.groupBy("host", "h", "unit").agg(*ends).groupBy("host", "h").agg(F.count("*").alias("n"), *ends).where(F.col("n") > least_docs)
     counts = counts.join(small_side(hosts.toDF("host2", "docs")), F.col("host").eqNullSafe(F.col("host2")))
-    return counts.where(F.col("n") > host_share * F.col("docs")).groupBy("host").agg(F.collect_list("h").alias("frequent"))
+    return counts.where(F.col("n") > host_share * F.col("docs")).groupBy("host").agg(F.collect_list("h").alias("frequent"), F.collect_list("head").alias("heads"), F.collect_list("tail").alias("tails"))
 
 
 def _with_arrays(stats: DataFrame, often: DataFrame) -> DataFrame:
-    """``stats`` with its host's array ``frequent``, null where it has none."""
-    # A host's array counts as a hundred rows of the limit.
-    often = small_side(often.toDF("host2", "frequent"), SMALL_ROWS // 100)
+    """``stats`` with its host's arrays, null where it has none."""
+    # A host's arrays count as a hundred rows of the limit.
+    often = small_side(often.withColumnRenamed("host", "host2"), SMALL_ROWS // 100)
     return stats.join(often, stats["host"].eqNullSafe(F.col("host2")), "left").drop("host2")
 
 
 def boilerplate(stats: DataFrame, least_docs: int, host_share: float, copy_pct: int) -> DataFrame:
-    """``host, frequent`` as above, near copies counted as one: documents of which candidates hold more than ``copy_pct`` per cent of the words and whose longest candidate line (the first of equals) is the same."""
+    """``host, frequent, heads, tails`` as above, near copies counted as one (see the module): ``copy_pct`` is the similarity, in per cent, from which documents are copies."""
     hosts = store(stats.groupBy("host", "text_hash").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("docs")), "hosts")
-    first = stats.select("host", F.col("text_hash").alias("unit"), F.explode("lines").alias("l")).where("l.first").select("host", "unit", F.col("l.h").alias("h"))
+    line = [F.col(f"l.{x}").alias(x) for x in ("h", "head", "tail")]
+    first = stats.select("host", F.col("text_hash").alias("unit"), F.explode("lines").alias("l")).where("l.first").select("host", "unit", *line)
     candidates = store(frequent_lines(first, hosts, least_docs, host_share), "candidates")
     held = _with_arrays(stats.select("host", "text_hash", "n_words", "lines"), candidates).where("frequent IS NOT NULL")
-    held = held.withColumn("lines", F.expr("filter(lines, l -> array_contains(frequent, l.h))")).where("size(lines) > 0")
-    longest = F.expr("array_max(transform(lines, l -> struct(l.words AS words, -l.i AS at, l.h AS h))).h")
-    filled = 100 * F.expr("aggregate(lines, 0L, (a, l) -> a + l.words)") > copy_pct * F.col("n_words")
-    units = held.select("host", F.when(filled, longest).otherwise(F.col("text_hash")).alias("unit"), F.explode("lines").alias("l")).where("l.first").select("host", "unit", F.col("l.h").alias("h"))
+    held = held.withColumn("own", F.expr("filter(lines, l -> array_contains(frequent, l.h))")).where("size(own) > 0")
+    longest = F.expr("array_max(transform(own, l -> struct(l.words AS words, -l.i AS at, l.h AS h))).h")
+    common = F.expr("aggregate(filter(lines, l -> array_contains(frequent, l.h) OR array_contains(heads, l.head) OR array_contains(tails, l.tail)), 0L, (a, l) -> a + l.words)")
+    copied = (100 + copy_pct) * common >= 2 * copy_pct * F.col("n_words")
+    units = held.select("host", F.when(copied, longest).otherwise(F.col("text_hash")).alias("unit"), F.explode("own").alias("l")).where("l.first").select("host", "unit", *line)
     out = store(frequent_lines(units, hosts, least_docs, host_share), "frequent")
     drop_stored(hosts, candidates)
     return out
 
 
-def quality_verdicts(docs: DataFrame, host: str = "source", least_docs: int = 20, host_share: float = 0.05, least_words: int = 50, most_repeat_pct: int = 50, most_removed_pct: int = 80, whole: bool = False) -> DataFrame:
+def quality_verdicts(docs: DataFrame, host: str = "source", least_docs: int = 20, host_share: float = 0.05, least_words: int = 50, most_repeat_pct: int = 50, most_removed_pct: int = 80, copy_pct: int = 80, whole: bool = False) -> DataFrame:
     """Verdict on each row of ``docs`` (doc_id, text, ``host``), which may have further columns.
 
     Returns doc_id, host, text_hash, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, removed_words, removed_lines (hashes), kept, and with ``whole`` the columns of
     ``docs`` as ``row``. ``base_failed``: under ``least_words`` words or more than ``most_repeat_pct``
     per cent of words in repeated 3-word windows. A document is depleted if frequent lines hold more
-    than ``most_removed_pct`` per cent of its words or leave it under ``least_words`` words; the same
-    share makes a document of candidates a near copy (see the module). Null or
+    than ``most_removed_pct`` per cent of its words or leave it under ``least_words`` words. Null or
     empty texts have no words and fail; a null host is a host of its own; equal rows get equal
     verdicts; an empty table gives an empty result.
 
@@ -111,9 +120,9 @@ def quality_verdicts(docs: DataFrame, host: str = "source", least_docs: int = 20
     come back to its documents.
     """
     stats = store(document_stats(docs, host, whole), "stats")
-    out = _with_arrays(stats, boilerplate(stats, least_docs, host_share, most_removed_pct))
+    out = _with_arrays(stats, boilerplate(stats, least_docs, host_share, copy_pct))
     gone = F.expr("coalesce(array_intersect(transform(lines, l -> l.h), frequent), cast(array() AS array<bigint>))")
-    out = out.withColumn("removed_lines", gone).drop("frequent")
+    out = out.withColumn("removed_lines", gone).drop("frequent", "heads", "tails")
     out = out.withColumn("removed_words", F.expr("aggregate(filter(lines, l -> array_contains(removed_lines, l.h)), 0L, (a, l) -> a + l.words)")).drop("lines")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat_pct * F.col("n_words"))
     depleted = (F.col("removed_words") > 0) & ((100 * F.col("removed_words") > most_removed_pct * F.col("n_words")) | (F.col("n_words") - F.col("removed_words") < least_words))

@@ -187,8 +187,10 @@ l AS (SELECT rid, source, t, x, i, lower(trim(regexp_replace(x, '[ 	-
 ]+', ' ', 'g'), ' ')) AS n, len(regexp_extract_all(x, {_WORDS})) AS words FROM (SELECT rid, source, t, unnest(string_split(t, chr(10))) AS x, unnest(range(len(string_split(t, chr(10))))) AS i FROM b) WHERE regexp_matches(x, {_WORDS})),
 h AS (SELECT source, count(DISTINCT t) AS docs FROM d GROUP BY source),
 a AS (SELECT l.source, l.n FROM l JOIN h ON l.source IS NOT DISTINCT FROM h.source GROUP BY l.source, l.n, h.docs HAVING count(DISTINCT l.t) > 20 AND count(DISTINCT l.t) > 0.05 * h.docs),
+e AS (SELECT source, n, string_split(n, ' ')[1:5] AS head, string_split(n, ' ')[-5:] AS tail FROM a),
+k AS (SELECT rid, sum(words) AS w FROM l WHERE EXISTS (SELECT 1 FROM e WHERE e.source IS NOT DISTINCT FROM l.source AND (e.n = l.n OR e.head = string_split(l.n, ' ')[1:5] OR e.tail = string_split(l.n, ' ')[-5:])) GROUP BY rid),
 q AS (SELECT l.* FROM l JOIN a ON l.n = a.n AND l.source IS NOT DISTINCT FROM a.source),
-y AS (SELECT q.rid, CASE WHEN 100 * sum(words) > 80 * any_value(len(ws)) THEN 'n' || arg_max(q.n, struct_pack(w := words, p := -i)) ELSE 't' || any_value(b.t) END AS unit FROM q JOIN b USING (rid) GROUP BY q.rid),
+y AS (SELECT q.rid, CASE WHEN 9 * any_value(k.w) >= 8 * any_value(len(ws)) THEN 'n' || arg_max(q.n, struct_pack(w := words, p := -i)) ELSE 't' || any_value(b.t) END AS unit FROM q JOIN b USING (rid) JOIN k USING (rid) GROUP BY q.rid),
 f AS (SELECT q.source, q.n FROM q JOIN y USING (rid) JOIN h ON q.source IS NOT DISTINCT FROM h.source GROUP BY q.source, q.n, h.docs HAVING count(DISTINCT unit) > 20 AND count(DISTINCT unit) > 0.05 * h.docs),
 m AS (SELECT rid, sum(words) AS gone FROM l JOIN f ON l.n = f.n AND l.source IS NOT DISTINCT FROM f.source GROUP BY rid),
 u AS (SELECT rid, count(*) - count(DISTINCT x) AS n FROM l GROUP BY rid),

@@ -284,6 +284,10 @@ def test_near_copies_do_not_make_their_lines_boilerplate(spark):
     left = {r["doc_id"]: r["text"] for r in line_quality.quality_filter(docs).collect()}
     assert all(left[i] == rows[2 * i][1] and notice not in left[1000 + i] for i in range(120))
 
+    against_sql(docs, got)
+
+
+def against_sql(docs, got):
     import duckdb
 
     from gristmill.llm import queries
@@ -295,6 +299,36 @@ def test_near_copies_do_not_make_their_lines_boilerplate(spark):
     assert {i: (r["kept"], r["removed_words"]) for i, r in got.items()} == {i: (bool(r.kept), r.removed_words) for i, r in want.iterrows()}
 
 
+def test_depleted_documents_are_rejected(spark):
+    """Pages of a hundred words that all share, in three lines, and twenty of their own; ordinary ones beside them."""
+    shared = [words(34, 1, 5000), words(33, 2, 5000), words(33, 3, 5000)]
+    rows = [(i, "\n".join([*shared, words(20, 100 + i, 5000)]), None, "host", 1, "", 1, 1, 1, 1.0) for i in range(200)]
+    rows += [(1000 + i, "\n".join(words(20, 9000 + 7 * i + k, 5000) for k in range(5)), None, "host", 1, "", 1, 1, 1, 1.0) for i in range(100)]
+    docs = table(spark, rows)
+    got = {r["doc_id"]: r for r in line_quality.quality_verdicts(docs).collect()}
+    assert not any(got[i]["kept"] for i in range(200)) and {got[i]["removed_words"] for i in range(200)} == {100}
+    assert all(got[1000 + i]["kept"] and not got[1000 + i]["removed_words"] for i in range(100))
+    against_sql(docs, got)
+
+
+def test_edited_copies_are_copies(spark):
+    """Copies of five lines in each of which one word is changed, left out or put in: no line of theirs is boilerplate."""
+    import random
+
+    r = random.Random(12)
+    body = [words(16, 700 + k, 5000).split() for k in range(5)]
+    rows = []
+    for i in range(150):
+        copy = [list(line) for line in body]
+        line, at = copy[i % 5], r.randrange(16)
+        line[at : at + (i % 3 != 2)] = [] if i % 3 == 1 else [f"edit{i}"]
+        rows.append((i, "\n".join(map(" ".join, copy)), None, "host", 1, "", 1, 1, 1, 1.0))
+    docs = table(spark, rows)
+    got = {r["doc_id"]: r for r in line_quality.quality_verdicts(docs).collect()}
+    assert all(x["kept"] and not x["removed_words"] for x in got.values())
+    against_sql(docs, got)
+
+
 def test_license_places(spark):
     notice = license_scan.NOTICES[0].text
     texts = ["Under the MIT License, and under the mit license", "x Apache License, Version 2.0", "CC BY-NC cc.by.nc", "under the mit licenses", "mıt under the mİt license", "under the Kit license", notice.upper(), "permission is hereby granted free of charge to nobody", "", None, "all rights\nreserved", "été cc by nc"]
@@ -348,12 +382,15 @@ def test_language_filter_rejects_what_no_language_explains(spark):
     junk = [(-1 - k, " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 10))) for _ in range(90)), None) for k in range(20)]
     other = [(-100 - k, x["text"], None) for k, x in enumerate(d.where("lang = 'es'").limit(20).collect())]
     clean = [(-200 - k, x["text"], None) for k, x in enumerate(d.where("lang = 'fr'").limit(20).collect())]
-    halves = {x: d.where(d.lang == x).orderBy(d.text.desc()).first()["text"] for x in ("en", "de", "fr")}
-    size = min(map(len, halves.values()))
-    soup = [(-300, "\n".join(t[:size] for t in halves.values()), None)]
-    rows = d.where("lang <> 'es'").unionByName(spark.createDataFrame(junk + other + clean + soup, d.schema))
+    # Texts of two learned languages, 50 to 50 up to 90 to 10, and of three.
+    texts = {x: [t["text"] for t in d.where((d.lang == x) & d["text"].rlike("(?s)^.{800}")).orderBy("doc_id").limit(40).collect()] for x in ("en", "de", "fr")}
+    mixed = [(-300 - 10 * k - j, f"{a[:8 * share]}\n{b[:800 - 8 * share]}", None) for k, (a, b) in enumerate(zip(texts["en"], texts["de"], strict=False)) for j, share in enumerate((50, 60, 70, 90))]
+    mixed += [(-2000 - k, "\n".join(t[:400] for t in three), None) for k, three in enumerate(zip(*texts.values(), strict=False))]
+    assert len(mixed) >= 100
+    rows = d.where("lang <> 'es'").unionByName(spark.createDataFrame(junk + other + clean + mixed, d.schema))
     left = {x["doc_id"]: x["lang"] for x in langid.language_filter(rows).collect() if x["doc_id"] < 0}
-    assert left == {i: "fr" for i, _, _ in clean}
+    assert set(left) == {i for i, _, _ in clean + mixed}
+    assert all(left[i] == "fr" for i, _, _ in clean) and all(left[i] in texts for i, _, _ in mixed)
 
 
 def plain_katz(rows, order):
@@ -510,11 +547,13 @@ def test_mixtures_against_plain_em(spark, monkeypatch):
     for i in range(len(texts)):
         want = plain_mixture(bins[at[i] : at[i + 1]].tolist(), model.log_p)
         assert np.allclose([want.get(j, 0.0) for j in range(len(model.langs))], whole[0][i], atol=1e-6)
-    sure = langid.leads(bins, at, whole[0], model)
+        units = [bins[k : min(k + langid.UNIT, at[i + 1])] for k in range(at[i], at[i + 1], langid.UNIT)]
+        with np.errstate(divide="ignore"):
+            plain = sum(np.logaddexp.reduce([np.log(whole[0][i, j]) + model.log_p[u, j].astype(float).sum() for j in range(len(model.langs))]) for u in units)
+        assert not units or abs(plain / (at[i + 1] - at[i]) + np.log(langid.BINS) - whole[2][i]) < 1e-6
     monkeypatch.setattr(langid, "SLICE", 3)  # long texts are looked up in slices
     sliced = langid.mixtures(bins, at, model)
-    assert np.allclose(whole[0], sliced[0]) and np.allclose(whole[1], sliced[1])
-    assert (sure == langid.leads(bins, at, whole[0], model)).all()
+    assert all(np.allclose(x, y) for x, y in zip(whole, sliced, strict=True))
 
 
 def test_long_text_without_white_space():
