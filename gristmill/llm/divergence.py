@@ -170,32 +170,38 @@ def shares(count: np.ndarray, size: np.ndarray) -> np.ndarray:
     return 1 + out
 
 
-def _compared(row: dict, top: int) -> pa.RecordBatch:
-    """What a chunk adds to each pair of sources, and each source's first terms in it."""
-    names = [s["source"] for s in row["groups"]]
-    size = len(row["terms"])
-    counts = np.zeros((len(names), size), np.int64)
-    counts[np.searchsorted(np.array(names, object), np.array(row["sources"], object))] = np.asarray(row["counts"], np.int64).reshape(-1, size)
-    n = np.array([s["n"] for s in row["groups"]], np.int64)[:, None]
-    p = shares(counts + 2, n + 2 * row["v"])
-    q = shares(counts.sum(0) + 2, n.sum() + 2 * row["v"])
-    source, part, item, value = [], [], [], []
-    for a, name in enumerate(names):
-        f = ((p[a] - p[a + 1 :]) ** 2 // (p[a] + p[a + 1 :])).sum(1).tolist()
-        for other, x in zip(names[a + 1 :], f, strict=True):
-            source += [name, other]
-            item += [other, name]
-            value += [x, x]
-            part += ["pair", "pair"]
-        own = np.flatnonzero((counts[a] > 0) & (p[a] > q))
-        f = (p[a, own] - q[own]) ** 2 // (p[a, own] + q[own])
-        for k in np.argsort(-f, kind="stable")[:top]:  # the first of equals by id
-            source.append(name)
-            part.append("term")
-            item.append(row["terms"][own[k]].decode())
-            value.append(int(f[k]))
-    cols = [pa.array([row["lang"]] * len(item)), pa.array(source, pa.string()), pa.array(part, pa.string()), pa.array(item, pa.string()), pa.array(value, pa.int64())]
-    return pa.RecordBatch.from_arrays(cols, ["lang", "source", "part", "item", "value"])
+class _Compared:
+    """What a task's chunks of one language add to each pair of sources, and each source's first terms in them."""
+
+    def __init__(self, lang: str, groups: list[dict], v: int) -> None:
+        self.lang, self.names, self.v = lang, [s["source"] for s in groups], v
+        self.n = np.array([s["n"] for s in groups], np.int64)[:, None]
+        self.pairs = np.zeros((len(groups), len(groups)), np.int64)
+        self.tops: list[list[tuple[int, bytes]]] = [[] for _ in groups]
+
+    def add(self, terms: list[bytes], sources: list[str], vectors: np.ndarray, top: int) -> None:
+        counts = np.zeros((len(self.names), len(terms)), np.int64)
+        counts[np.searchsorted(np.array(self.names, object), np.array(sources, object))] = vectors.reshape(-1, len(terms))
+        p = shares(counts + 2, self.n + 2 * self.v)
+        q = shares(counts.sum(0) + 2, self.n.sum() + 2 * self.v)
+        for a in range(len(self.names)):
+            f = ((p[a] - p[a + 1 :]) ** 2 // (p[a] + p[a + 1 :])).sum(1)
+            self.pairs[a, a + 1 :] += f
+            self.pairs[a + 1 :, a] += f
+            own = np.flatnonzero((counts[a] > 0) & (p[a] > q))
+            f = (p[a, own] - q[own]) ** 2 // (p[a, own] + q[own])
+            first = np.argsort(-f, kind="stable")[:top]  # the first of equals by id
+            self.tops[a] = sorted([*self.tops[a], *((-int(f[k]), terms[own[k]]) for k in first)])[:top]
+
+    def made(self) -> Iterator[pa.RecordBatch]:
+        def rows(source: str, part: str, items: list[str], values: list[int]) -> pa.RecordBatch:
+            k = len(items)
+            cols = [pa.array([x] * k, pa.string()) for x in (self.lang, source, part)]
+            return pa.RecordBatch.from_arrays([*cols, pa.array(items, pa.string()), pa.array(values, pa.int64())], ["lang", "source", "part", "item", "value"])
+
+        for a, name in enumerate(self.names):
+            yield rows(name, "pair", self.names[:a] + self.names[a + 1 :], np.delete(self.pairs[a], a).tolist())
+            yield rows(name, "term", [t.decode() for _, t in self.tops[a]], [-f for f, _ in self.tops[a]])
 
 
 def source_divergence(docs: DataFrame, least_docs: int = 10, top: int = 10) -> DataFrame:
@@ -223,9 +229,16 @@ def source_divergence(docs: DataFrame, least_docs: int = 10, top: int = 10) -> D
     langs = store(langs.join(kept, F.col("lang") == F.col("lang2"), "left").select("lang", "groups", F.coalesce("v", F.lit(0)).alias("v")), "langs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, _Compared] = {}
         for batch in batches:
             for k in range(batch.num_rows):
-                yield _compared(batch.slice(k, 1).to_pylist()[0], top)
+                row = batch.slice(k, 1)
+                r = {x: row.column(x)[0].as_py() for x in ("lang", "terms", "sources", "v")}
+                if r["lang"] not in held:
+                    held[r["lang"]] = _Compared(r["lang"], row.column("groups")[0].as_py(), r["v"])
+                held[r["lang"]].add(r["terms"], r["sources"], row.column("counts")[0].values.to_numpy(), top)
+        for x in held.values():
+            yield from x.made()
 
     # A language's array has a row of the limit for each source.
     side = F.broadcast(langs) if groups.count() <= SMALL_ROWS else langs.hint("merge")
