@@ -838,6 +838,43 @@ def d6_clone_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.clone_members(fingerprints.fingerprints(f)).select("file_path", "members", "first_key")
 
 
+@query("""SELECT o_orderkey AS review_id, o_custkey % 97 AS project_id, CASE WHEN o_orderstatus = 'F' THEN 'closed' ELSE o_orderstatus END AS status, CASE WHEN o_totalprice > 100000 THEN 'late ' || o_orderpriority ELSE o_orderpriority END AS author
+FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT -1 - c_custkey, c_custkey, CASE WHEN c_nationkey > 12 THEN 'O' ELSE 'new' END, NULL FROM customer""")
+def s12_changed_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews put, updated, deleted and created if absent, some changes older than those before them, with a compaction between."""
+    from ..sources.changing import ChangingTable
+    from ..sources.workdir import work_dir
+
+    t = ChangingTable(spark, work_dir(spark, "reviews"), "review_id long, project_id long, status string, author string", ["review_id"])
+    r, o = tables.reviews(spark, sf_dir), tables.table(spark, sf_dir, "orders")
+    c = tables.table(spark, sf_dir, "customer").select((-1 - F.col("c_custkey")).alias("review_id"), F.col("c_custkey").alias("project_id"), F.col("c_nationkey").alias("nation"))
+    t.put(r, at=10)
+    t.put(r.where("status = 'F'").select("review_id", F.lit("closed").alias("status")), at=30)
+    t.put(r.where("status = 'F'").select("review_id", F.lit("older").alias("status")), at=20)  # comes late, changes nothing
+    t.delete(r.where("status = 'P'"), at=40)
+    t.compact()
+    t.create(c.select("review_id", "project_id", F.lit("new").alias("status")).unionByName(r.where("status = 'O'").select("review_id", "project_id", F.lit("never").alias("status"))), at=50)
+    t.put(o.where("o_totalprice > 100000 AND o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("review_id"), F.concat(F.lit("late "), "o_orderpriority").alias("author")), at=60, batch="authors")
+    t.put(o.where("o_totalprice > 100000 AND o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("review_id"), F.concat(F.lit("late "), "o_orderpriority").alias("author")), at=60, batch="authors")  # the job runs again
+    t.put(c.where("nation > 12").select("review_id", F.lit("O").alias("status")), at=70)
+    return t.read()
+
+
+@query("""SELECT event_id, user_id FROM (SELECT *, max(ts) OVER () AS latest FROM events) WHERE event_type <> 'error' AND latest - ts <= INTERVAL 10 DAY""")
+def s13_cache_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of a cache that were neither invalidated nor are older than ten days."""
+    from ..sources.changing import ChangingTable
+    from ..sources.workdir import work_dir
+
+    t = ChangingTable(spark, work_dir(spark, "cache"), "event_id long, user_id long, event_type string", ["event_id"])
+    e = tables.table(spark, sf_dir, "events")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    t.put(e, at=micros)
+    latest = e.agg(F.max("ts").alias("ts")).first()["ts"]
+    t.delete_where("event_type = 'error'", at=F.unix_micros(F.lit(latest).cast("timestamp")) + 1)
+    return t.read(ttl_seconds=10 * 86400, now=F.lit(latest).cast("timestamp")).select("event_id", "user_id")
+
+
 @query(samples.expected_sql([found for _, found in samples.PATHS], '"check"'))
 def t11_path_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.paths import check_paths

@@ -41,6 +41,10 @@ class ChangingTable:
         done = fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(path, "*/_SUCCESS")) or []
         return sorted(s.getPath().getParent().getName() for s in done)
 
+    def exists(self) -> bool:
+        """Whether there is any change."""
+        return bool(self._committed("log") or self._committed("base"))
+
     def _read(self, kind: str, names: list[str], schema: str | StructType) -> DataFrame:
         if not names:
             return self.spark.createDataFrame([], schema)

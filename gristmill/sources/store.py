@@ -1,10 +1,12 @@
-"""The engine's tables as Parquet folders: append, read, and the views that the dashboard asks for."""
+"""The engine's tables as Parquet folders: append, update, read, export, and the views that the dashboard asks for."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .changing import ChangingTable
+
 # The tables and their columns.
 SCHEMAS = {
     "projects": "project_id long, name string, created_at timestamp_ntz",
@@ -12,6 +14,8 @@ SCHEMAS = {
     "findings": "finding_id string, review_id long, severity string, type string, category string, file_path string, line_start long, line_end long, message string, suggestion string, confidence double, status string",
     "feedback": "finding_id string, feedback_type string, rule_id string, severity string, category string, reason string, comment string, stored_at timestamp_ntz",
 }
+#: What rows of a table are known by when they are updated.
+KEYS = {"projects": ["project_id"], "reviews": ["review_id"], "findings": ["finding_id"], "feedback": ["finding_id", "stored_at"]}
 
 
 class Store:
@@ -28,22 +32,36 @@ class Store:
         empty = self.spark.createDataFrame([], SCHEMAS[table])
         empty.unionByName(rows, allowMissingColumns=True).select(*empty.columns).write.mode("append").parquet(self.path(table))
 
+    def changes(self, table: str) -> ChangingTable:
+        """Updates of a table's rows by their key; of projects, the rows themselves."""
+        return ChangingTable(self.spark, f"{self.path(table)}_changes", SCHEMAS[table], KEYS[table])
+
+    def update(self, table: str, rows: DataFrame, batch: str | None = None) -> None:
+        """Put new values, by key and column, in rows that were appended; keys that were not stay unknown."""
+        self.changes(table).put(rows, batch=batch)
+
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.schema(SCHEMAS[table]).parquet(self.path(table))
+        """Rows with their updates. Only keys that were updated are joined, so a table that never was costs a scan."""
+        changes = self.changes(table)
+        if table == "projects":
+            return changes.read()
+        rows = self.spark.read.schema(SCHEMAS[table]).parquet(self.path(table))
+        if not changes.exists():
+            return rows
+        new = changes.read().select(*[F.col(c).alias(f"_new_{c}") for c in rows.columns])
+        same = F.lit(True)
+        for k in KEYS[table]:
+            same = same & (F.col(k) == F.col(f"_new_{k}"))
+        return rows.join(new, same, "left").select(*[F.col(c) if c in KEYS[table] else F.coalesce(f"_new_{c}", c).alias(c) for c in rows.columns])
 
     def project(self, name: str) -> int:
-        """The id of a project, which is added if it is not there; its hash, so that two writers agree."""
+        """The id of a project, which is added if it is not there; its hash, so that two writers agree and leave one row."""
         new = self.spark.range(1).select(F.xxhash64(F.lit(name)).alias("project_id"), F.lit(name).alias("name"), F.current_timestamp().cast("timestamp_ntz").alias("created_at"))
-        number = new.first()["project_id"]
-        try:
-            known = not self.read("projects").where(F.col("project_id") == number).isEmpty()
-        except Exception as e:  # the table is not there yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = False
-        if not known:
-            self.append("projects", new)
-        return number
+        return self.changes("projects").get_or_create(new).first()["project_id"]
+
+    def export_feedback(self, path: str) -> None:
+        """All feedback, latest first, as JSON lines in part files whose names sort as their rows do."""
+        self.read("feedback").orderBy(F.desc("stored_at"), "finding_id").write.mode("overwrite").json(path)
 
     def recent_reviews(self, n: int = 50) -> DataFrame:
         return self.read("reviews").orderBy(F.desc("started_at"), F.desc("review_id")).limit(n)

@@ -114,3 +114,27 @@ def test_a_batch_that_arrives_while_compacting_stays(spark, tmp_path):
     t._folded = slow
     t.compact()
     assert rows_of(t) == [("a", 1, "two", 1)] and len(t._committed("base")) == 1
+
+
+def test_store_rows_change(spark, tmp_path):
+    from gristmill.sources.store import Store
+
+    s = Store(spark, str(tmp_path))
+    s.append("findings", spark.createDataFrame([("f1", "low", "open"), ("f2", "high", "open")], "finding_id string, severity string, status string"))
+    s.update("findings", spark.createDataFrame([("f2", "resolved"), ("f9", "resolved")], "finding_id string, status string"), batch="one")
+    s.update("findings", spark.createDataFrame([("f2", "resolved"), ("f9", "resolved")], "finding_id string, status string"), batch="one")
+    assert sorted((r["finding_id"], r["severity"], r["status"]) for r in s.read("findings").collect()) == [("f1", "low", "open"), ("f2", "high", "resolved")]
+    threads = [threading.Thread(target=lambda: Store(spark, str(tmp_path)).project("p")) for _ in range(3)]
+    for x in threads:
+        x.start()
+    for x in threads:
+        x.join()
+    assert s.read("projects").count() == 1
+    rows = [(f"f{k}", "accept", k % 5) for k in range(30)]
+    s.append("feedback", spark.createDataFrame(rows, "finding_id string, feedback_type string, day int").selectExpr("finding_id", "feedback_type", "cast(date_add(date'2024-01-01', day) AS timestamp_ntz) AS stored_at"))
+    s.export_feedback(f"{tmp_path}/out")
+    lines = [x for p in sorted((tmp_path / "out").glob("part-*")) for x in p.read_text().split("\n") if x]
+    import json
+
+    got = [(json.loads(x)["stored_at"], json.loads(x)["finding_id"]) for x in lines]
+    assert len(got) == 30 and got == sorted(sorted(got, key=lambda x: x[1]), key=lambda x: x[0], reverse=True)
