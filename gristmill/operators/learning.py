@@ -33,6 +33,11 @@ def rule_adjustments(feedback: DataFrame, least: int = 5) -> DataFrame:
     of equals, medium without any.
     """
     g = feedback.where("rule_id IS NOT NULL").groupBy("rule_id").agg(F.count("*").alias("total"), _of("accept").alias("accepts"), _of("reject").alias("rejects"), F.expr("mode(severity, true)").alias("mode"))
+    return adjusted(g, least)
+
+
+def adjusted(g: DataFrame, least: int) -> DataFrame:
+    """Adjustments from counts: ``rule_id, total, accepts, rejects, mode`` (the most frequent severity)."""
     g = g.where(F.col("total") >= least).withColumn("accept_rate", F.col("accepts") / F.col("total")).withColumn("reject_rate", F.col("rejects") / F.col("total"))
     now = F.coalesce("mode", F.lit("medium"))
     new = F.when(F.col("accept_rate") < 0.3, severity.shift(now, -1)).when(F.col("accept_rate") > 0.8, severity.shift(now, 1)).otherwise(now)

@@ -347,6 +347,20 @@ def a19_rule_adjustments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.rule_adjustments(tables.feedback(spark, sf_dir)).select("rule_id", "total", "suppress", "original_severity", "adjusted_severity", "multiplier")
 
 
+@query(ADJUST + "SELECT rule_id, total, suppress, original_severity, adjusted_severity, CAST(multiplier AS DOUBLE) AS multiplier FROM adj")
+def a19_streamed_adjustments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream that takes the feedback in several batches."""
+    from ..sources.workdir import work_dir
+    from ..streaming import adjustments
+
+    root, f = work_dir(spark, "feedback"), tables.feedback(spark, sf_dir).select("rule_id", "severity", "feedback_type")
+    f.repartition(4).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+    run = adjustments.start(stream, f"{root}/out", f"{root}/checkpoint")
+    run.awaitTermination()
+    return adjustments.adjustments_table(spark, f"{root}/out").read().select("rule_id", "total", "suppress", "original_severity", "adjusted_severity", "multiplier")
+
+
 @query(ADJUST + "SELECT coalesce(a.adjusted_severity, f.severity) AS severity, count(*) AS findings, round(sum(least(100.0, f.confidence * coalesce(CAST(a.multiplier AS DOUBLE), 1.0))), 2) AS confidence FROM findings f LEFT JOIN adj a USING (rule_id) WHERE NOT coalesce(a.suppress, FALSE) GROUP BY 1")
 def a20_apply_learning(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = learning.apply_learning(tables.findings(spark, sf_dir), learning.rule_adjustments(tables.feedback(spark, sf_dir)))
