@@ -82,7 +82,7 @@ def adjustments_table(spark: SparkSession, root: str) -> ChangingTable:
 
 
 def start(feedback: DataFrame, root: str, checkpoint: str, least: int = 5, quiet_ms: int | None = None):
-    """Keep the table of adjustments under ``root`` up to date; returns the running query, which takes what is there and ends.
+    """Keep the table of adjustments under ``root`` up to date; returns the running query, which takes what is there, or with ``quiet_ms`` one batch of it, and ends.
 
     A batch of the stream is a batch of the table with its number, so one that runs again after a failure changes nothing.
     """
@@ -98,4 +98,6 @@ def start(feedback: DataFrame, root: str, checkpoint: str, least: int = 5, quiet
         finally:
             states.unpersist()
 
-    return rule_states(feedback, quiet_ms).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    # With timers Spark never runs out of batches, so such a run takes one.
+    run = {"availableNow": True} if quiet_ms is None else {"once": True}
+    return rule_states(feedback, quiet_ms).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**run).start()

@@ -58,7 +58,7 @@ def test_quiet_rules_are_forgotten(spark, tmp_path):
     stream = lambda: spark.readStream.schema(FEEDBACK).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     for rule in ("first", "second", "third"):
         spark.createDataFrame([(rule, "low", "accept")] * 6, FEEDBACK).coalesce(1).write.mode("append").parquet(f"{root}/in")
-        adjustments.start(stream(), f"{root}/out", f"{root}/checkpoint", quiet_ms=1).awaitTermination()
+        adjustments.start(stream(), f"{root}/out", f"{root}/checkpoint", quiet_ms=1).awaitTermination(60)
         time.sleep(0.05)
     left = {r[0] for r in state(spark, f"{root}/out")}
     assert "third" in left and "first" not in left
