@@ -44,6 +44,14 @@ def glob(path: Column | str, pattern: str) -> Column:
     return c.rlike("^" + fnmatch.translate(pattern).replace("\\Z", "$").replace("\\z", "$"))
 
 
+def glob_of(path: Column, pattern: Column) -> Column:
+    """Whether the whole of ``path`` fits a shell pattern that is data: ``*`` any run, ``?`` any character, ``[a-z]`` and ``[!a-z]`` sets; a bracket that nothing closes is itself."""
+    p = F.regexp_replace(pattern, r"([.^$+(){}|\\])", r"\\$1")
+    p = F.regexp_replace(p, r"\[(?![!^]?\]?[^\]]*\])", r"\\[")
+    p = F.regexp_replace(F.regexp_replace(F.regexp_replace(p, r"\[!", "[^"), r"\*", ".*"), r"\?", ".")
+    return F.regexp_like(path, F.concat(F.lit("(?s)^(?:"), p, F.lit(")$(?!\\n)")))
+
+
 def glob_any_part(path: str, patterns: list[str]) -> Column:
     """Whether any pattern fits the whole path, its last part, or any part of it."""
     found = F.lit(False)

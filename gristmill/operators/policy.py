@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import regex, severity
@@ -36,14 +36,46 @@ def custom_rule(findings: DataFrame, evaluate: Callable[[DataFrame], DataFrame])
     return evaluate(findings)
 
 
+def fits_files(files: Column, include: Column, exclude: Column) -> Column:
+    """Whether some file of an array fits a pattern of ``include``, any if it has none, and no pattern of ``exclude``; arrays of shell patterns, null is none."""
+    some = lambda patterns, f: F.exists(F.coalesce(patterns, F.array().cast("array<string>")), lambda p: regex.glob_of(f, p))
+    any_at_all = F.coalesce(F.size(include), F.lit(0)) <= 0
+    return F.exists(files, lambda f: (any_at_all | some(include, f)) & ~some(exclude, f))
+
+
 def applicable(policies: DataFrame, scope: str, branch: str | None = None, files: list[str] | None = None) -> DataFrame:
-    """Enabled policies of a scope that include the branch, do not exclude it, and fit some file."""
+    """Enabled policies of a scope that include the branch, do not exclude it, and fit some file.
+
+    Patterns are the columns ``file_patterns`` and ``exclude_patterns``, if there; without patterns, or without files, a policy fits.
+    """
     p = policies.where(F.col("enabled") & F.array_contains("scope", scope))
     if branch is not None:
         p = p.where((F.size("branches") <= 0) | F.array_contains("branches", branch)).where(~F.array_contains("exclude_branches", branch))
+    if files:
+        include, exclude = (F.col(c) if c in policies.columns else F.array().cast("array<string>") for c in ("file_patterns", "exclude_patterns"))
+        p = p.where(fits_files(F.array(*[F.lit(f) for f in files]), include, exclude))
     return p.orderBy(F.desc("priority"), "id")
 
 
+def approvals(violations: DataFrame, policies: DataFrame) -> DataFrame:
+    """Whose approval the violated policies ask for: ``id, violations, requires_approval, teams, roles, approvers, warns``.
+
+    ``policies`` may have arrays ``required_teams`` and ``required_roles`` and a number ``required_approvers``; only policies whose action is
+    require_approval ask. ``warns``: the action is warn, or the policy only advises.
+    """
+    have = set(policies.columns)
+    names = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>")) if c in have else F.array().cast("array<string>")
+    asks = F.col("action") == "require_approval"
+    none = F.array().cast("array<string>")
+    v = violations.groupBy("policy_id").agg(F.count("*").alias("violations"))
+    out = policies.join(v, policies["id"] == v["policy_id"])
+    number = F.coalesce(F.col("required_approvers"), F.lit(1)) if "required_approvers" in have else F.lit(1)
+    return out.select(
+        "id", "violations", asks.alias("requires_approval"), F.when(asks, F.array_sort(names("required_teams"))).otherwise(none).alias("teams"), F.when(asks, F.array_sort(names("required_roles"))).otherwise(none).alias("roles"),
+        F.when(asks, number).otherwise(0).cast("int").alias("approvers"), ((F.col("action") == "warn") | (F.col("enforcement") == "advisory")).alias("warns"),
+    )
+
+
 def verdicts(violations: DataFrame, policies: DataFrame) -> DataFrame:
     """Each policy's number of violations, whether it blocks and whether it may be overridden.
 
@@ -77,9 +109,23 @@ TEMPLATES = {
     "strict-security": {"action": "block", "enforcement": "strict", "max_critical": 0, "max_high": 0},
     "balanced": {"action": "block", "enforcement": "flexible", "max_critical": 0, "max_high": 5},
     "advisory": {"action": "warn", "enforcement": "advisory", "max_critical": 5, "max_high": 20},
+    "security-critical": {"scope": ["pre-commit", "pull-request"], "action": "block", "enforcement": "strict", "max_critical": 0, "max_high": 0},
+    "production-ready": {"scope": ["pull-request", "merge"], "action": "block", "enforcement": "strict", "max_critical": 0, "max_high": 0, "max_medium": 5, "max_complexity": 15, "min_coverage": 0.8, "branches": ["main", "master", "production"]},
+    "security-review-required": {"scope": ["pull-request"], "action": "require_approval", "enforcement": "strict", "file_patterns": ["**/auth/**", "**/security/**", "**/crypto/**"], "required_approvers": 1, "required_teams": ["security"]},
+    "architecture-review": {"scope": ["pull-request"], "action": "require_approval", "enforcement": "flexible", "file_patterns": ["**/core/**", "**/api/**", "**/database/**"], "required_approvers": 1, "required_roles": ["architect", "tech-lead"]},
+    "quality-gate": {"scope": ["pull-request"], "action": "warn", "enforcement": "advisory", "max_critical": 0, "max_high": 3, "max_medium": 10, "max_complexity": 20},
 }
 
 
+def from_templates(spark, names: list[str] | None = None) -> DataFrame:
+    """Ready-made policies as a table that the functions here take, all of them or those named."""
+    schema = "id string, enabled boolean, priority int, scope array<string>, action string, enforcement string, branches array<string>, exclude_branches array<string>, file_patterns array<string>, exclude_patterns array<string>, max_critical int, max_high int, max_medium int, max_complexity int, min_coverage double, required_approvers int, required_teams array<string>, required_roles array<string>"
+    fields = [f.strip().split(" ", 1) for f in schema.split(", ")]
+    rest = {"enabled": True, "priority": 0}
+    rows = [tuple({"id": n, **rest, **TEMPLATES[n]}.get(c, [] if "array" in kind else None) for c, kind in fields) for n in (names or TEMPLATES)]
+    return spark.createDataFrame(rows, schema)
+
+
 def load_policies(text: str, form: str = "yaml") -> list[dict]:
     """Policies of a YAML or JSON text with a list ``policies``; id, name and action must be there."""
     import json

@@ -664,11 +664,38 @@ def o9_top_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.orderBy(F.desc("priority_score"), "ord", "tie").limit(50).select("review_id", "ord", "tie", "priority_score")
 
 
-@query("SELECT * FROM (VALUES ('c', 30), ('b', 20), ('a', 10)) t(id, priority)")
+def _nation_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A policy for each nation, on files of its number."""
+    k = F.col("n_nationkey")
+    return tables.table(spark, sf_dir, "nation").select(
+        F.col("n_name").alias("id"), (k * 10).cast("int").alias("priority"), (k % 5 != 4).alias("enabled"), F.array(F.when(k % 2 == 0, "merge").otherwise("pre-commit")).alias("scope"), F.array(F.lit("main")).alias("branches"), F.when(k % 3 == 0, F.array(F.lit("main"))).otherwise(F.array().cast("array<string>")).alias("exclude_branches"),
+        F.array(F.concat(F.lit("src/mod"), k.cast("string"), F.lit("/*"))).alias("file_patterns"), F.array(F.lit("*.js"), F.lit("*f[0-1].py")).alias("exclude_patterns"), F.element_at(F.array(F.lit("block"), F.lit("warn"), F.lit("require_approval")), (k % 3 + 1).cast("int")).alias("action"), F.when(k % 4 == 0, "advisory").otherwise("strict").alias("enforcement"),
+        F.array(F.lit("security"), F.col("n_name")).alias("required_teams"), k,
+    )
+
+
+@query("SELECT n_name AS id, CAST(n_nationkey * 10 AS INTEGER) AS priority FROM nation WHERE n_nationkey % 5 <> 4 AND n_nationkey % 2 = 0 AND n_nationkey % 3 <> 0 AND n_nationkey IN (2, 8)")
 def o7_policies_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spark.createDataFrame([("a", 10, True), ("b", 20, True), ("c", 30, True), ("d", 40, False)], "id string, priority int, enabled boolean")
-    p = p.withColumn("scope", F.array(F.lit("merge"))).withColumn("branches", F.expr("cast(array() as array<string>)")).withColumn("exclude_branches", F.expr("cast(array() as array<string>)"))
-    return policy.applicable(p, "merge", "main").select("id", "priority")
+    """Policies of a scope and branch that some file fits, the most urgent first."""
+    files = ["src/mod2/f1.py", "src/mod2/f2.py", "src/mod4/f2.js", "src/mod8/a/b.go", "src/mod10/f0.py", "lib/mod14/x"]
+    return policy.applicable(_nation_policies(spark, sf_dir), "merge", "main", files).select("id", "priority")
+
+
+@query("""SELECT n_name AS id, count(*) AS reviews FROM nation JOIN (SELECT DISTINCT review_id, regexp_extract(file_path, 'src/mod(\\d+)/', 1) AS k FROM findings WHERE NOT file_path LIKE '%.js' AND NOT regexp_matches(file_path, 'f[0-1]\\.py$')) f ON CAST(n_nationkey AS VARCHAR) = f.k GROUP BY n_name""")
+def p9_applicable_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews that each policy applies to: those with a finding in some file that its patterns fit."""
+    p = _nation_policies(spark, sf_dir)
+    f = tables.findings(spark, sf_dir).select("review_id", "file_path").distinct()
+    # Candidates by the folder's number, then the patterns themselves.
+    pairs = f.withColumn("n_nationkey", F.regexp_extract("file_path", r"src/mod(\d+)", 1).cast("int")).groupBy("review_id", "n_nationkey").agg(F.collect_set("file_path").alias("files")).join(p, "n_nationkey")
+    return pairs.where(policy.fits_files(F.col("files"), F.col("file_patterns"), F.col("exclude_patterns"))).groupBy("id").agg(F.count("*").alias("reviews"))
+
+
+@query("""SELECT n_name AS id, count(*) AS violations, n_nationkey % 3 = 2 AS requires_approval, CASE WHEN n_nationkey % 3 = 2 THEN least(n_name, 'security') || ',' || greatest(n_name, 'security') ELSE '' END AS teams, n_nationkey % 3 = 1 OR n_nationkey % 4 = 0 AS warns FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal < 3000 GROUP BY n_name, n_nationkey""")
+def g6_approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _nation_policies(spark, sf_dir)
+    v = tables.table(spark, sf_dir, "supplier").where("s_acctbal < 3000").join(p.select("n_nationkey", F.col("id").alias("policy_id")), F.col("s_nationkey") == F.col("n_nationkey")).select("policy_id")
+    return policy.approvals(v, p).select("id", "violations", "requires_approval", F.array_join("teams", ",").alias("teams"), "warns")
 
 
 @query("SELECT kind, count(*) AS findings FROM ranked GROUP BY kind ORDER BY findings DESC, kind LIMIT 3")

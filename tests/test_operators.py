@@ -343,6 +343,28 @@ def test_fixes(spark):
     assert out["b.js"] == "const x = a == b\ny = x?.z\n"
 
 
+def test_patterns_that_are_data(spark):
+    import fnmatch
+
+    patterns = ["*", "a*", "*.py", "src/*/x.?s", "[ab]*", "[!ab]*", "a[", "[", "a.b", "(x)", "a+b", "**/api/**", "$x^", "{a}", "a|b", "x\\\\y", "[]x]y", ""]
+    files = ["a", "b.py", "src/m/x.js", "src/m/n/x.ts", "a[", "[", "a.b", "axb", "(x)", "a+b", "aab", "v1/api/get", "$x^", "{a}", "a|b", "x\\\\y", "]y", "xy", "", "a\nb"]
+    from gristmill.functions import regex
+
+    df = spark.createDataFrame([(f, p) for f in files for p in patterns], "f string, p string")
+    got = {(r["f"], r["p"]): r["fits"] for r in df.select("f", "p", regex.glob_of(df["f"], df["p"]).alias("fits")).collect()}
+    assert {k for k, v in got.items() if v} == {(f, p) for f in files for p in patterns if fnmatch.fnmatchcase(f, p)}
+
+
+def test_templates_and_approvals(spark):
+    p = policy.from_templates(spark)
+    asked = lambda files: [r["id"] for r in policy.applicable(p, "pull-request", "dev", files).collect()]
+    assert asked(["x/auth/y.py"]) == ["quality-gate", "security-critical", "security-review-required"]
+    assert asked(["x/y.py"]) == ["quality-gate", "security-critical"] and "architecture-review" in asked(["x/api/y", "z"]) and len(asked([])) == 4
+    v = spark.createDataFrame([("architecture-review",), ("quality-gate",), ("quality-gate",)], "policy_id string")
+    got = {r["id"]: (r["violations"], r["requires_approval"], r["teams"], r["roles"], r["approvers"], r["warns"]) for r in policy.approvals(v, p).collect()}
+    assert got == {"architecture-review": (1, True, [], ["architect", "tech-lead"], 1, False), "quality-gate": (2, False, [], [], 0, True)}
+
+
 def test_store(spark, tmp_path):
     from gristmill.sources.store import Store
 
