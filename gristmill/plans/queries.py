@@ -11,6 +11,7 @@ from ..functions import regex, severity
 from ..operators import chunks, clones, dashboard, findings, intervals, learning, policy, rules, supply
 from . import samples, tables
 from .tables import CTE, LEVEL_COUNTS
+from .weaknesses import WEAKNESSES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,9 +68,17 @@ def s3_language_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("file_path", language("file_path").alias("language"))
 
 
-@query("""SELECT * FROM (VALUES ('no-hardcoded-secrets', 'critical', TRUE), ('no-todo-comments', 'info', TRUE), ('no-fixme-comments', 'medium', TRUE), ('no-debugger', 'high', TRUE), ('no-print-statements', 'info', TRUE), ('no-eval', 'critical', TRUE), ('no-sql-concat', 'critical', TRUE), ('no-weak-crypto', 'high', TRUE)) t(id, severity, enabled)""")
+_RULE_VALUES = ", ".join(f"('{r.id}', '{r.severity}', {list(r.languages) if r.languages else 'NULL::VARCHAR[]'})" for r in rules.DEFAULT_RULES)
+
+
+@query(f"SELECT id, v.severity, count(*) AS files FROM (VALUES {_RULE_VALUES}) v(id, severity, languages) JOIN files f ON v.languages IS NULL OR list_contains(v.languages, f.language) GROUP BY id, v.severity")
 def s5_default_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.RulesEngine().table(spark).select("id", "severity", "enabled")
+    """How many files each default rule is for."""
+    f = tables.files(spark, sf_dir).groupBy("language").agg(F.count("*").alias("files"))
+    r = rules.RulesEngine().table(spark).where("enabled").withColumn("language", F.explode_outer("languages"))
+    some = r.where("languages IS NOT NULL").join(f, "language").groupBy("id", "severity").agg(F.sum("files").alias("files"))
+    whole = f.agg(F.sum("files").alias("files")).first()["files"]
+    return some.unionByName(r.where("languages IS NULL").select("id", "severity", F.lit(whole).cast("long").alias("files")))
 
 
 @query(f"SELECT review_id, count(*) AS total_findings, {LEVEL_COUNTS} FROM findings GROUP BY review_id")
@@ -389,14 +398,24 @@ def a23_dependency_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("nation", "deps", F.round(supply.health_score(F.col("o"), F.col("v"), F.lit(0), F.col("deps")), 6).alias("health"))
 
 
-@query("SELECT * FROM (VALUES ('A01:2021', CAST(2 AS BIGINT)), ('A02:2021', 1), ('A03:2021', 3), ('A05:2021', 1), ('A07:2021', 1), ('A08:2021', 1), ('A10:2021', 1)) t(owasp, rules)")
+def _part_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for each part, some without a class of risk."""
+    p, k = tables.table(spark, sf_dir, "part"), F.col("p_size")
+    sev = F.when(k <= 5, "critical").when(k <= 15, "high").when(k <= 30, "medium").when(k <= 40, "low").otherwise("info")
+    return p.select(F.col("p_partkey").alias("id"), sev.alias("severity"), (k % 3 != 0).alias("enabled"), F.when(k % 4 != 0, F.concat(F.lit("A0"), (k % 10).cast("string"), F.lit(":2021"))).alias("owasp"))
+
+
+_PART_RULES = "(SELECT p_partkey AS id, CASE WHEN p_size <= 5 THEN 'critical' WHEN p_size <= 15 THEN 'high' WHEN p_size <= 30 THEN 'medium' WHEN p_size <= 40 THEN 'low' ELSE 'info' END AS severity, p_size % 3 <> 0 AS enabled, CASE WHEN p_size % 4 <> 0 THEN 'A0' || CAST(p_size % 10 AS VARCHAR) || ':2021' END AS owasp FROM part) r"
+
+
+@query(f"SELECT owasp, count(*) AS rules FROM {_PART_RULES} WHERE owasp IS NOT NULL GROUP BY owasp")
 def a24_owasp_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.coverage(rules.RulesEngine(rules.SAST_RULES).table(spark))
+    return rules.coverage(_part_rules(spark, sf_dir))
 
 
-@query("SELECT CAST(8 AS BIGINT) AS total, CAST(8 AS BIGINT) AS enabled, CAST(0 AS BIGINT) AS disabled, CAST(3 AS BIGINT) AS critical, CAST(2 AS BIGINT) AS high, CAST(1 AS BIGINT) AS medium, CAST(0 AS BIGINT) AS low, CAST(2 AS BIGINT) AS info")
+@query(f"SELECT count(*) AS total, count(*) FILTER (enabled) AS enabled, count(*) FILTER (NOT enabled) AS disabled, {LEVEL_COUNTS} FROM {_PART_RULES}")
 def a25_rule_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.statistics(rules.RulesEngine().table(spark))
+    return rules.statistics(_part_rules(spark, sf_dir))
 
 
 @query("""SELECT file_path, minutes, ratio, CASE WHEN ratio <= 0.05 THEN 'A' WHEN ratio <= 0.1 THEN 'B' WHEN ratio <= 0.2 THEN 'C' WHEN ratio <= 0.5 THEN 'D' ELSE 'E' END AS rating FROM (
@@ -772,11 +791,27 @@ def m14_debt_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debt_minutes(python_metrics(samples.branches(spark, sf_dir))).select("file_path", "name", F.col("minutes").cast("long").alias("minutes"))
 
 
-@query("SELECT * FROM (VALUES ('critical', CAST(6 AS BIGINT)), ('high', 5), ('medium', 4)) v(severity, weaknesses)")
+_WEAK = ", ".join(f"({k}, '{cwe}', '{name}', '{grave}')" for k, (cwe, name, grave) in enumerate(WEAKNESSES))
+
+
+@query(f"SELECT cwe, v.name, v.severity, count(*) AS findings FROM lineitem JOIN (VALUES {_WEAK}) v(k, cwe, name, severity) ON l_partkey % 17 = k GROUP BY cwe, v.name, v.severity")
 def t6_weakness_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by the weakness that they name; some name none that is known."""
     from .weaknesses import weaknesses
 
-    return weaknesses(spark).groupBy("severity").agg(F.count("*").alias("weaknesses"))
+    names = F.array(*[F.lit(c) for c, _, _ in WEAKNESSES])
+    f = tables.table(spark, sf_dir, "lineitem").select(F.get(names, (F.col("l_partkey") % 17).cast("int")).alias("cwe"))
+    return f.groupBy("cwe").agg(F.count("*").alias("findings")).join(weaknesses(spark), "cwe").select("cwe", "name", "severity", "findings")
+
+
+@query(samples.expected_sql([found for _, found in samples.PATHS], '"check"'))
+def e1_lateral_analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The analyzers as a table function in SQL."""
+    from ..operators import analyzers
+
+    analyzers.register_functions(spark)
+    samples.dealt(spark, sf_dir, [text for text, _ in samples.PATHS], ["python"]).createOrReplaceTempView("gristmill_sources")
+    return spark.sql("SELECT file_path, a.check, a.severity, a.line_start AS line FROM gristmill_sources, LATERAL analyze(language, content) a WHERE a.check IN ('resource-leak', 'mixed-returns', 'shared-state')")
 
 
 @query("SELECT severity, count(*) AS findings, count(DISTINCT file_path || ':' || CAST(line_start AS VARCHAR) || message) AS lines FROM findings GROUP BY severity")
