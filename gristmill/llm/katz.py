@@ -262,7 +262,7 @@ def _score(c: Chunk, answers: dict[tuple[int, int], bytes], shares: int, m: dict
 
     ids = pa.array(c.docs, pa.int64(), mask=c.null)
     # Ids may repeat: a document is known by its chunk and place, too.
-    place = (int(c.name[:7], 16) << 32) + np.arange(len(ids))
+    place = (np.uint64(int(c.name[:16], 16)) + np.arange(len(ids), dtype=np.uint64)).view(np.int64)
     count, _ = gather(1)
     p = np.where(count > 0, _seen_p(count, m["d"][0]) / max(m["N"], 1), m["unknown"])
     base = np.log10((count + 0.5) / (m["N"] + 0.5 * (m["V"] + 1)))[c.at[0]]
