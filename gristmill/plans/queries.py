@@ -850,6 +850,19 @@ def e2_fix_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return propose_fixes(f.select("file_path", "line_start", "line_end", "message"), f.select("file_path", "language", "content")).groupBy("fix").agg(F.count("*").alias("fixes"))
 
 
+_EDITED_TEXTS = ", ".join("({}, '{}', {})".format(k, after.replace("'", "''"), n) for k, (_, _, after, n) in enumerate(samples.EDITS))
+
+
+@query(f"SELECT CAST(s_suppkey AS VARCHAR) AS file_path, md5(repeat(chr(10), CAST(s_suppkey % 5 AS INTEGER)) || replace(after, 'KEY', CAST(s_suppkey AS VARCHAR))) AS digest, CAST(n AS BIGINT) AS applied FROM supplier JOIN (VALUES {_EDITED_TEXTS}) v(k, after, n) ON s_suppkey % {len(samples.EDITS)} = k")
+def e2_edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with all their fixes put in, every kind of fix among them."""
+    from ..operators import edits
+
+    f = samples.dealt(spark, sf_dir, [before for _, before, _, _ in samples.EDITS], [language for language, *_ in samples.EDITS])
+    f = f.withColumn("content", F.replace("content", F.lit("KEY"), F.col("file_path")))
+    return edits.apply_edits(f, edits.propose_edits(f)).select("file_path", F.md5("content").alias("digest"), "applied")
+
+
 @query("SELECT file_path, md5(content || chr(10) || '# checked') AS digest FROM files WHERE content NOT LIKE '%' || chr(10) || '%'")
 def d5_apply_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of one line get a second one."""

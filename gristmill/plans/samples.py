@@ -145,6 +145,18 @@ PATHS: list[tuple[str, list[tuple[str, str, int]]]] = [
     ("def f():\n    global n\n    n = 1\n", []),
 ]
 
+#: Texts with fixes and what becomes of them; KEY stands for a number that varies by file.
+EDITS: list[tuple[str, str, str, int]] = [
+    ("python", "import os, sys\nimport json\nfrom a import (b,\n    cKEY)\nprint(sys.argv, cKEY)\n", "import sys\nfrom a import cKEY\nprint(sys.argv, cKEY)\n", 3),
+    ("python", "def f(xKEY=[], y=1):\n    return xKEY == None\n", "def f(xKEY=None, y=1):\n    if xKEY is None:\n        xKEY = []\n    return xKEY is None\n", 2),
+    ("python", "try:\n    a = 'KEY'  # except:\nexcept:\n    b = 'é x == None'\n", "try:\n    a = 'KEY'  # except:\nexcept Exception:\n    b = 'é x == None'\n", 1),
+    ("python", "s = 'é{} of {}'.format(aKEY, b.c)\nt = '%s-%s' % (aKEY, b)\nu = 'a' + bKEY + 'c'\nv = '{'.format(a)\n", "s = f\"é{aKEY} of {b.c}\"\nt = f\"{aKEY}-{b}\"\nu = f\"a{bKEY}c\"\nv = '{'.format(a)\n", 3),
+    ("python", "def f(:\n    return x == None\n", "def f(:\n    return x == None\n", 0),
+    ("javascript", "var aKEY = 1\nvar b = 2\nb++\nif (aKEY == b && c != '==') { d() } // ==\n", "const aKEY = 1\nlet b = 2\nb++\nif (aKEY === b && c !== '==') { d() } // ==\n", 4),
+    ("javascript", "const s = \"xKEY\" + a + \"y\"\nf(function (x) { return x })\nf(function () { return this })\nconst t = o.n || KEY\nu(v && v.w)\n", "const s = `xKEY${a}y`\nf((x) => { return x })\nf(function () { return this })\nconst t = o.n ?? KEY\nu(v?.w)\n", 4),
+    ("go", "var x = y == nil\n", "var x = y == nil\n", 0),
+]
+
 
 def dealt(spark: SparkSession, sf_dir: str, texts: list[str], languages: list[str]) -> DataFrame:
     """``file_path, language, content``: one text for each supplier, by its key, after up to four empty lines."""
