@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from heapq import merge
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,27 +66,29 @@ def dedup_exact(findings: DataFrame, order: Sequence[str]) -> DataFrame:
     return findings.groupBy(*signature).agg(first).select(*[F.col(f"first.{c}").alias(c) for c in findings.columns])
 
 
+#: Pieces of a file that are folded together.
+PIECES = 64
+
+
 def dedup_similar(findings: DataFrame, order: Sequence[str], lines: int = 5, ratio: float = 0.85) -> DataFrame:
     """Exact duplicates go first; then, in ``order``, a finding that resembles one kept before it goes.
 
     Alike: same file and severity, at most ``lines`` apart, and messages whose matching blocks make
     ``ratio`` of their length. If the later one is surer, it takes the earlier one's place, at the end
-    of the order. Only findings of one file and severity on near lines can be alike: the lines that have
-    any are cut into islands where the next is more than ``lines`` away, and each island is folded on
-    its own.
+    of the order. Only findings of one file and severity on near lines can be alike: a file is cut where
+    the next line with any is more than ``lines`` away, some dozens of pieces go together, and each finding
+    meets only what is kept on the lines around it. A finding without a line is like no other.
     """
     from difflib import SequenceMatcher
 
     once = dedup_exact(findings, order)
     place = Window.partitionBy("file_path", "severity").orderBy("line_start")
-    at = once.select("file_path", "severity", "line_start").distinct()
     far = F.coalesce(F.col("line_start") - F.lag("line_start").over(place) > lines, F.lit(False))
-    at = at.withColumn("_far", far.cast("int")).withColumn("_island", F.sum("_far").over(place)).drop("_far")
-    at = at.toDF("_f", "_s", "_l", "_island")
-    placed = once.join(at, once["file_path"].eqNullSafe(at["_f"]) & once["severity"].eqNullSafe(at["_s"]) & once["line_start"].eqNullSafe(at["_l"])).drop("_f", "_s", "_l")
+    placed = once.withColumn("_far", far.cast("int")).withColumn("_piece", F.floor(F.sum("_far").over(place) / PIECES)).drop("_far")
+    names = once.columns
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
+    def fold(group: pa.Table) -> pa.Table:
+        kept: dict[int, list[tuple[int, int]]] = {}  # by line: when it was kept, and which; in that order
         known: dict[tuple[str, str], bool] = {}  # findings of a file repeat few messages
 
         def alike(a: str, b: str) -> bool:
@@ -93,18 +97,19 @@ def dedup_similar(findings: DataFrame, order: Sequence[str], lines: int = 5, rat
                 known[a, b] = a == b or m.real_quick_ratio() >= ratio and m.quick_ratio() >= ratio and m.ratio() >= ratio
             return known[a, b]
 
-        group = group.sort_values(list(order), kind="stable").reset_index(drop=True)
-        at, said, sure = group["line_start"].tolist(), group["message"].fillna("").str.lower().tolist(), group["confidence"].tolist()
-        for i in range(len(group)):
-            twin = next((k for k in kept if abs(at[k] - at[i]) <= lines and alike(said[k], said[i])), None)
-            if twin is None:
-                kept.append(i)
-            elif sure[i] > sure[twin]:
-                kept.remove(twin)
-                kept.append(i)
-        return group.iloc[kept].drop(columns="_island")
-
-    return placed.groupBy("file_path", "severity", "_island").applyInPandas(fold, once.schema)
+        group = group.take(pc.sort_indices(group, [(c, "ascending") for c in order])).select(names)
+        at, said, sure = (group.column(c).to_pylist() for c in ("line_start", "message", "confidence"))
+        said = [(x or "").lower() for x in said]
+        for i, line in enumerate(at):
+            near = merge(*(kept[x] for x in range(line - lines, line + lines + 1) if x in kept)) if line is not None else ()
+            twin = next(((when, k) for when, k in near if alike(said[k], said[i])), None)
+            if twin is None or sure[i] is not None and sure[twin[1]] is not None and sure[i] > sure[twin[1]]:
+                if twin is not None:
+                    kept[at[twin[1]]].remove(twin)
+                kept.setdefault(line, []).append((i, i))
+        return group.take(pa.array([k for _, k in merge(*kept.values())], pa.int64()))
+
+    return placed.groupBy("file_path", "severity", "_piece").applyInArrow(fold, once.schema)
 
 
 def priority(findings: DataFrame) -> DataFrame:
