@@ -8,6 +8,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +46,20 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+_recorded: list[list[DataFrame]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[DataFrame]]:
+    """All tables that ``store`` makes meanwhile, to be dropped when what was made of them is stored."""
+    made: list[DataFrame] = []
+    _recorded.append(made)
+    try:
+        yield made
+    finally:
+        _recorded.remove(made)
+
+
 def store(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and survives lost executors."""
     spark = df.sparkSession
@@ -51,6 +67,8 @@ def store(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    for made in _recorded:
+        made.append(out)
     return out
 
 

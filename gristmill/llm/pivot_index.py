@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, store
+from .common import bound_batches, drop_stored, recorded, store
 from .components import components
 
 #: Reference points: a sample of so many vectors, those with the least hash of their id.
@@ -278,11 +278,13 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, pivots: int = PIVOTS)
     widths = [r[0] for r in nodes.select(F.expr("length(v) div 4")).distinct().collect()]
     spark = vectors.sparkSession
     every = spark.createDataFrame([], _FOUND)
-    for dim in widths:
-        own = nodes.where(F.length("v") == 4 * dim)
-        described = store(describe(own, choose_pivots(own, pivots), NEAREST), "described")
-        every = every.unionByName(search(described, dim, least, pivots))
+    with recorded() as made:
+        for dim in widths:
+            own = nodes.where(F.length("v") == 4 * dim)
+            described = store(describe(own, choose_pivots(own, pivots), NEAREST), "described")
+            every = every.unionByName(search(described, dim, least, pivots))
     every = store(every, "every") if widths else every
+    drop_stored(*made)
     counts = every.where("links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     member = member.join(nodes, "v").select("vec_id", "node", "mult")
     same = member.where("vec_id <> node").select(F.col("vec_id").alias("a"), F.col("node").alias("b"))
