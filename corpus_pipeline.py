@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm import langid, line_quality, minhash_forest, mix_sources, packing
-from gristmill.llm.common import store
+from gristmill.llm.common import drop_stored, store
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,10 +41,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each reads what the one before has written to the shared folder."""
+    """All stages over ``documents``; each reads what the one before has written to the shared folder, which is deleted then; the last one's input stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = store(docs, f"stage{k + 1}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        made = store(stage(spark, docs, sf_dir), f"stage{k + 1}")
+        if k:
+            drop_stored(docs)  # the stage before is read no more
+        docs = made
+    return STAGES[-1][1](spark, docs, sf_dir)
