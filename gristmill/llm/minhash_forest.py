@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,6 +38,8 @@ TREES, DEPTH = 20, 8
 HASHES = TREES * DEPTH
 #: Neighbours on each side in an order, and the share of the 64 sketch bytes that must agree.
 WINDOW = 8
+#: Tasks, or blocks of them, whose ends meet in one task.
+MEET = 256
 SKETCH = 64
 #: Rows that share so many values of a label, WINDOW of them or more, are a crowded run. A pair at
 #: similarity 0.8 shares as many in one of the trees but for 3 in 100,000.
@@ -154,8 +157,8 @@ def _columns(batch: pa.RecordBatch) -> tuple:
     return common_prefix(batch.column("tree").to_numpy(), label), batch.column("node").to_numpy(), sk
 
 
-def candidates(rows: DataFrame, least: float, parts: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``a, b, agree, prefix``: neighbours in any order whose sketches agree well enough, each pair once; ``a, b`` that ties the nodes of crowded runs; and the stored table behind both."""
+def candidates(rows: DataFrame, least: float, parts: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """``a, b, agree, prefix``: neighbours in any order whose sketches agree well enough, each pair once; ``a, b`` that ties the nodes of crowded runs; and the stored tables behind both."""
     spark = rows.sparkSession
     ordered = rows.repartitionByRange(parts, "tree", "label", "node").sortWithinPartitions("tree", "label", "node")
     out = "a long, b long, agree int, prefix int, part int, side int, pos int, tree int, label binary, sketch binary"
@@ -193,22 +196,32 @@ def candidates(rows: DataFrame, least: float, parts: int) -> tuple[DataFrame, Da
     made = store(ordered.mapInArrow(run, out), "neighbours")
     pairs = made.where("b is not null AND agree >= 0").select("a", "b", "agree", "prefix")
     ties = made.where("agree < 0").select("a", "b")
-    # The ends of each task's run: a few rows a task. Tasks with fewer rows than the window are bridged by their neighbours' ends.
-    edges = made.where("b is null").select(F.col("a").alias("node"), "part", "side", "pos", "tree", "label", "sketch").collect()
-    seam, tied = _seams(edges, least)
-    if seam:
-        pairs = pairs.unionByName(spark.createDataFrame(seam, "a long, b long, agree int, prefix int"))
-    if tied:
-        ties = ties.unionByName(spark.createDataFrame(tied, "a long, b long"))
-    return pairs.groupBy("a", "b").agg(F.max("agree").alias("agree"), F.max("prefix").alias("prefix")), ties.distinct(), made
-
-
-def _seams(edges: list, least: float) -> tuple[list[tuple[int, ...]], list[tuple[int, int]]]:
-    """Pairs of neighbours on two sides of a boundary between tasks, and ties of rows there that share a prefix."""
+    # The ends of each task's run: a few rows a task, met block by block, and the blocks' ends again, up a tree.
+    edges, levels = made.where("b is null").select("a", "part", "side", "pos", "tree", "label", "sketch"), [made]
+
+    def meet(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        rows = group.rename(columns={"a": "node"}).to_dict("records")
+        seam, tied, head, tail = _seams(rows, least)
+        found = [(x, y, agree, prefix, *[None] * 6) for x, y, agree, prefix in seam] + [(x, y, -1, -1, *[None] * 6) for x, y in tied]
+        ends = [(e["node"], None, None, None, int(key[0]), side, k, e["tree"], e["label"], e["sketch"]) for side, end in ((0, head), (1, tail)) for k, e in enumerate(end)]
+        return pd.DataFrame([*found, *ends], columns=names).astype({c: "Int64" for c in names if c not in ("label", "sketch")})
+
+    blocks = parts
+    while blocks > 1:
+        blocks = -(-blocks // MEET)
+        met = store(edges.withColumn("block", F.expr(f"part div {MEET}").cast("int")).groupBy("block").applyInPandas(meet, out), "seams")
+        pairs = pairs.unionByName(met.where("b is not null AND agree >= 0").select("a", "b", "agree", "prefix"))
+        ties = ties.unionByName(met.where("agree < 0").select("a", "b"))
+        edges = met.where("b is null").select("a", "part", "side", "pos", "tree", "label", "sketch")
+        levels.append(met)
+    return pairs.groupBy("a", "b").agg(F.max("agree").alias("agree"), F.max("prefix").alias("prefix")), ties.distinct(), levels
+
+
+def _seams(edges: list[dict], least: float) -> tuple[list[tuple[int, ...]], list[tuple[int, int]], list[dict], list[dict]]:
+    """Pairs of neighbours on two sides of a boundary between runs, ties of rows there that share a prefix, and the first and last rows of all."""
     parts = sorted({e["part"] for e in edges})
-    tails = {p: sorted((e for e in edges if e["part"] == p and e["side"] == 1), key=lambda e: e["pos"]) for p in parts}
-    heads = {p: sorted((e for e in edges if e["part"] == p and e["side"] == 0), key=lambda e: e["pos"]) for p in parts}
-    found, tied, before = [], [], []
+    tails, heads = ({p: sorted((e for e in edges if e["part"] == p and e["side"] == side), key=lambda e: e["pos"]) for p in parts} for side in (1, 0))
+    found, tied, before, first, whole = [], [], [], [], True
     for p in parts:
         run = [*before, *heads[p]]
         if before:
@@ -219,8 +232,11 @@ def _seams(edges: list, least: float) -> tuple[list[tuple[int, ...]], list[tuple
             sk = np.frombuffer(b"".join(bytes(e["sketch"]) for e in run), np.uint8).reshape(-1, SKETCH)
             for x in _near(lcp, nodes, sk, least, fresh=len(before)):
                 found += [tuple(map(int, r)) for r in x]
+        if whole:  # runs shorter than the window go on in the next
+            first = [*first, *heads[p]][:WINDOW]
+            whole = len(heads[p]) < WINDOW
         before = [*before, *tails[p]][-WINDOW:] if len(heads[p]) < WINDOW else tails[p]
-    return found, tied
+    return found, tied, first, before
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -357,7 +373,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     # A tree's row is about a third of a stored set's.
     pairs, ties, made = candidates(forest_rows(sets.select("node", "sig")), least, width(spark, TREES * stored_bytes(sets) // 3))
     pairs, ties = store(pairs, "pairs"), store(ties, "ties")
-    drop_stored(made)
+    drop_stored(*made)
     sides = [t.select(F.col(c).alias("node")) for t in (pairs, ties) for c in ("a", "b")]
     ends = store(reduce(DataFrame.union, sides).distinct(), "ends")
     texts = store(texts_of(docs, ends), "texts")

@@ -559,3 +559,34 @@ def test_mixtures_against_plain_em(spark, monkeypatch):
 def test_long_text_without_white_space():
     h, at = kernels.word_hashes(["y" * (3 * kernels.PIECE), "a " + "z" * kernels.PIECE + " b"])
     assert at.tolist() == [0, 1, 4] and len(set(h.tolist())) == 4
+
+
+@pytest.mark.parametrize("meet", [2, 3, 256])
+def test_neighbours_meet_across_tasks(spark, monkeypatch, meet):
+    """Neighbours do not depend on how an order is dealt out: ends of tasks meet up a tree."""
+    import random
+
+    monkeypatch.setattr(minhash_forest, "MEET", meet)
+    r = random.Random(21)
+    rows = []
+    for tree in range(3):
+        for node in range(150):
+            values = [r.randrange(3 if k < 4 else 2) for k in range(minhash_forest.DEPTH)]
+            label = b"".join(v.to_bytes(2, "big") for v in values) if node % 5 else b"\0\1" * minhash_forest.DEPTH  # some run of equals
+            rows.append((tree, bytearray(label), node, bytearray(r.choice(b"ab") for _ in range(minhash_forest.SKETCH))))
+    df = spark.createDataFrame(rows, "tree int, label binary, node long, sketch binary")
+    whole, ties, _ = minhash_forest.candidates(df, 0.5, 1)
+    dealt, tied, made = minhash_forest.candidates(df, 0.5, 40)
+    want, got = ({tuple(x) for x in d.collect()} for d in (whole, dealt))
+    assert got == want and len(want) > 500
+    roots = {}
+
+    def root(x):
+        while roots.get(x, x) != x:
+            x = roots[x]
+        return x
+
+    for a, b in tied.collect():
+        roots[root(a)] = root(b)
+    assert all(root(a) == root(b) for a, b in ties.collect())
+    minhash_forest.drop_stored(*made)
