@@ -17,8 +17,11 @@ def _text(c: str):
     return F.col(c).cast("string")
 
 
-def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One finding a line item. ``ord`` and ``tie`` give an order; equal rows are alike in every column."""
+def findings(spark: SparkSession, sf_dir: str, place: bool = False) -> DataFrame:
+    """One finding a line item. ``ord`` and ``tie`` give an order that large tables may leave open for a few rows.
+
+    With ``place``, ``in_file`` and ``in_row`` close it: where a row stands in the table's files, in order of their names.
+    """
     li = table(spark, sf_dir, "lineitem")
     ext = F.when(F.col("l_partkey") % 3 == 0, ".py").when(F.col("l_partkey") % 3 == 1, ".js").otherwise(".go")
     kind = F.when(F.col("l_linenumber") % 4 == 0, "security").when(F.col("l_linenumber") % 4 == 1, "performance").when(F.col("l_linenumber") % 4 == 2, "correctness").otherwise("maintainability")
@@ -33,6 +36,7 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_linestatus") == "O", "fix it").otherwise("").alias("suggestion"), F.round(1 - 5 * F.col("l_discount"), 2).alias("confidence"),
         F.when(F.col("l_linenumber") % 3 == 0, "llm").when(F.col("l_linenumber") % 3 == 1, "local").otherwise("rule").alias("source"),
         F.concat(F.lit("rule-"), (F.col("l_partkey") % 25).cast("string")).alias("rule_id"), F.col("l_tax").alias("metric_value"),
+        *([F.col("_metadata.file_path").alias("in_file"), F.col("_metadata.row_index").alias("in_row")] if place else []),
     )
 
 

@@ -108,12 +108,14 @@ def messages(findings: DataFrame, keys: list[str], order: list, service: str = "
     """``keys, status, payload``: what is posted to a service, as JSON; sending it is the caller's.
 
     ``status`` is the worst of critical, high, medium that occurs, else ``clean``. The payload has the
-    counts by severity and the service's number of findings, worst first.
+    counts by severity and the service's number of findings, worst first, then by ``order``, place and
+    text, so that reruns agree.
     """
     c = findings.groupBy(*keys).agg(F.count("*").alias("total"), *severity.counts())
     status = F.when(F.col("critical") > 0, "critical").when(F.col("high") > 0, "high").when(F.col("medium") > 0, "medium").otherwise("clean")
-    top = cap(findings, keys, SHOWN[service], [F.desc(severity.rank(unknown=-1)), *order])
     item = F.struct("severity", F.concat_ws(":", "file_path", F.col("line_start").cast("string")).alias("place"), "message")
+    order = [*order, "file_path", "line_start", "severity", "message"]
+    top = cap(findings, keys, SHOWN[service], [F.desc(severity.rank(unknown=-1)), *order])
     top = top.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-severity.rank(unknown=-1)).alias("r"), *order, item.alias("x")))).alias("_t"))
     both = c.join(top, keys)
     payload = F.to_json(F.struct(status.alias("status"), "total", F.struct(*severity.LEVELS).alias("counts"), F.transform("_t", lambda t: t["x"]).alias("findings")))
